@@ -2,6 +2,7 @@
 
 from .mixing import ORACLE as MIXING_SQL
 from .mixing import op8_mixing
+from .near import op1_ngram_jaccard
 
-QUERIES = {"op8_mixing": op8_mixing}
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op8_mixing": op8_mixing}
 ORACLE_SQL = {"op8_mixing": MIXING_SQL}
