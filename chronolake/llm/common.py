@@ -169,7 +169,7 @@ def words(data: np.ndarray, at: np.ndarray, fold: np.ndarray = WORDS) -> tuple[n
         return mix(h), start, end, np.searchsorted(start, at)
 
 
-def batch(schema: str | None = None, **cols) -> pa.RecordBatch:
+def batch(**cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array | pa.ChunkedArray) else pa.array(v) for k, v in cols.items()})
 
 

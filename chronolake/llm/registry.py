@@ -1,8 +1,13 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
+from .leaks import op10_decontamination
 from .mixing import ORACLE as MIXING_SQL
 from .mixing import op8_mixing
 from .near import op1_ngram_jaccard
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op8_mixing": op8_mixing}
+QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op8_mixing": op8_mixing,
+    "op10_decontamination": op10_decontamination,
+}
 ORACLE_SQL = {"op8_mixing": MIXING_SQL}
