@@ -1,12 +1,16 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
 from .leaks import op10_decontamination
+from .lines import op7_line_dedup
 from .mixing import ORACLE as MIXING_SQL
 from .mixing import op8_mixing
 from .near import op1_ngram_jaccard
+from .tokens import op6_token_counts
 
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op6_token_counts": op6_token_counts,
+    "op7_line_dedup": op7_line_dedup,
     "op8_mixing": op8_mixing,
     "op10_decontamination": op10_decontamination,
 }
