@@ -6,9 +6,11 @@ from .mixing import ORACLE as MIXING_SQL
 from .mixing import op8_mixing
 from .near import op1_ngram_jaccard
 from .tokens import op6_token_counts
+from .toxicity import op3_toxicity
 
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op3_toxicity": op3_toxicity,
     "op6_token_counts": op6_token_counts,
     "op7_line_dedup": op7_line_dedup,
     "op8_mixing": op8_mixing,
