@@ -5,11 +5,13 @@ from .lines import op7_line_dedup
 from .mixing import ORACLE as MIXING_SQL
 from .mixing import op8_mixing
 from .near import op1_ngram_jaccard
+from .substrings import op2_suffix_dedup
 from .tokens import op6_token_counts
 from .toxicity import op3_toxicity
 
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_toxicity": op3_toxicity,
     "op6_token_counts": op6_token_counts,
     "op7_line_dedup": op7_line_dedup,
