@@ -145,7 +145,7 @@ def train(docs: DataFrame, toxic_ids: DataFrame, fold: Column, prior: float) ->
                 toxic = b.column("_toxic").to_numpy(zero_copy_only=False)[i:j][row[hit]]
                 yield batch(doc_id=ids[i:j][row[hit]], toxic=toxic, col=col[hit].astype(np.int64))
 
-    x = text.mapInArrow(chosen, "doc_id long, toxic boolean, col long").toPandas()
+    x = text.mapInArrow(chosen, "doc_id long, toxic boolean, col long").toArrow().to_pandas()
     order = {m: n for n, m in enumerate(marked)}
     rows = np.array([order[m] for m in zip(x["doc_id"].tolist(), x["toxic"].tolist(), strict=True)], np.int64)
     w = fit(rows, x["col"].to_numpy(np.int64), len(marked), len(bins), np.array([t for _, t in marked]), prior)
