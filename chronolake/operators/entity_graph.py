@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.expr import json_block
 from ..schema import stable_id
 
 # Technologies, concepts, and capitalised words that name nothing.
@@ -93,3 +96,30 @@ def search_entities(entities: DataFrame, relations: DataFrame, name: str, limit:
     hit = entities.filter(F.lower("name") == name.lower()).select("id")
     near = neighbours(relations, hit, 2).unionByName(hit.withColumn("depth", F.lit(0)))
     return entities.join(near, "id").orderBy("depth", "id").limit(limit)
+
+
+def model_extraction(texts: DataFrame, ask, least_bytes: int = 100, most: int = 500) -> tuple[DataFrame, DataFrame]:
+    """Entities (id, name, type, confidence) and relations (id, source, target, type, confidence) that a model finds in
+    ``texts`` (id, text) of more than ``least_bytes``. ``ask``: prompts to replies, on Arrow batches; a reply is JSON,
+    perhaps within prose, and one that can't be read gives nothing."""
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series(list(ask(s.tolist())), dtype=object)
+
+    prompt = F.concat(F.lit('List what this text names, as JSON {"entities": [{"name", "type"}], "relationships": [{"source", "target", "type"}]}.\n\n'), F.left("text", F.lit(most)))
+    shape = "entities array<struct<name:string,type:string>>, relationships array<struct<source:string,target:string,type:string>>"
+    t = texts.filter(F.octet_length("text") > least_bytes).select("id", F.from_json(json_block(F.pandas_udf(run, T.StringType())(prompt)), shape).alias("r"))
+    kind = lambda c, known, other: F.when(c.isin(*known), c).otherwise(other)
+    e = t.select("id", F.explode("r.entities").alias("e")).filter("e.name <> ''")
+    e = e.select("id", F.col("e.name").alias("name"), kind(F.col("e.type"), ("technology", "project", "person", "organization"), "concept").alias("type"), F.lit(0.8).alias("confidence"))
+    r = t.select("id", F.explode("r.relationships").alias("e")).filter("e.source <> '' and e.target <> ''")
+    return e, r.select("id", F.col("e.source").alias("source"), F.col("e.target").alias("target"), kind(F.col("e.type"), ("uses", "works_on"), "relates_to").alias("type"), F.lit(0.7).alias("confidence"))
+
+
+def enriched(events: DataFrame, ask=None) -> DataFrame:
+    """Mentions (id, name, type, confidence, timestamp) in each event's summary and the first 500 characters of its content,
+    by rules, and by a model too if one is given."""
+    t = events.select("id", "timestamp", F.concat_ws(" ", "summary", F.left("raw_content", F.lit(500))).alias("text"))
+    found = rule_entities(t.select("id", "text"))
+    if ask is not None:
+        found = with_model_entities(found, model_extraction(t.select("id", "text"), ask)[0])
+    return found.join(t.select("id", "timestamp"), "id")

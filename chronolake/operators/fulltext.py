@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import query_terms, tokens
+from ..functions.stem import stem, stemmed
 
 K1, B = 1.2, 0.75
 
@@ -21,16 +22,17 @@ def unindexed(docs: DataFrame, index: DataFrame) -> DataFrame:
     return docs.join(index.select("id").distinct(), "id", "left_anti")
 
 
-def bm25(docs: DataFrame, query: str, limit: int, text: str = "text") -> DataFrame:
+def bm25(docs: DataFrame, query: str, limit: int, text: str = "text", stems: bool = False) -> DataFrame:
     """(id, score) of the rows that match any term of the query, best first, ties by id; nothing for a query without terms.
 
     Only the query's terms are counted, row by row, so nothing of the text is shuffled: the scan is run once for the
     corpus statistics, which are a single row, and once for the scores. Higher is better; idf = ln((N - df + 0.5) / (df + 0.5)),
-    1e-6 where that isn't positive."""
+    1e-6 where that isn't positive. ``stems``: English words match in any inflection, at the price of an Arrow UDF."""
     terms = query_terms(query)
+    terms = list(dict.fromkeys(map(stem, terms))) if stems else terms
     if not terms:
         return docs.select("id", F.lit(0.0).alias("score")).limit(0)
-    t = docs.select("id", tokens(text).alias("w"))
+    t = docs.select("id", (stemmed(tokens(text)) if stems else tokens(text)).alias("w"))
     count = lambda term: F.size(F.filter("w", lambda x: x == term))
     t = t.select("id", F.size("w").alias("dl"), *(count(q).alias(f"tf{i}") for i, q in enumerate(terms)))
     stats = t.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))

@@ -180,3 +180,14 @@ def visual_drops(rows: DataFrame, keys: list[str], threshold: float = 0.97, ttl:
 
     rows = transitions(rows, keys)
     return rows.groupBy(*keys, "app").applyInPandas(scan, T.StructType([*rows.schema.fields, T.StructField("dropped", T.BooleanType())]))
+
+
+def background_polls(captures: DataFrame, keys: list[str], every: int = 15) -> DataFrame:
+    """(keys, timestamp): the polls between a key's captures, one for each ``every`` seconds in which nothing was captured.
+    What comes after the last capture is still open."""
+    w = Window.partitionBy(*keys).orderBy("timestamp")
+    a, b = F.unix_micros("timestamp"), F.unix_micros(F.lead("timestamp").over(w))
+    n = F.floor((b - a - 1) / (every * 1_000_000)).cast("int")
+    t = captures.select(*keys, a.alias("_a"), n.alias("_n")).filter("_n > 0")
+    t = t.select(*keys, "_a", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_i"))
+    return t.select(*keys, F.timestamp_micros(F.col("_a") + F.col("_i") * every * 1_000_000).alias("timestamp"))

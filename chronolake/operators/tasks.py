@@ -76,10 +76,24 @@ def chunk_prompt(events: DataFrame, keys: list[str], text: Column) -> DataFrame:
 
 
 def parsed_analysis(reply: Column) -> Column:
-    """Title, description, accomplishments and themes from a model's labelled lines; confidence 0.8."""
-    field = lambda name: F.nullif(F.trim(F.regexp_extract(reply, rf"(?im)^\s*\**{name}\**\s*:\s*(.+)$", 1)), F.lit(""))
-    many = lambda name: F.filter(F.transform(F.split(F.coalesce(field(name), F.lit("")), r"\s*[;,]\s*"), lambda x: F.trim(x)), lambda x: x != "")
-    return F.struct(field("title").alias("title"), field("description").alias("description"), many("accomplishments").alias("accomplishments"), many("themes").alias("themes"), F.lit(0.8).alias("confidence_score"))
+    """Title, description, accomplishments and themes from a model's labelled reply; confidence 0.8. Labels stand at a
+    line's beginning (TASK_TITLE or TITLE and so on); accomplishments are the dashed lines under theirs, or one line
+    parted by ; or ,"""
+    field = lambda name: F.nullif(F.trim(F.regexp_extract(reply, rf"(?im)^[\s*]*(?:TASK_|MAIN_)?{name}\**:[ \t*]*(.+)$", 1)), F.lit(""))
+    parts = lambda c: F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(c, F.lit("")), r"^\[|\]$", ""), r"\s*[;,]\s*"), lambda x: F.trim(x)), lambda x: x != "")
+    block = F.regexp_extract(reply, r"(?is)ACCOMPLISHMENTS\**:(.*?)(?:\n[\s*]*[A-Z_]+\**:|$)", 1)
+    dashed = F.transform(F.regexp_extract_all(block, F.lit(r"(?m)^\s*[-•]\s*(.+)$"), F.lit(1)), lambda x: F.trim(x))
+    done = F.when(F.size(dashed) > 0, dashed).otherwise(parts(F.trim(block)))
+    return F.struct(field("title").alias("title"), field("description").alias("description"), done.alias("accomplishments"), parts(field("themes")).alias("themes"), F.lit(0.8).alias("confidence_score"))
+
+
+def day_overview() -> Column:
+    """A day's narrative without a model, from its summary columns (date, total, top_categories, top_projects)."""
+    return F.concat(
+        F.lit("On "), F.date_format("date", "MMMM dd, yyyy"), F.lit(" there were "), F.col("total").cast("string"), F.lit(" events"),
+        F.when(F.col("top_categories") != "", F.concat(F.lit(", mostly "), F.replace("top_categories", F.lit(","), F.lit(", ")))).otherwise(""),
+        F.when(F.col("top_projects") != "", F.concat(F.lit("; projects: "), F.replace("top_projects", F.lit(","), F.lit(", ")))).otherwise(""), F.lit("."),
+    )
 
 
 def hide_members(events: DataFrame, tasks: DataFrame) -> DataFrame:

@@ -116,3 +116,23 @@ def parsed_triggers(lines: DataFrame, now: Column) -> DataFrame:
     t = lines.select(F.from_json("value", "type string, app_name string, window_title string, timestamp string").alias("t")).select("t.*")
     t = t.select("type", F.coalesce("app_name", F.lit("")).alias("app_name"), F.coalesce("window_title", F.lit("")).alias("window_title"), F.coalesce(F.try_to_timestamp("timestamp"), now).alias("timestamp"), trigger_depth("type").alias("depth"))
     return t.filter("depth is not null")
+
+
+def laid_out(nodes: DataFrame, keys: list[str], most: int = 4000, least: int = 30) -> DataFrame:
+    """(keys, text) of text nodes (text, x, y, width, height; null y: no place) as they stand on a screen.
+
+    From top to bottom a line ends where the next centre is more than 0.55 of the median height (8 to 32) lower; in a line
+    nodes stand by x, and a gap over 30% of the whole width, 100 at least, ends it too. Nodes without a place come last.
+    Texts are cut at ``most`` characters, and those under ``least`` are null."""
+    g = nodes.filter("y is not null").groupBy(*keys).agg((F.percentile("height", 0.5) * 0.55).alias("_h"), F.greatest(F.lit(100.0), (F.max(F.col("x") + F.col("width")) - F.min("x")) * 0.3).alias("_gap"))
+    t = nodes.join(g, keys, "left").withColumn("_mid", F.col("y") + F.col("height") / 2)
+    down = Window.partitionBy(*keys).orderBy(F.col("_mid").asc_nulls_last(), "x", "text")
+    lower = F.col("_mid") - F.lag("_mid").over(down) > F.greatest(F.lit(8.0), F.least(F.lit(32.0), F.col("_h")))
+    t = t.withColumn("_b", F.when(F.col("_mid").isNull() | F.coalesce(lower, F.lit(False)), 1).otherwise(0))
+    t = t.withColumn("_band", F.sum("_b").over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    along = Window.partitionBy(*keys, "_band").orderBy("x", "text")
+    far = F.col("x") - F.lag(F.col("x") + F.col("width")).over(along) > F.col("_gap")
+    t = t.withColumn("_part", F.sum(F.coalesce(far, F.lit(False)).cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    line = t.groupBy(*keys, "_band", "_part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "text"))), lambda n: n["text"]), "  ").alias("_l"))
+    out = line.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_band", "_part", "_l"))), lambda n: n["_l"]), "\n").alias("text"))
+    return out.select(*keys, F.when(F.length("text") >= least, F.left("text", F.lit(most))).alias("text"))

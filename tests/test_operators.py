@@ -308,12 +308,41 @@ def test_tasks_from_groups(spark):
 
 
 def test_labelled_reply(spark):
-    d = spark.createDataFrame([("TITLE: A\nDescription: B\nAccomplishments: x; y\nThemes: z",), ("nothing",)], "r string")
-    a, b = (r[0] for r in d.select(tasks.parsed_analysis(F.col("r"))).collect())
+    dashed = "TASK_TITLE: A\nACCOMPLISHMENTS:\n- x one\n- y\nDESCRIPTION: B\nMAIN_THEMES: [z, q]"
+    d = spark.createDataFrame([("TITLE: A\nDescription: B\nAccomplishments: x; y\nThemes: z",), (dashed,), ("nothing",)], "r string")
+    a, m, b = (r[0] for r in d.select(tasks.parsed_analysis(F.col("r"))).collect())
     assert (a.title, a.description, a.accomplishments, a.themes) == ("A", "B", ["x", "y"], ["z"])
+    assert (m.title, m.description, m.accomplishments, m.themes) == ("A", "B", ["x one", "y"], ["z", "q"])
     assert b.title is None and b.themes == []
 
 
+def test_stems(spark):
+    from chronolake.functions.stem import stem
+
+    known = "caresses caress ponies poni cats cat agreed agre plastered plaster motoring motor sized size hopping hop falling fall happy happi relational relat conditional condit digitizer digit hopefulness hope electrical electr adoption adopt controlling control rate rate cease ceas sky sky"
+    w = known.split()
+    assert [stem(x) for x in w[::2]] == w[1::2]
+    d = spark.createDataFrame([("a", "he was hopping"), ("b", "nothing here")], "id string, text string")
+    assert [r.id for r in fulltext.bm25(d, "hops", 5, stems=True).collect()] == ["a"]
+
+
+def test_model_extraction(spark):
+    d = spark.createDataFrame([("1", "x" * 101), ("2", "short"), ("3", "y" * 200)], "id string, text string")
+    reply = 'Sure: {"entities": [{"name": "Spark", "type": "technology"}, {"name": "Me", "type": "alien"}, {"name": ""}], "relationships": [{"source": "Me", "target": "Spark", "type": "uses"}, {"source": "Me", "target": "None", "type": "x"}]}'
+    e, r = entity_graph.model_extraction(d, lambda ps: [reply if "xxx" in p else "sorry" for p in ps])
+    assert sorted((x.id, x.name, x.type) for x in e.collect()) == [("1", "Me", "concept"), ("1", "Spark", "technology")]
+    known = e.withColumn("entity_id", entity_graph.entity_id())
+    assert [(x.source, x.target, x.type) for x in entity_graph.resolved(r, known).collect()] == [("Me", "Spark", "uses")]
+    ev = events(spark, [{"summary": "using Rust", "raw_content": "x"}])
+    assert {x.name for x in entity_graph.enriched(ev).collect()} == {"rust", "Rust"}
+
+
+def test_background_polls(spark):
+    t = spark.createDataFrame([("a", T0 + timedelta(seconds=s)) for s in (0, 15, 50, 51)], "k string, timestamp timestamp")
+    got = [(r.timestamp - T0).total_seconds() for r in sequence.background_polls(t, ["k"]).orderBy("timestamp").collect()]
+    assert got == [30.0, 45.0]
+
+
 def test_set_changes(spark):
     s = spark.createDataFrame([("r", T0, []), ("r", T0 + timedelta(minutes=1), ["a.rs"])], "repo string, timestamp timestamp, staged array<string>")
     (r,) = sequence.set_changes(s, "repo", "staged").collect()

@@ -1,7 +1,7 @@
 """Every query that has SQL gives the rows that DuckDB gives."""
 
 import pytest
-from conftest import rows_of
+from compare import rows_of
 
 from chronolake.queries import ORACLE_SQL, QUERIES
 

@@ -228,3 +228,10 @@ def test_files(spark, tmp_path):
     s = spark.createDataFrame([(T0.date(), 3, "Coding:3/1", "p")], "date date, total long, categories string, top_projects string")
     sinks.write_summaries(s, str(tmp_path / "s"))
     assert "Summary of June 15, 2026" in "".join(f.read_text() for f in (tmp_path / "s/markdown").glob("part*"))
+
+
+def test_layout(spark):
+    rows = [(1, "name", 0.0, 0.0, 50.0, 10.0), (1, "the message body is here", 60.0, 1.0, 200.0, 10.0), (1, "second line of words", 0.0, 30.0, 100.0, 10.0), (1, "far right", 900.0, 30.0, 50.0, 10.0), (1, "nowhere", None, None, None, None), (2, "tiny", 0.0, 0.0, 1.0, 1.0)]
+    t = spark.createDataFrame(rows, "k int, text string, x double, y double, width double, height double")
+    got = {r.k: r.text for r in logs.laid_out(t, ["k"]).collect()}
+    assert got == {1: "name  the message body is here\nsecond line of words\nfar right\nnowhere", 2: None}
