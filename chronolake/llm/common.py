@@ -183,15 +183,17 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label) of the nodes in ``edges`` (u, v): the label is the smallest node of the connected component.
 
     Alternating large-star and small-star steps: each moves edges to the smallest neighbour, no node's neighbours are
-    ever gathered, and the number of edges never grows."""
+    ever gathered, and the number of edges never grows. Minima are written before they are joined: a join of two plain
+    shuffles is one that adaptive execution can split where a node has very many edges."""
     e = edges.filter("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = store(e)
     mark = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = store(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         e = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
+        e = store(e)
+        low = store(e.groupBy("u").agg(F.min("v").alias("m")))
         e = e.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # an edge (u, v) with v > m becomes (v, m); the edge (u, m) stays since m is itself one of u's neighbours
         e = store(e)

@@ -144,7 +144,7 @@ def similar(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-5) ->
     texts = store(texts.dropDuplicates(["doc_id"]))
     # candidate buckets
     rows = texts.select("doc_id", "bands").mapInArrow(_band_rows, "key long, doc_id long")
-    several = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    several = store(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     cand = store(rows.join(several, "key").select("key", "doc_id", "n"))
     least = least_matches(threshold, tolerance)
 
@@ -160,7 +160,7 @@ def similar(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-5) ->
 
     met = _spread(cand.join(texts.select("doc_id", "sig"), "doc_id"), "key", "n").select("g", "doc_id", "blk", "two", "sig")
     family = store(components(by_key(met, "g", first_look, "u long, v long")))
-    sizes = family.groupBy("label").agg(F.count("*").alias("n"))
+    sizes = store(family.groupBy("label").agg(F.count("*").alias("n")))
     inside = family.join(sizes, "label").select(F.col("node").alias("doc_id"), "label", "n")
     inside = inside.join(texts.select("doc_id", "sig", "copies"), "doc_id")
     sets = t.withColumnRenamed("doc_id", "d").join(inside, F.col("d") == F.col("doc_id")).select("doc_id", "text", "label", "n", "copies", "sig")
