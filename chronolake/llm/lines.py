@@ -57,7 +57,8 @@ def repeated(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 
     def ranked(t: DataFrame, *names: str) -> DataFrame:
         """Rows of names that occur more than once, with their rank (fd, fi)."""
-        c = t.groupBy(*names).agg(first, F.count("*").alias("n")).filter("n > 1").drop("n")
+        # written before it is joined, so that adaptive execution can split the join where a name is very common
+        c = store(t.groupBy(*names).agg(first, F.count("*").alias("n")).filter("n > 1").drop("n"))
         return t.join(c, [*names]).select("doc_id", "seq", "w", "span", F.col("f.doc_id").alias("fd"), F.col("f.seq").alias("fi"))
 
     # seq numbers the non-blank lines of a document
@@ -121,7 +122,7 @@ def repeated(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 
     s = store(by_key(ranks, "doc_id", stretches, "doc_id long, seq int, size int, ad long, ai int, bd long, bi int"))
     name = ["size", "ad", "ai", "bd", "bi"]
-    c = s.groupBy(*name).agg(first, F.count("*").alias("n")).filter("n > 1").drop("n")
+    c = store(s.groupBy(*name).agg(first, F.count("*").alias("n")).filter("n > 1").drop("n"))
     later = s.join(c, name).filter("doc_id <> f.doc_id or seq <> f.seq").select("doc_id", "seq", "size")
     cover = later.select("doc_id", F.explode(F.sequence(F.col("seq"), F.col("seq") + F.col("size") - 1)).alias("seq")).distinct()
     return numbered.join(cover, ["doc_id", "seq"]).select("doc_id", "i").groupBy("doc_id").agg(F.collect_list("i").alias("gone"))
@@ -130,12 +131,15 @@ def repeated(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with later copies of repeated line runs cut from ``text``, and the count of cut lines as ``n_removed``.
 
-    Other lines stay as they are, blank ones included; a text may become empty, null stays null."""
-    gone = repeated(docs, least_words).select(F.col("doc_id").alias("_d"), F.col("gone").alias("_gone"))
-    r = docs.join(gone, docs["doc_id"] == gone["_d"], "left")
-    kept = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> not array_contains(_gone, i)), '\\n')")
-    r = r.withColumn("n_removed", F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long"))
-    return r.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).drop("_d", "_gone")
+    Other lines stay as they are, blank ones included; a text may become empty, null stays null. A column of that name
+    is replaced."""
+    free = "_" * (1 + max([0, *(len(c) - len(c.lstrip("_")) for c in docs.columns)]))  # no column begins so
+    of, gone = f"{free}of", f"{free}gone"
+    cut = repeated(docs, least_words).select(F.col("doc_id").alias(of), F.col("gone").alias(gone))
+    r = docs.join(cut, F.col("doc_id") == F.col(of), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    r = r.withColumn("n_removed", F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long"))
+    return r.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)).drop(of, gone)
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
