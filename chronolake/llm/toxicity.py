@@ -172,7 +172,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     share = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     model = train(docs, known.filter("toxic = 1"), ~held_out(), min(0.95, max(0.001, share))) if share else None
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    own = [f for f in docs.schema.fields if f.name not in ("held_out", "score", "predicted", "_key")]
+    own = [f for f in docs.schema.fields if f.name.lower() not in ("held_out", "score", "predicted")]
 
     def score(batches):
         model = sent.value

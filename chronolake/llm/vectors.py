@@ -31,11 +31,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     holds, the k other rows of the highest inner product, ties to the smaller vec_id; all, if there are fewer.
 
     Only vectors of one length are compared with each other; an empty one with none. Rows of null ids, null vectors or
-    null components take no part. vec_id is a key. Each block of at most BLOCK vectors holds, besides the vectors, their
+    null components take no part; vec_id is a key, and a repeated one counts once. Each block of at most BLOCK vectors holds, besides the vectors, their
     cells: each component cut to one of CELLS equal steps of the block's range. A scan of the cells bounds every score from
     both sides; exact vectors are then read in the order of their upper bounds until the kth best score is above the next
     bound. Blocks of queries are dealt to the blocks of vectors; a query's best of each block meet in one row per block."""
     t = vectors.filter("vec_id is not null and v is not null and size(v) > 0").filter(~F.exists("v", lambda x: x.isNull()))
+    t = t.dropDuplicates(["vec_id"])
     t = store(t.select("vec_id", is_query.alias("is_query"), "v").mapInArrow(_packed, "vec_id long, dim long, is_query boolean, v binary"))
     sizes = t.groupBy("dim").agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).filter("q > 0")
     parts = lambda c, most: F.ceil(F.col(c) / most).cast("int")
