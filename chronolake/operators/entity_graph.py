@@ -30,7 +30,7 @@ def rule_entities(texts: DataFrame) -> DataFrame:
     each, and capitalised words of three letters or more, once for each place. One scan, nothing shuffled."""
     low = F.lower("text")
     known = lambda names, kind, sure: [F.when(low.contains(n), F.struct(F.lit(n).alias("name"), F.lit(kind).alias("type"), F.lit(sure).alias("confidence"))) for n in names]
-    words = F.filter(F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]{2,})\b"), F.lit(1)), lambda w: ~w.isin(*NO_NAMES))
+    words = F.filter(F.split("text", r"[^\p{L}\p{M}\p{N}_]+"), lambda w: w.rlike("^[A-Z][a-z]{2,}$") & ~w.isin(*NO_NAMES))
     projects = F.transform(words, lambda w: F.struct(w.alias("name"), F.lit("project").alias("type"), F.lit(0.5).alias("confidence")))
     found = F.filter(F.array(*known(TECHNOLOGIES, "technology", 0.9), *known(CONCEPTS, "concept", 0.8)), lambda x: x.isNotNull())
     return texts.filter("text is not null").select("id", F.explode(F.concat(found, projects)).alias("e")).select("id", "e.name", "e.type", "e.confidence")

@@ -187,7 +187,7 @@ def background_polls(captures: DataFrame, keys: list[str], every: int = 15) -> D
     What comes after the last capture is still open."""
     w = Window.partitionBy(*keys).orderBy("timestamp")
     a, b = F.unix_micros("timestamp"), F.unix_micros(F.lead("timestamp").over(w))
-    n = F.floor((b - a - 1) / (every * 1_000_000)).cast("int")
+    n = F.floor((b - a - 1) / (every * 1_000_000)).cast("long")
     t = captures.select(*keys, a.alias("_a"), n.alias("_n")).filter("_n > 0")
-    t = t.select(*keys, "_a", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_i"))
+    t = t.select(*keys, "_a", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_i"))
     return t.select(*keys, F.timestamp_micros(F.col("_a") + F.col("_i") * every * 1_000_000).alias("timestamp"))

@@ -728,7 +728,7 @@ def v11(spark, d):
     return events(spark, d).select("id", F.round(X.recency("timestamp", now(), 0.02, 30), 8).alias("boost"))
 
 
-@query("v12_rerank")
+@query("v12_rerank", f"select id, length(text)::double as score, 'rerank' as score_kind from (select cast(vec_id as varchar) as id, text from embeddings join documents on doc_id = vec_id order by {_COS.format(7)} desc, cast(vec_id as varchar) limit 40) order by length(text) desc, id limit 10")
 def v12(spark, d):
     p = vector.nearest(_searchable(spark, d), _vector(spark, d, 7), 40).select("id", "score", "text")
     return vector.rerank(p, lambda texts: [len(t) for t in texts], 10, F.col("text")).select("id", "score", "score_kind")
@@ -740,11 +740,11 @@ def v13(spark, d):
     return api.rag_context(v.filter("label = 4"), v).select(F.col("id").cast("long").alias("id"), F.round("score", 6).alias("score"))
 
 
-@query("v14_graph_rag")
+@query("v14_graph_rag", f"with r as (select distinct 'u' || user_id as a, 't' || event_type as b from events), sym as (select a, b from r union select b, a from r) select 'event' as kind, id, round(0.6::double / (60 + n), 8) as score from (select cast(vec_id as varchar) as id, row_number() over (order by {_COS.format(7)} desc, cast(vec_id as varchar)) as n from embeddings) where n <= 10 union all select * from (select 'entity' as kind, id, 0.0::double as score from (select id, min(depth) as depth from (select b as id, 1 as depth from sym where a = 'u1' union all select y.b, 2 from sym x join sym y on y.a = x.b where x.a = 'u1') where id <> 'u1' group by id) order by depth, id limit 10)")
 def v14(spark, d):
     r = read(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source_entity_id"), F.concat(F.lit("t"), F.col("event_type")).alias("target_entity_id")).distinct()
     q = spark.createDataFrame([("u1",)], "id string")
-    return api.graph_rag(_vectors(spark, d), _vector(spark, d, 7), q, r)
+    return api.graph_rag(_vectors(spark, d), _vector(spark, d, 7), q, r).select("kind", "id", F.coalesce(F.round("score", 8), F.lit(0.0)).alias("score"))
 
 
 @query("v15_task_aware", f"select * from (select 'task' as kind, vec_id as id, round({_COS.format(7)}, 6) as score from embeddings where label = 2 order by {_COS.format(7)} desc, cast(vec_id as varchar) limit 5) union all select * from (select 'activity' as kind, vec_id as id, round({_COS.format(7)}, 6) as score from embeddings where vec_id % 2 = 0 order by {_COS.format(7)} desc, cast(vec_id as varchar) limit 5)")
@@ -854,7 +854,10 @@ def g14(spark, d):
     return e.groupBy("name", "type").agg(F.count("*").alias("n"), F.count_distinct("id").alias("docs"))
 
 
-@query("g14_names")
+_SKIP = "(" + ", ".join(f"'{x}'" for x in entity_graph.NO_NAMES) + ")"
+
+
+@query("g14_names", r"select name, count(*) as n from (select unnest(list_filter(regexp_split_to_array(text, '[^\p{L}\p{M}\p{N}_]+'), lambda w: regexp_matches(w, '^[A-Z][a-z]{2,}$'))) as name from documents) where name not in " + _SKIP + " group by name")
 def g14n(spark, d):
     e = entity_graph.rule_entities(documents(spark, d)).filter("type = 'project'")
     return e.groupBy("name").agg(F.count("*").alias("n"))
@@ -932,3 +935,43 @@ def r12(spark, d):
     kind = F.create_map(*(F.lit(x) for x in ("app0", "app_switch", "app1", "title_change", "app2", "screen_lock", "app3", "poll_tick", "app4", "unknown")))[F.col("app")]
     lines = events(spark, d).select(F.to_json(F.struct(kind.alias("type"), F.col("id").alias("window_title"))).alias("value"))
     return logs.parsed_triggers(lines, now()).select(F.col("window_title").alias("id"), "depth")
+
+
+@query("r10_background_polls", "select source, epoch_us(a) // 1000000 + 7200 * i as at from (select source, timestamp as a, unnest(generate_series(1, (epoch_us(nxt) - epoch_us(timestamp) - 1) // 7200000000)) as i from (select source, timestamp, lead(timestamp) over (partition by source order by timestamp) as nxt from ev) where nxt is not null)", EV)
+def r10(spark, d):
+    p = sequence.background_polls(events(spark, d), ["source"], 7200)
+    return p.select("source", F.floor(F.unix_micros("timestamp") / 1_000_000).cast("long").alias("at"))
+
+
+@query("k2_sweep_days", "select strftime(date, '%Y-%m-%d') as date, count(*) as n from ev where date < date '2024-01-20' and date >= date '2024-01-13' group by date", EV)
+def k2(spark, d):
+    e = compaction.last_days(events(spark, d), F.to_timestamp(F.lit("2024-01-20 10:00:00")))
+    return e.groupBy(F.date_format("date", "yyyy-MM-dd").alias("date")).agg(F.count("*").alias("n"))
+
+
+@query("k11_day_overview", "select strftime(date, '%Y-%m-%d') as date, 'On ' || strftime(date, '%B %d, %Y') || ' there were ' || count(*) || ' events' as head from ev group by date", EV)
+def k11(spark, d):
+    t = rollup.daily_summary(events(spark, d)).withColumn("o", task_ops.day_overview())
+    return t.select(F.date_format("date", "yyyy-MM-dd").alias("date"), F.regexp_extract("o", "^(.* events)", 1).alias("head"))
+
+
+@query("j18_resolved_relations", "select distinct 'u' || user_id as id, 'k' || (k % 5) as source, 't' || event_type as target from (select *, cast(json_extract_string(props, '$.k') as bigint) as k from events) where user_id % 2 = 0 and k % 5 < 3")
+def j18(spark, d):
+    k = F.get_json_object("props", "$.k").cast("long") % 5
+    r = read(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("id"), F.concat(F.lit("k"), k.cast("string")).alias("source"), F.concat(F.lit("t"), F.col("event_type")).alias("target"), F.lit("uses").alias("type")).distinct()
+    names = r.filter(F.substring("id", 2, 9).cast("long") % 2 == 0)
+    names = names.select("id", F.col("source").alias("name")).filter(F.col("name").isin("k0", "k1", "k2")).union(names.select("id", "target"))
+    e = names.distinct().withColumn("type", F.lit("concept")).withColumn("entity_id", entity_graph.entity_id())
+    return entity_graph.resolved(r, e).select("id", "source", "target")
+
+
+@query("v16_reembed")
+def v16(spark, d):
+    from .streaming.ingest import chunked, embedded, hashed_vectors
+
+    return embedded(chunked(events(spark, d).drop("embedding")), hashed_vectors()).select("id", "chunk_index", "total_chunks", F.size("embedding").alias("width"))
+
+
+@query("s21_task_files", "select strftime(cast(start_time as date), '%Y-%m-%d') as date, count(*) as n from tasks group by 1", TASKS)
+def s21(spark, d):
+    return tasks(spark, d).groupBy(F.date_format("start_time", "yyyy-MM-dd").alias("date")).agg(F.count("*").alias("n"))
