@@ -110,3 +110,48 @@ def patterns(events: DataFrame, now: Column, days: int = 30) -> dict[str, DataFr
     """Types, projects, hours and active days of the last days."""
     e = filters.since(events, now - F.make_interval(days=F.lit(days)))
     return {"types": rollup.type_breakdown(e), "projects": rollup.top(e, F.col("project"), "project", 10), "hours": rollup.top(e, F.hour("timestamp"), "hour", 5), "active": rollup.active_days(e)}
+
+
+def observe(events: DataFrame, keys: list[str], gap: float = sequence.GAP) -> DataFrame:
+    """Sessions with their span, events, dominant type and counts by type."""
+    return sequence.session_table(sequence.gap_sessions(events, keys, gap), keys)
+
+
+def range_search(tasks: DataFrame, text: str, first: str, last: str) -> DataFrame:
+    """Tasks of these days that mention the text."""
+    return filters.mentioning(filters.tasks_between(tasks, first, last), text)
+
+
+def identify_tasks(events: DataFrame, now: Column, threshold: float = 0.7, least: int = 3, most: int = 30) -> DataFrame:
+    """Tasks from the clusters of each project."""
+    from ..operators.cluster import project_clusters
+    from ..operators.tasks import build_tasks
+
+    return build_tasks(project_clusters(events, threshold, least, most), ["project", "cluster", "block"], now)
+
+
+def analyze_graph(entities: DataFrame, relations: DataFrame, now: Column, days: int = 7, most: int = 10) -> dict[str, DataFrame]:
+    """Entities and relations of the last days by type, and the entities mentioned most."""
+    from ..operators.entity_graph import graph_stats
+
+    start = now - F.make_interval(days=F.lit(days))
+    e = entities.filter(F.col("last_seen") >= start)
+    return {"stats": graph_stats(e, relations.filter(F.col("last_seen") >= start)), "top": e.orderBy(F.desc("mention_count"), "id").limit(most)}
+
+
+def reembed(events: DataFrame, embed: Callable, date: str | None = None) -> DataFrame:
+    """Events, of one day if named, with new vectors of their summary, else their content."""
+    from ..streaming.ingest import embedded
+
+    e = events if date is None else events.filter(F.col("date") == F.to_date(F.lit(date)))
+    return embedded(e.drop("embedding").withColumn("chunk", F.coalesce("summary", "raw_content")), embed).drop("chunk")
+
+
+def shaped_tasks(tasks: DataFrame) -> DataFrame:
+    """The fields of tasks that a search shows."""
+    return tasks.select("id", "title", "description", "status", "category", "project", "start_time", "duration_minutes")
+
+
+def shaped_events(events: DataFrame) -> DataFrame:
+    """The fields of events that a search shows."""
+    return events.select("id", "timestamp", "event_type", "project", "category", F.coalesce("summary", F.left("raw_content", F.lit(200))).alias("text"))

@@ -49,6 +49,8 @@ def hashed_vectors(width: int = 64) -> Callable[[list[str]], list[list[float] |
             for w in t.lower().split():
                 h = zlib.crc32(w.encode())
                 v[h % width] += 1 if h & 1 << 20 else -1
+            if t.split() and not v.any():
+                v[0] = 1.0  # all words cancelled out
             n = np.linalg.norm(v)
             out.append((v / n).tolist() if n else None)
         return out

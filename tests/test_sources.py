@@ -235,3 +235,22 @@ def test_layout(spark):
     t = spark.createDataFrame(rows, "k int, text string, x double, y double, width double, height double")
     got = {r.k: r.text for r in logs.laid_out(t, ["k"]).collect()}
     assert got == {1: "name  the message body is here\nsecond line of words\nfar right\nnowhere", 2: None}
+
+
+def test_reports(spark, data):
+    from chronolake import adapter
+    from chronolake.settings import Settings
+
+    e, t = adapter.events(spark, data, vectors=True), adapter.tasks(spark, data)
+    now = F.to_timestamp(F.lit(adapter.NOW))
+    assert api.observe(e, ["user_id"]).agg(F.sum("event_count")).first()[0] == e.count()
+    assert api.range_search(t, "order", "1995-01-01", "1995-02-01").filter("start_time > '1995-02-02'").count() == 0
+    made = api.identify_tasks(e, now, -0.2)
+    assert made.count() == made.select("id").distinct().count() > 0
+    assert {len(r.embedding) for r in api.reembed(e, ingest.hashed_vectors(8), "2024-01-05").select("embedding").collect()} == {8}
+    assert len(api.shaped_tasks(t).columns) == 8 and len(api.shaped_events(e).columns) == 6
+    ent = spark.createDataFrame([("a", "tool", datetime(2024, 1, 30), 3), ("b", "tool", datetime(2023, 1, 1), 9)], "id string, type string, last_seen timestamp, mention_count long")
+    g = api.analyze_graph(ent, ent, now)
+    assert [r.id for r in g["top"].collect()] == ["a"] and g["stats"].first().entities == 1
+    s = Settings.of(spark.createDataFrame([("pool", "7"), ("recency_days", "x"), ("none", "1"), ("session_gap", None)], "key string, value string"))
+    assert s.pool == 7 and s.recency_days == 30.0 and s.session_gap == 600
