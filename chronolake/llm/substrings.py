@@ -87,7 +87,15 @@ def _run_rows(batches):
         ids = ints(b.column("doc_id"))
         for i, _, data, at in pieces(b.column("text"), 1 << 18):
             if a := _anchors(data, at, True):
-                yield batch(h=a[3].view(np.int64), whole=a[4].view(np.int64), doc_id=ids[i + a[0]], p=a[1], n=a[2])
+                row, p, n, h, whole = a
+                with np.errstate(over="ignore"):
+                    _, first = np.unique(mix(whole + row.astype(U64) * U64(0x9E3779B97F4A7C15)), return_index=True)
+                again = np.ones(len(row), bool)
+                again[first] = False
+                # a document's own repeats are copies already; those that follow each other become one row
+                begin = np.concatenate([[True], ~again[1:] | ~again[:-1] | (row[1:] != row[:-1])])
+                at_ = np.flatnonzero(begin)
+                yield batch(h=h[at_].view(np.int64), whole=whole[at_].view(np.int64), doc_id=ids[i + row[at_]], p=p[at_], n=np.add.reduceat(n, at_), again=again[at_])
 
 
 def _names(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,16 +125,18 @@ def repeats(docs: DataFrame) -> DataFrame:
     Positions start in buckets of equal Q-grams. Only one position in about forty, the anchor of the LENGTH-byte strings
     around it, enters them, and a bucket with one member is final: no string around it repeats. What is left is refined
     by the identifiers of later offsets up to depth LENGTH. First the runs of strings around an anchor are named whole:
-    of equal runs all but the earliest repeat in full. Then, where a bucket has several distinct runs, the earliest of
+    of equal runs all but the earliest repeat in full, and those within one document are told apart where they are found. Then, where a bucket has several distinct runs, the earliest of
     each are refined string by string. Buckets of many distinct runs are dealt out by string, so none meets in one task."""
     t = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
     several = t.select("text").mapInArrow(_bucket_rows, "h long").groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
     several = store(several)
-    runs = t.mapInArrow(_run_rows, "h long, whole long, doc_id long, p long, n long")
+    runs = t.mapInArrow(_run_rows, "h long, whole long, doc_id long, p long, n long, again boolean")
     runs = store(runs.join(several, "h"))
+    own = runs.filter("again").select("doc_id", F.col("p").alias("a"), (F.col("p") + F.col("n") + LENGTH - 1).alias("b"))
+    runs = runs.filter("not again")
     first = store(runs.groupBy("h", "whole", "n").agg(F.min(F.struct("doc_id", "p")).alias("f")))
     copies = runs.join(first, ["h", "whole", "n"]).filter("doc_id <> f.doc_id or p <> f.p").select("doc_id", F.col("p").alias("a"), (F.col("p") + F.col("n") + LENGTH - 1).alias("b"))
-    mixed = first.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
+    mixed = store(first.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1"))
     left = first.join(mixed, "h").select(F.col("f.doc_id").alias("d"), F.struct("h", F.col("f.p").alias("p"), "n", "c").alias("r"))
     left = left.groupBy("d").agg(F.collect_list("r").alias("r"))
     found = t.join(left, F.col("doc_id") == F.col("d")).select("doc_id", "text", "r")
@@ -169,9 +179,10 @@ def repeats(docs: DataFrame) -> DataFrame:
                 yield batch(name=name.view(np.int64), doc_id=ints(b.column("doc_id"))[i + row], p=ints(b.column("p"))[i + row] + off)
 
     each = found.filter(F.col("c") > LARGE).select("doc_id", "p", "s").mapInArrow(strings, "name long, doc_id long, p long")
-    twice = each.groupBy("name").agg(F.min(F.struct("doc_id", "p")).alias("f"), F.count("*").alias("c")).filter("c > 1")
+    # written before they are joined, so that adaptive execution can split the join where a string is very common
+    twice = store(each.groupBy("name").agg(F.min(F.struct("doc_id", "p")).alias("f"), F.count("*").alias("c")).filter("c > 1"))
     large = each.join(twice, "name").filter("doc_id <> f.doc_id or p <> f.p").select("doc_id", F.col("p").alias("a"), (F.col("p") + LENGTH).alias("b"))
-    return copies.unionByName(small).unionByName(large)
+    return own.unionByName(copies).unionByName(small).unionByName(large)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
