@@ -32,7 +32,7 @@ def store(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: the lineage ends there, and a lost executor costs
     nothing that was finished. The shuffle files behind it are given up once it is written."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     schema = df.schema
     old = spark.conf.get(CLEAN, None)
     try:
@@ -50,6 +50,15 @@ def store(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete what ``store`` has written for this application; results that weren't written elsewhere are lost with it."""
+    sc = spark.sparkContext
+    files = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/llm-{sc.applicationId}-*")
+    fs = files.getFileSystem(sc._jsc.hadoopConfiguration())
+    for f in fs.globStatus(files) or ():
+        fs.delete(f.getPath(), True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import U64, batch, ints, mix, pieces, table, words
+from .common import U64, batch, pieces, table, words
 
 # Sentences of public licences and of the notices that name them.
 SENTENCES = {

@@ -13,7 +13,7 @@ LEAST_WORDS = 50
 
 
 def _lines(batches):
-    """The non-blank lines of each text: number among all its lines, hash, words."""
+    """The non-blank lines of each text: number among all its lines and among the non-blank ones, hash, words."""
     for b in batches:
         doc = ints(b.column("doc_id"))
         for i, _, data, at in pieces(b.column("text")):
@@ -28,8 +28,10 @@ def _lines(batches):
             with np.errstate(over="ignore"):
                 pos = (np.arange(len(h)) - np.repeat(begin, count)).astype(U64)
                 key = np.add.reduceat(mix(h + pos * U64(0x9E3779B97F4A7C15)), begin)
-            own = line[begin] - np.searchsorted(breaks, at[row[begin]])
-            yield batch(doc_id=doc[i + row[begin]], i=own.astype(np.int32), h=key.view(np.int64), w=count)
+            of = row[begin]
+            own = line[begin] - np.searchsorted(breaks, at[of])
+            nth = np.arange(len(of)) - np.searchsorted(of, of)
+            yield batch(doc_id=doc[i + of], i=own.astype(np.int32), seq=nth.astype(np.int32), h=key.view(np.int64), w=count)
 
 
 #: Words of a line: white space separates, case counts.
@@ -52,27 +54,22 @@ def repeated(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     last line back; each is named by the ranks of two overlapping prefixes, and is a copy unless it is the first of its
     name. Null and empty texts have no lines; doc_id is a key, and rows of a null doc_id are left alone."""
     d = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
-    lines = d.mapInArrow(_lines, "doc_id long, i int, h long, w long")
+    lines = store(d.mapInArrow(_lines, "doc_id long, i int, seq int, h long, w long"))
     first = F.min(F.struct("doc_id", "seq")).alias("f")
 
     def ranked(t: DataFrame, *names: str) -> DataFrame:
         """Rows of names that occur more than once, with their rank (fd, fi)."""
         # written before it is joined, so that adaptive execution can split the join where a name is very common
         c = store(t.groupBy(*names).agg(first, F.count("*").alias("n")).filter("n > 1").drop("n"))
-        return t.join(c, [*names]).select("doc_id", "seq", "w", "span", F.col("f.doc_id").alias("fd"), F.col("f.seq").alias("fi"))
+        return t.join(c, [*names]).select("doc_id", "seq", "w", F.col("f.doc_id").alias("fd"), F.col("f.seq").alias("fi"))
 
-    # seq numbers the non-blank lines of a document
-    numbered = lines.withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("i")).cast("int"))
-    numbered = store(numbered.select("doc_id", "i", "seq", "h", "w", F.col("w").alias("span1")))
-    level = ranked(numbered.withColumnRenamed("span1", "span"), "h")
-    level = store(level)
+    level = store(ranked(lines, "h"))
     levels, k = [level.withColumn("k", F.lit(0))], 0
     while 2**k < least_words:
         step = 2**k
         later = Window.partitionBy("doc_id").orderBy("seq").rangeBetween(step, step)
-        nxt = level.select("doc_id", "seq", "w", "span", "fd", "fi", F.first("fd").over(later).alias("gd"), F.first("fi").over(later).alias("gi"), F.first("span").over(later).alias("span2"))
-        nxt = nxt.filter("gd is not null").withColumn("span", F.col("span") + F.col("span2"))
-        level = store(ranked(nxt, "fd", "fi", "gd", "gi"))
+        nxt = level.select("doc_id", "seq", "w", "fd", "fi", F.first("fd").over(later).alias("gd"), F.first("fi").over(later).alias("gi"))
+        level = store(ranked(nxt.filter("gd is not null"), "fd", "fi", "gd", "gi"))
         k += 1
         if not level.take(1):
             break
@@ -125,7 +122,7 @@ def repeated(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     c = store(s.groupBy(*name).agg(first, F.count("*").alias("n")).filter("n > 1").drop("n"))
     later = s.join(c, name).filter("doc_id <> f.doc_id or seq <> f.seq").select("doc_id", "seq", "size")
     cover = later.select("doc_id", F.explode(F.sequence(F.col("seq"), F.col("seq") + F.col("size") - 1)).alias("seq")).distinct()
-    return numbered.join(cover, ["doc_id", "seq"]).select("doc_id", "i").groupBy("doc_id").agg(F.collect_list("i").alias("gone"))
+    return lines.join(cover, ["doc_id", "seq"]).select("doc_id", "i").groupBy("doc_id").agg(F.collect_list("i").alias("gone"))
 
 
 def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from .common import U64, batch, ints, mix, table
+from .common import U64, batch, mix, table
 
 #: Fixed by the vocabulary's library: how texts are cut before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
