@@ -832,7 +832,7 @@ def g10(spark, d):
     return entity_graph.merged_entities(m).select("name", "type", "mention_count", F.round("confidence", 6).alias("confidence"), joined("aliases").alias("aliases"), ts("first_seen").alias("first_seen"), ts("last_seen").alias("last_seen"))
 
 
-@query("g12_relationship_strength", "select 'u' || user_id as source_entity_id, event_type as target_entity_id, round(1.0 + 0.1 * (count(*) - 1), 6) as strength from events group by 1, 2")
+@query("g12_relationship_strength", "select 'u' || user_id as source_entity_id, event_type as target_entity_id, round(1.0::double + 0.1::double * (count(*) - 1), 6) as strength from events group by 1, 2")
 def g12(spark, d):
     e = read(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source_entity_id"), F.col("event_type").alias("target_entity_id"), F.lit("USES").alias("type"), F.lit(0.7).alias("confidence"), F.col("ts").alias("timestamp"))
     return entity_graph.merged_relations(e).select("source_entity_id", "target_entity_id", F.round("strength", 6).alias("strength"))
