@@ -707,7 +707,7 @@ def x4(spark, d):
 
 # texts and vectors share ids: vector i stands for document i
 _AGE = f"((epoch_us(timestamp '{NOW}') // 1000000 - epoch_us(timestamp) // 1000000) / 86400.0)"
-HYB = "docs as (select cast(doc_id as varchar) as id, timestamp '2024-01-01 00:00:00' + to_hours(cast(doc_id % 700 as int)) as timestamp from documents), va as (select cast(vec_id as varchar) as id, row_number() over (order by " + _COS.format(7) + " desc, cast(vec_id as varchar)) as r from embeddings), ta as (select id, row_number() over (order by score desc, id) as r from bm), fused as (select id, sum(1.0::double / (60 + r)) as s from (select * from va where r <= 40 union all select * from ta where r <= 40) group by id order by s desc, id limit 40)"
+HYB = "docs as (select cast(doc_id as varchar) as id, timestamp '2024-01-01 00:00:00' + to_hours(cast(doc_id % 700 as int)) as timestamp from documents), va as (select cast(vec_id as varchar) as id, row_number() over (order by " + _COS.format(7) + " desc, cast(vec_id as varchar)) as r from embeddings where vec_id in (select doc_id from documents)), ta as (select id, row_number() over (order by score desc, id) as r from bm), fused as (select id, sum(1.0::double / (60 + r)) as s from (select * from va where r <= 40 union all select * from ta where r <= 40) group by id order by s desc, id limit 40)"
 
 
 def _searchable(spark, d) -> DataFrame:
