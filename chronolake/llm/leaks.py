@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +15,6 @@ MASKS = ("110110111011", "111011010111", "101111011101")
 SPAN = 12
 SHORTEST = 8
 LEAST, IDENTITY = 13, 0.8
-MISMATCH = 2
 #: Bytes of benchmark text that one pass over the documents compares with; more text takes more passes.
 PASS_BYTES = 16 << 20
 
@@ -78,19 +79,34 @@ class Index:
         return (np.concatenate(mine), np.concatenate(theirs)) if mine else (np.zeros(0, np.int64),) * 2
 
 
-def _verify(eq: np.ndarray) -> tuple[int, int, int]:
-    """The stretch of aligned words of the highest score, a match +1 and a mismatch -MISMATCH: (matches, begin, end)."""
-    score = np.where(eq, 1, -MISMATCH)
-    total = np.concatenate([[0], np.cumsum(score)])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    begin = int(np.argmin(total[: end + 1]))
-    return int(eq[begin:end].sum()), begin, end
+def _verify(eq: np.ndarray, least: int, share: Fraction) -> tuple[int, int, int] | None:
+    """The stretch of aligned words with the most equal words, of these the shortest and then the first, among all that
+    have ``least`` of them and of which they are ``share``: (matches, begin, end); None if there is none.
+
+    With whole numbers q * equal - p * words a stretch has its share if the sum doesn't fall from its begin to its end, so
+    from each begin the last end that isn't lower has the most equal words."""
+    at = np.flatnonzero(eq)
+    if len(at) < max(least, 1):
+        return None
+    p, q = share.numerator, share.denominator
+    n = np.arange(len(at))
+    before = q * n - p * at  # sums at the begin of each equal word, and after it
+    after = before + q - p
+    highest = np.maximum.accumulate(after[::-1])[::-1]
+    last = np.searchsorted(-highest, -before, "right") - 1
+    found = last - n + 1
+    most = int(found.max())
+    if most < least:
+        return None
+    begin = at[found == most]
+    end = at[last[found == most]] + 1
+    k = int(np.argmin(end - begin))
+    return most, int(begin[k]), int(end[k])
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, identity: float = IDENTITY) -> DataFrame:
-    """(doc_id, item_id, matched, length, doc_word, item_word): the best stretch that a document of ``docs`` (doc_id, text)
-    shares with an item of ``benchmark`` (item_id, text), position by position, with substituted words allowed.
+    """(doc_id, item_id, matched, length, doc_word, item_word): the stretch of most equal words that a document of ``docs``
+    (doc_id, text) shares with an item of ``benchmark`` (item_id, text), position by position, with substituted words allowed.
 
     A pair is reported if, on one alignment, a stretch has at least ``least`` equal words (or all words of an item that
     has fewer, but at least SHORTEST) and they are ``identity`` of the stretch. Alignments are found by spaced seeds:
@@ -112,6 +128,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, identity
 
 def _one_pass(docs: DataFrame, ids: list[int], texts: list[str], least: int, identity: float) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((ids, texts))
+    share = Fraction(identity).limit_denominator(10**6)
     made: list[Index] = []
 
     def find(batches):
@@ -131,9 +148,10 @@ def _one_pass(docs: DataFrame, ids: list[int], texts: list[str], least: int, ide
                 best: dict[tuple[int, int], tuple] = {}
                 for r, m, shift in np.unique(np.stack([row, item, y - x]), axis=1).T.tolist():
                     lo, hi = max(first[r], index.first[m] - shift), min(first[r + 1], index.first[m + 1] - shift)
-                    n, begin, end = _verify(h[lo:hi] == index.h[lo + shift : hi + shift])
                     size = int(index.first[m + 1] - index.first[m])
-                    if n >= min(least, size) and n >= identity * (end - begin):
+                    stretch = _verify(h[lo:hi] == index.h[lo + shift : hi + shift], min(least, size), share)
+                    if stretch:
+                        n, begin, end = stretch
                         new = (n, begin - end, int(first[r] - lo - begin), int(lo + shift + begin - index.first[m]))
                         best[r, m] = max(best.get((r, m), new), new)
                 out += [(int(doc[i + r]), int(index.ids[m]), n, -size, -word, theirs) for (r, m), (n, size, word, theirs) in best.items()]

@@ -2,6 +2,7 @@
 
 import random
 import sys
+from fractions import Fraction
 from pathlib import Path
 
 import numpy as np
@@ -131,6 +132,24 @@ def test_leaks(spark, docs):
     assert leaks.overlaps(d, b.limit(0)).count() == 0 and leaks.overlaps(d.limit(0), b).count() == 0
 
 
+@pytest.mark.parametrize("rate", [0.1, 0.2, 0.25, 0.4])
+def test_leak_stretches_like_brute_force(rate):
+    r = np.random.default_rng(int(100 * rate))
+    for size in r.integers(1, 90, 60).tolist():
+        eq, least = r.random(size) >= rate, min(13, size)
+        fit = [(int(eq[i:j].sum()), i - j, -i) for i in range(size) for j in range(i + 1, size + 1) if eq[i:j].sum() >= least and 5 * eq[i:j].sum() >= 4 * (j - i)]
+        n, length, begin = max(fit, default=(0, 0, 0))
+        assert leaks._verify(eq, least, Fraction(4, 5)) == ((n, -begin, -begin - length) if fit else None)
+
+
+def test_leak_beside_weaker_words(spark, docs):
+    item = [f"w{i}" for i in range(120)]
+    own = [x if i < 20 or i % 4 else f"z{i}" for i, x in enumerate(item)]
+    got = leaks.overlaps(docs([(1, " ".join(own))]), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(1, 1)]
+    assert got[0].matched >= 20 and got[0].matched >= 0.8 * got[0].length
+
+
 def test_leaks_in_passes(spark, docs, monkeypatch):
     items = [(i, prose(20)) for i in range(9)]
     b = spark.createDataFrame(items, "item_id long, text string")
