@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import cosine, literal_vector, recency
 
+#: Bytes and number of query vectors that go to every task; more are dealt in blocks of so many queries and events.
+SENT, SENT_ROWS = 64 << 20, 100_000
+QUERIES, BLOCK = 4096, 4096
+
 
 def nearest(events: DataFrame, query: list[float], k: int, floor: float = 0.0, where: Column | None = None) -> DataFrame:
     """The ``k`` events of the highest cosine, each id once by its best chunk, ties by id, with ``score``.
@@ -22,41 +26,76 @@ def nearest(events: DataFrame, query: list[float], k: int, floor: float = 0.0, w
     return best.orderBy(F.desc("score"), "id").limit(k)
 
 
+def _best(q, v, k: int):
+    """(row of ``q``, row of ``v``, cosine) of the k best for each row of ``q``, and what ties with them."""
+    import numpy as np
+
+    unit = lambda x: np.divide(x, n := np.linalg.norm(x, axis=1, keepdims=True), out=np.zeros_like(x), where=n > 0)
+    q, v = unit(q), unit(v)
+    m = min(k, len(v))
+    mine, theirs, scores = [], [], []
+    for i in range(0, len(q), 256):
+        s = np.clip(q[i : i + 256] @ v.T, -1, 1)
+        least = np.partition(s, len(v) - m, axis=1)[:, len(v) - m]
+        x, y = np.nonzero(s >= least[:, None] - 1e-12)  # ties too: ids decide later
+        mine.append(x + i)
+        theirs.append(y)
+        scores.append(s[x, y])
+    return np.concatenate(mine), np.concatenate(theirs), np.concatenate(scores)
+
+
 def nearest_of_each(queries: DataFrame, events: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank) for many query vectors (query_id, query): matrix products over Arrow batches.
 
-    Queries go to every task, so their number is checked: more than fit in 64 MB are refused, to be run in parts."""
+    Up to SENT bytes and SENT_ROWS queries go to every task, and events are not shuffled. More are dealt in blocks of QUERIES to
+    blocks of BLOCK events; the best of each pair of blocks then meet, so any number of queries has its exact result."""
+    e = events.filter("embedding is not null").select("id", "embedding")
+    total = queries.agg(F.count("*").alias("n"), F.sum(F.size("query")).alias("size")).first()
+    if not total.n:
+        return queries.sparkSession.createDataFrame([], "query_id string, id string, score double, rank int")
+    found = _sent(queries, e, k) if total.n <= SENT_ROWS and (total.size or 0) * 8 <= SENT else _dealt(queries, total.n, e, k)
+    # sums of products in another order differ in the last digits: scores are compared at twelve
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "id")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _sent(queries: DataFrame, events: DataFrame, k: int) -> DataFrame:
     import numpy as np
     import pyarrow as pa
 
-    rows = queries.select("query_id", "query").limit(100_001).collect()
-    if len(rows) > 100_000 or sum(len(r.query) for r in rows) * 8 > 64 << 20:
-        raise ValueError("too many query vectors for one pass; run them in parts")
-    if not rows:
-        return queries.sparkSession.createDataFrame([], "query_id string, id string, score double, rank int")
+    rows = queries.select("query_id", "query").collect()
     q = np.array([r.query for r in rows], float)
-    size = np.linalg.norm(q, axis=1, keepdims=True)
-    q = np.divide(q, size, out=np.zeros_like(q), where=size > 0)
     names = np.array([str(r.query_id) for r in rows])
 
     def search(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            ids = np.array(b.column("id").to_pylist(), object)
-            v = np.array(b.column("embedding").to_pylist(), float)
-            n = np.linalg.norm(v, axis=1, keepdims=True)
-            s = np.clip(q @ np.divide(v, n, out=np.zeros_like(v), where=n > 0).T, -1, 1)
-            m = min(k, s.shape[1])
-            for i in range(len(q)):
-                least = np.partition(s[i], s.shape[1] - m)[s.shape[1] - m]
-                o = np.flatnonzero(s[i] >= least)  # ties too: ids decide later
-                yield pa.RecordBatch.from_pydict({"query_id": [names[i]] * len(o), "id": ids[o].tolist(), "score": s[i][o]})
-
-    found = events.filter("embedding is not null").select("id", "embedding").mapInArrow(search, "query_id string, id string, score double")
-    # sums of products in another order differ in the last digits: scores are compared at twelve
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            if b.num_rows:
+                x, y, s = _best(q, np.array(b.column("embedding").to_pylist(), float), k)
+                yield pa.RecordBatch.from_pydict({"query_id": names[x].tolist(), "id": b.column("id").take(pa.array(y)), "score": s})
+
+    return events.mapInArrow(search, "query_id string, id string, score double")
+
+
+def _dealt(queries: DataFrame, n: int, events: DataFrame, k: int) -> DataFrame:
+    import numpy as np
+    import pyarrow as pa
+
+    blocks, parts = -(-events.count() // BLOCK) or 1, -(-n // QUERIES)
+    deal = lambda count, *of: F.pmod(F.xxhash64(*of), F.lit(count)).cast("int")
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    # each event once for each block of queries, each query once for each block of events
+    data = events.select(deal(blocks, "id", "embedding").alias("block"), each(parts).alias("part"), F.lit(False).alias("asks"), F.col("id").cast("string").alias("name"), F.col("embedding").cast("array<double>").alias("v"))
+    asks = queries.select(each(blocks).alias("block"), deal(parts, "query_id").alias("part"), F.lit(True).alias("asks"), F.col("query_id").cast("string").alias("name"), F.col("query").cast("array<double>").alias("v"))
+
+    def search(t: pa.Table) -> pa.Table:
+        own = t.column("asks").to_numpy()
+        q, e = t.filter(pa.array(own)), t.filter(pa.array(~own))
+        x = y = s = np.zeros(0, int)
+        if q.num_rows and e.num_rows:
+            x, y, s = _best(np.stack(q.column("v").to_numpy()), np.stack(e.column("v").to_numpy()), k)
+        return pa.table({"query_id": q.column("name").take(pa.array(x)), "id": e.column("name").take(pa.array(y)), "score": pa.array(s, pa.float64())})
+
+    return data.unionByName(asks).groupBy("block", "part").applyInArrow(search, "query_id string, id string, score double")
 
 
 def vote(neighbours: DataFrame, threshold: float) -> DataFrame:

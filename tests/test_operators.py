@@ -261,6 +261,31 @@ def test_greedy_dedup_like_a_loop(spark):
     assert vector.greedy_dedup(e.limit(20).withColumn("k", F.lit(1)), ["k"], 0.0).count() == 20
 
 
+def test_nearest_of_more_queries_than_are_sent(spark):
+    angle = F.col("id") * 0.001
+    q = spark.range(100_001).select(F.col("id").cast("string").alias("query_id"), F.array(F.cos(angle), F.sin(angle)).alias("query"))
+    e = events(spark, [{"embedding": [math.cos(i), math.sin(i)]} for i in range(6)])
+    got = vector.nearest_of_each(q, e, 1)
+    at = np.arange(100_001)
+    nearest = np.cos(at[:, None] * 0.001 - np.arange(6)).argmax(1)
+    assert {int(r.query_id): int(r.id) for r in got.collect()} == dict(zip(at.tolist(), nearest.tolist(), strict=True))
+
+
+@pytest.mark.parametrize("sent", [0, 1 << 20])
+def test_nearest_of_each_like_brute_force(spark, monkeypatch, sent):
+    r = np.random.default_rng(3)
+    v = [[float(x) for x in r.integers(-2, 3, 4)] for _ in range(90)]  # zero vectors and ties among them
+    e = events(spark, [{"embedding": x} for x in v])
+    for name, value in (("SENT", sent), ("QUERIES", 7), ("BLOCK", 16)):
+        monkeypatch.setattr(vector, name, value)
+    q = e.filter("id % 3 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    u = np.array([np.array(x) / (np.linalg.norm(x) or 1) for x in v])
+    for k in (1, 5, 200):
+        got = {(x.query_id, x.rank): x.id for x in vector.nearest_of_each(q, e, k).collect()}
+        want = {(str(i), n + 1): j for i in range(0, 90, 3) for n, (_, j) in enumerate(sorted((-round(float(u[i] @ u[j]), 12) + 0.0, str(j)) for j in range(90))[:k])}
+        assert got == want
+
+
 def test_vote(spark):
     n = spark.createDataFrame([("q", "A", 0.9), ("q", "B", 0.5), ("q", "B", 0.5), ("q", None, 0.4), ("x", None, 0.9)], "query_id string, category string, score double")
     got = {r.query_id: r for r in vector.vote(n, 0.5).collect()}
