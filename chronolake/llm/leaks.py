@@ -1,4 +1,4 @@
-"""Benchmark decontamination by spaced seeds."""
+"""Benchmark decontamination by word seeds that no qualifying overlap lacks."""
 
 from __future__ import annotations
 
@@ -10,31 +10,36 @@ from pyspark.sql import functions as F
 
 from .common import U64, batch, ints, mix, pieces, table, words
 
-#: Which of SPAN consecutive words count; each mask ignores other positions.
-MASKS = ("110110111011", "111011010111", "101111011101")
-SPAN = 12
+#: Words of the shortest items that are looked for.
 SHORTEST = 8
 LEAST, IDENTITY = 13, 0.8
 #: Bytes of benchmark text that one pass over the documents compares with; more text takes more passes.
 PASS_BYTES = 16 << 20
 
 
-def _seeds(h: np.ndarray, pos: np.ndarray, mask: str, salt: int) -> np.ndarray:
-    x = np.full(len(pos), salt, U64)
+def _width(least: int, share: Fraction) -> int:
+    """Consecutive equal words that every stretch has that is to be reported: n equal words have at most n * (1 - share) /
+    share others among them, which part them into runs, and the longest run has at least the mean. Items of fewer than
+    ``least`` words agree whole."""
+    other = (1 - share) / max(share, Fraction(1, 10**6))
+    return min(SHORTEST, *(-(-n // (int(n * other) + 1)) for n in range(max(least, 1), max(least, 1) + 1000)))
+
+
+def _seeds(h: np.ndarray, pos: np.ndarray, width: int) -> np.ndarray:
+    x = np.zeros(len(pos), U64)
     with np.errstate(over="ignore"):
-        for k, c in enumerate(mask):
-            if c == "1":
-                x = mix(x * U64(0x100000001B3) + h[pos + k])
+        for k in range(width):
+            x = mix(x * U64(0x100000001B3) + h[pos + k])
     return x
 
 
 class Index:
     """Seeds of the benchmark items of one pass."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int], texts: list[str], width: int):
         import pyarrow as pa
 
-        self.ids = np.array(ids, np.int64)
+        self.ids, self.width = np.array(ids, np.int64), width
         data, at = [], np.zeros(1, np.int64)
         hashes, counts = [], []
         for _, _, data, at in pieces(pa.array(texts, pa.large_string())):
@@ -48,35 +53,22 @@ class Index:
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.h & U64((1 << 22) - 1)).astype(np.int64)] = True
         left = np.repeat(self.first[1:], n) - np.arange(len(self.h))
-        size = np.repeat(n, n)
-        self.kinds = []
-        for m, mask in enumerate(MASKS):
-            self._add(mask, m, np.flatnonzero(left >= SPAN))
-        for length in range(SHORTEST, SPAN):
-            self._add("1" * length, 100 + length, np.flatnonzero((size == length) & (left == length)))
-
-    def _add(self, mask: str, salt: int, pos: np.ndarray) -> None:
-        if len(pos):
-            s = _seeds(self.h, pos, mask, salt)
-            o = np.argsort(s, kind="stable")
-            self.kinds.append((mask, salt, s[o], pos[o]))
+        pos = np.flatnonzero((left >= width) & (np.repeat(n, n) >= SHORTEST))
+        seeds = _seeds(self.h, pos, width)
+        o = np.argsort(seeds, kind="stable")
+        self.seeds, self.at = seeds[o], pos[o]
 
     def hits(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(word of the rows, word of the benchmark) where a seed of both agrees."""
         known = self.bits[(h & U64((1 << 22) - 1)).astype(np.int64)]
         left = np.repeat(first[1:], np.diff(first)) - np.arange(len(h))
-        mine, theirs = [], []
-        for mask, salt, seeds, at in self.kinds:
-            pos = np.flatnonzero(known & (left >= len(mask)))
-            for k, c in enumerate(mask):
-                if c == "1" and k:
-                    pos = pos[known[pos + k]]
-            s = _seeds(h, pos, mask, salt)
-            lo, hi = np.searchsorted(seeds, s, "left"), np.searchsorted(seeds, s, "right")
-            n = hi - lo
-            mine.append(np.repeat(pos, n))
-            theirs.append(at[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)])
-        return (np.concatenate(mine), np.concatenate(theirs)) if mine else (np.zeros(0, np.int64),) * 2
+        pos = np.flatnonzero(known & (left >= self.width))
+        for k in range(1, self.width):
+            pos = pos[known[pos + k]]
+        s = _seeds(h, pos, self.width)
+        lo, hi = np.searchsorted(self.seeds, s, "left"), np.searchsorted(self.seeds, s, "right")
+        n = hi - lo
+        return np.repeat(pos, n), self.at[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
 
 
 def _verify(eq: np.ndarray, least: int, share: Fraction) -> tuple[int, int, int] | None:
@@ -109,9 +101,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, identity
     (doc_id, text) shares with an item of ``benchmark`` (item_id, text), position by position, with substituted words allowed.
 
     A pair is reported if, on one alignment, a stretch has at least ``least`` equal words (or all words of an item that
-    has fewer, but at least SHORTEST) and they are ``identity`` of the stretch. Alignments are found by spaced seeds:
-    masks over SPAN words that ignore some positions, hashed on both sides and joined; items of SHORTEST to SPAN - 1
-    words are hashed whole; shorter items are never reported. Seeds of the benchmark travel to the documents in passes
+    has fewer, but at least SHORTEST) and they are ``identity`` of the stretch. Alignments are found by
+    runs of equal words that every such stretch has (_width: four for 13 words and 0.8), hashed on both sides and joined, so
+    none is missed; shorter items than SHORTEST words are never reported. Seeds of the benchmark travel to the documents in passes
     of at most PASS_BYTES of its text, so that what is sent has a bound whatever its size, and the documents are never
     shuffled. Null and empty texts overlap nothing; rows of null ids are ignored; equal rows give equal results once for
     each document row; equal item rows count once; other columns are ignored; empty tables give none."""
@@ -129,11 +121,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, identity
 def _one_pass(docs: DataFrame, ids: list[int], texts: list[str], least: int, identity: float) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((ids, texts))
     share = Fraction(identity).limit_denominator(10**6)
+    width = _width(least, share)
     made: list[Index] = []
 
     def find(batches):
         if not made:
-            made.append(Index(*sent.value))
+            made.append(Index(*sent.value, width))
         index = made[0]
         for b in batches:
             doc = ints(b.column("doc_id"))

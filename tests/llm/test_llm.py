@@ -150,6 +150,23 @@ def test_leak_beside_weaker_words(spark, docs):
     assert got[0].matched >= 20 and got[0].matched >= 0.8 * got[0].length
 
 
+def test_leaks_found_whatever_is_substituted(spark, docs):
+    r, rate, items, texts = np.random.default_rng(5), 0.2, [], []
+    for i in range(300):
+        size = int(r.integers(8, 26))
+        item = [f"w{i}x{j}" for j in range(size)]
+        items.append((i, " ".join(item)))
+        texts.append((i, [x if r.random() >= (rate if size > 12 else 0.02) else "zzz" for x in item]))
+    want = set()
+    for (i, own), (_, text) in zip(texts, items, strict=True):
+        eq = [a == b for a, b in zip(own, text.split(), strict=True)]
+        spans = [(sum(eq[x:y]), y - x) for x in range(len(eq)) for y in range(x + 1, len(eq) + 1)]
+        if any(n >= min(13, len(eq)) and 5 * n >= 4 * length for n, length in spans):
+            want.add((i, i))
+    got = leaks.overlaps(docs([(i, f"{prose(5)} {' '.join(own)} {prose(5)}") for i, own in texts]), spark.createDataFrame(items, "item_id long, text string"))
+    assert 100 < len(want) < 300 and {(x.doc_id, x.item_id) for x in got.collect()} == want
+
+
 def test_leaks_in_passes(spark, docs, monkeypatch):
     items = [(i, prose(20)) for i in range(9)]
     b = spark.createDataFrame(items, "item_id long, text string")
