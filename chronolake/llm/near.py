@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .common import U64, batch, blobs, by_key, components, ints, mix, pieces, raw, salts, store, table, words
 
 N_HASHES, ROWS, STEP = 96, 4, 8
+#: In all steps together a pair at similarity 0.8 is dropped with probability 1.2e-6, less than bands miss.
+TOLERANCE = 1e-7
 BLOCK = 256
 SHINGLE = 5
 _A = (salts(101, N_HASHES) >> U64(32)).astype(np.uint32) | np.uint32(1)
@@ -122,7 +124,7 @@ def _spread(df: DataFrame, key: str, size: str) -> DataFrame:
     return df.withColumn("two", F.col("blk") != F.col("other")).withColumn("g", F.xxhash64(key, F.least("blk", "other"), F.greatest("blk", "other"))).drop("nb", "other")
 
 
-def similar(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-5) -> DataFrame:
+def similar(docs: DataFrame, threshold: float = 0.8, tolerance: float = TOLERANCE) -> DataFrame:
     """(doc_id, class_id, n_copies, n_links) for every row of ``docs`` (doc_id, text).
 
     Two documents are linked if the Jaccard similarity of their sets of five-word shingles is at least ``threshold``

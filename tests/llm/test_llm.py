@@ -1,5 +1,7 @@
 """The text operators against brute force, and on rows that are null, empty, very long, tied, repeated or absent."""
 
+import inspect
+import math
 import random
 import sys
 from fractions import Fraction
@@ -71,6 +73,17 @@ def test_bayesian_bound():
     assert near.shingles(np.zeros(0, np.uint64), np.zeros(3, np.int64))[0].size == 0
 
 
+def test_bound_drops_no_more_than_bands_miss():
+    least = near.least_matches(0.8, inspect.signature(near.similar).parameters["tolerance"].default)
+    step = [math.comb(near.STEP, k) * 0.8**k * 0.2 ** (near.STEP - k) for k in range(near.STEP + 1)]
+    left, dropped = np.ones(1), 0.0
+    for n in range(near.STEP, near.N_HASHES + 1, near.STEP):
+        left = np.convolve(left, step)
+        dropped += left[: least[n]].sum()
+        left[: least[n]] = 0
+    assert dropped < (1 - 0.8**near.ROWS) ** (near.N_HASHES // near.ROWS)
+
+
 def test_one_of_each_keeps_all_columns(ugly):
     kept = near.one_of_each(ugly)
     want = naive.classes(rows(ugly))
