@@ -63,6 +63,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with as many underscores before them that no column of ``df`` begins so."""
+    free = "_" * (1 + max([0, *(len(c) - len(c.lstrip("_")) for c in df.columns)]))
+    return [free + n for n in names]
+
+
 def by_key(df: DataFrame, key: str, fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, *order: str) -> DataFrame:
     """``fn`` over tables that hold whole groups of ``key`` (never null), many groups to a table."""
 

@@ -100,3 +100,24 @@ def unigram(rows, mod=7, rest=2):
     c = Counter(w for i, ws in words.items() if not out[i] for w in ws)
     n, v = sum(c.values()), len(c)
     return {i: (out[i], len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws)) for i, ws in words.items()}
+
+
+def leaks(docs, items, least=13, shortest=8):
+    """{(doc, text, item): (matched, length, doc word, item word)}"""
+    out = {}
+    for d, t in docs:
+        a = terms(t)
+        for m, u in items:
+            b = terms(u)
+            if d is None or m is None or t is None or u is None or len(b) < shortest:
+                continue
+            for shift in range(1 - len(b), len(a)):
+                lo, hi = max(0, shift), min(len(a), shift + len(b))
+                for x in range(lo, hi):
+                    n = 0
+                    for y in range(x, hi):
+                        n += a[y] == b[y - shift]
+                        if n >= min(least, len(b)) and 5 * n >= 4 * (y + 1 - x):
+                            new = (-n, y + 1 - x, x, x - shift)
+                            out[d, t, m] = min(out.get((d, t, m), new), new)
+    return {k: (-n, *v) for k, (n, *v) in out.items()}

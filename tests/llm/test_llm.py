@@ -180,12 +180,46 @@ def test_leaks_found_whatever_is_substituted(spark, docs):
     assert 100 < len(want) < 300 and {(x.doc_id, x.item_id) for x in got.collect()} == want
 
 
-def test_leaks_in_passes(spark, docs, monkeypatch):
-    items = [(i, prose(20)) for i in range(9)]
-    b = spark.createDataFrame(items, "item_id long, text string")
-    d = docs([(i, f"{prose(9)} {t}") for i, t in items])
-    monkeypatch.setattr(leaks, "PASS_BYTES", 300)
-    assert {(r.doc_id, r.item_id) for r in leaks.overlaps(d, b).collect()} == {(i, i) for i, _ in items}
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_leaks_like_brute_force(spark, docs, monkeypatch, sent):
+    """Broadcast and joined; repeated ids with equal and with other texts on both sides, common words, long items, ties."""
+    monkeypatch.setattr(leaks, "SENT_BYTES", sent)
+    monkeypatch.setattr(leaks, "HITS", 50)
+    monkeypatch.setattr(leaks, "CELLS", 300)
+    r = random.Random(11)
+    few = lambda n: " ".join(r.choice("abc") for _ in range(n))
+    items = [(i, edited(prose(r.randint(5, 40)), 0)) for i in range(8)] + [(1, few(20)), (8, few(14)), (9, "same " * 30), (9, "same " * 30 + "other"), (9, "same " * 30), (None, prose(20)), (10, None), (11, "")]
+    own = [(i, f"{prose(r.randint(0, 9))} {edited(t or 'x', r.randint(0, 4))} {prose(r.randint(0, 9))}") for i, (_, t) in enumerate(items)]
+    own += [(0, "again " + items[3][1]), own[1], own[1], (20, "same " * 70), (21, few(60)), (22, few(9) + " " + items[4][1]), (None, items[2][1]), (23, None), (24, "")]
+    b = spark.createDataFrame([(*x, 5) for x in items], "item_id long, text string, doc_id long")
+    d = docs(own)
+    got = sorted((x.doc_id, x.item_id, x.matched, x.length, x.doc_word, x.item_word) for x in leaks.overlaps(d, b).collect())
+    want = naive.leaks(own, items)
+    assert got == sorted((i, m, *want[i, t, m]) for i, t in own for m in {x for x, _ in items} if (i, t, m) in want)
+    kept = leaks.clean(d, b)
+    assert kept.columns == d.columns
+    gone = {(i, t) for i, t, _ in want}
+    assert sorted(map(str, rows(kept))) == sorted(str(x) for x in own if x not in gone)
+    assert leaks.overlaps(d.limit(0), b).count() == 0 and leaks.overlaps(d, b.limit(0)).count() == 0
+
+
+def test_every_stretch_has_a_seed():
+    assert leaks.unseeded(leaks.MASKS, leaks.LEAST, Fraction(4, 5)) is None
+    assert leaks.unseeded(leaks.MASKS[:-1], leaks.LEAST, Fraction(4, 5)) == 20
+    for least, share in ((5, Fraction(9, 10)), (6, Fraction(2, 3))):
+        assert leaks.unseeded(leaks._masks(least, share), least, share) is None
+    assert min(m[-1] for m in leaks.MASKS) < leaks.SHORTEST
+
+
+def test_leaks_of_one_repeated_word():
+    import tracemalloc
+
+    index = leaks.Index([7], ["same " * 100 + "other"], leaks.MASKS)
+    h, _, _, first = next((leaks.words(data, at) for _, _, data, at in leaks.pieces(leaks.pa.array(["same " * 100_000]))))
+    tracemalloc.start()
+    assert leaks._stretches(index, h, first, 13, Fraction(4, 5)) == {(0, 7): (100, -100, 0, 0, 0)}
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
 
 
 def test_toxicity(spark, docs):
