@@ -180,6 +180,26 @@ def test_leaks_found_whatever_is_substituted(spark, docs):
     assert 100 < len(want) < 300 and {(x.doc_id, x.item_id) for x in got.collect()} == want
 
 
+def test_line_runs_of_repeated_rows(docs):
+    lost = lambda own: sorted((x.doc_id, x.text, x.n_removed) for x in lines.without_repeats(docs(own)).collect())
+    p = PASSAGE
+    assert lost([(1, p), (2, p)]) == [(1, p, 0), (2, "", 4)]
+    assert lost([(1, p), (2, p), (2, p)]) == [(1, p, 0), (2, "", 4), (2, "", 4)]
+    assert lost([(1, p), (2, p), (2, "other text")]) == [(1, p, 0), (2, "", 4), (2, "other text", 0)]
+    assert lost([(1, p), (1, p), (3, "x")]) == [(1, p, 0), (1, p, 0), (3, "x", 0)]
+    one, two = lost([(1, p), (1, p + "\nmore")])
+    assert sorted((one[2], two[2])) == [0, 4]
+    assert lost([(1, p + "\n" + p), (1, p + "\n" + p)]) == [(1, p, 4), (1, p, 4)]
+
+
+def test_line_runs_in_parts(docs, monkeypatch):
+    monkeypatch.setattr(lines, "TOGETHER", 7)
+    r = random.Random(5)
+    pool = [" ".join(f"w{i}" for _ in range(r.choice([1, 2, 9, 20]))) for i in range(5)]
+    d = docs([(i, "\n".join(r.choice([*pool, "own line"]) for _ in range(r.randint(0, 90)))) for i in range(8)])
+    assert {x.doc_id: x.text for x in lines.without_repeats(d).collect()} == naive.line_runs(rows(d))
+
+
 @pytest.mark.parametrize("sent", [1 << 20, 0])
 def test_leaks_like_brute_force(spark, docs, monkeypatch, sent):
     """Broadcast and joined; repeated ids with equal and with other texts on both sides, common words, long items, ties."""
