@@ -84,7 +84,7 @@ def _bucket_rows(batches):
 
 def _run_rows(batches):
     for b in batches:
-        ids = ints(b.column("doc_id"))
+        ids, t, own = (ints(b.column(c)) for c in ("doc_id", "t", "row"))
         for i, _, data, at in pieces(b.column("text"), 1 << 18):
             if a := _anchors(data, at, True):
                 row, p, n, h, whole = a
@@ -95,19 +95,38 @@ def _run_rows(batches):
                 # a document's own repeats are copies already; those that follow each other become one row
                 begin = np.concatenate([[True], ~again[1:] | ~again[:-1] | (row[1:] != row[:-1])])
                 at_ = np.flatnonzero(begin)
-                yield batch(h=h[at_].view(np.int64), whole=whole[at_].view(np.int64), doc_id=ids[i + row[at_]], p=p[at_], n=np.add.reduceat(n, at_), again=again[at_])
+                yield batch(h=h[at_].view(np.int64), whole=whole[at_].view(np.int64), doc_id=ids[i + row[at_]], t=t[i + row[at_]], row=own[i + row[at_]], p=p[at_], n=np.add.reduceat(n, at_), again=again[at_])
 
 
-def _names(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(identifier at depth LENGTH, row, offset) of all LENGTH-byte strings of the rows."""
+def _strings(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, offset) of all LENGTH-byte strings of the rows."""
     n = np.maximum(np.diff(at) - LENGTH + 1, 0)
-    row = np.repeat(np.arange(len(n)), n)
-    off = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    return Buckets(data)[LENGTH][at[row] + off] if len(row) else np.zeros(0, U64), row, off
+    return np.repeat(np.arange(len(n)), n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _refined(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each byte of the rows the bucket of the LENGTH bytes that start there, as far as a row has so many.
+
+    The buckets of equal Q-grams are refined by sorting on two identifiers, the bucket's own and that of the position where
+    the string seen so far ends; the buckets that this makes are the identifiers of the next round, which so sees twice as
+    far. A bucket with one string left is final and keeps its identifier."""
+    ids = np.unique(Buckets(data)[Q], return_inverse=True)[1]
+    left = np.repeat(at[1:], np.diff(at)) - np.arange(len(data))
+    depth, made = Q, int(ids.max()) + 1 if len(ids) else 0
+    while depth < LENGTH:
+        step = min(depth, LENGTH - depth)
+        live = np.flatnonzero(left >= depth + step)
+        live = live[np.bincount(ids[live], minlength=made)[ids[live]] > 1]
+        if len(live):
+            found, new = np.unique(ids[live] * made + ids[live + step], return_inverse=True)
+            ids[live] = made + new
+            made += len(found)
+        depth += step
+    return ids
 
 
 def _merge(doc: np.ndarray, a: np.ndarray, b: np.ndarray):
-    """Runs [a, b) of each doc, overlapping and touching ones joined."""
+    """Runs [a, b) of each doc (any numbers), overlapping and touching ones joined."""
     o = np.lexsort((a, doc))
     doc, a, b = doc[o], a[o], b[o]
     code = np.concatenate([[0], np.cumsum(doc[1:] != doc[:-1])])
@@ -119,31 +138,39 @@ def _merge(doc: np.ndarray, a: np.ndarray, b: np.ndarray):
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, a, b): byte runs [a, b) of the texts of ``docs`` (doc_id, text) covered by LENGTH-byte strings that also
-    start earlier: in a smaller doc_id, or further left in the same document. Runs of a document may overlap.
+    """(doc_id, t, a, b): byte runs [a, b) of the texts of ``docs`` (doc_id, text) covered by LENGTH-byte strings that also
+    start earlier: in a smaller doc_id, or further left in the same document; t is xxhash64(text). Runs of a document may
+    overlap. Rows that agree in doc_id and text are one document, given more than once; rows that agree in doc_id alone are
+    documents of their own, in the order of t.
 
     Positions start in buckets of equal Q-grams. Only one position in about forty, the anchor of the LENGTH-byte strings
     around it, enters them, and a bucket with one member is final: no string around it repeats. What is left is refined
     by the identifiers of later offsets up to depth LENGTH. First the runs of strings around an anchor are named whole:
     of equal runs all but the earliest repeat in full, and those within one document are told apart where they are found. Then, where a bucket has several distinct runs, the earliest of
-    each are refined string by string. Buckets of many distinct runs are dealt out by string, so none meets in one task."""
-    t = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
-    several = t.select("text").mapInArrow(_bucket_rows, "h long").groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
+    each are refined by bucket pointers. Buckets of many distinct runs are dealt out by string, so none meets in one task."""
+    d = docs.filter("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64("text").alias("t"))
+    several = d.select("text").mapInArrow(_bucket_rows, "h long").groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
     several = store(several)
-    runs = t.mapInArrow(_run_rows, "h long, whole long, doc_id long, p long, n long, again boolean")
+    runs = d.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_run_rows, "h long, whole long, doc_id long, t long, row long, p long, n long, again boolean")
     runs = store(runs.join(several, "h"))
-    own = runs.filter("again").select("doc_id", F.col("p").alias("a"), (F.col("p") + F.col("n") + LENGTH - 1).alias("b"))
+    given = runs.groupBy("doc_id", "t").agg(F.min("row").alias("row"), F.max("row").alias("last"))
+    if twice := bool(given.filter("row < last").take(1)):  # documents that are given more than once count once
+        runs = store(runs.join(given.select("row"), "row", "left_semi"))
+    end = F.col("p") + F.col("n") + LENGTH - 1
+    own = runs.filter("again").select("doc_id", "t", F.col("p").alias("a"), end.alias("b"))
     runs = runs.filter("not again")
-    first = store(runs.groupBy("h", "whole", "n").agg(F.min(F.struct("doc_id", "p")).alias("f")))
-    copies = runs.join(first, ["h", "whole", "n"]).filter("doc_id <> f.doc_id or p <> f.p").select("doc_id", F.col("p").alias("a"), (F.col("p") + F.col("n") + LENGTH - 1).alias("b"))
+    first = store(runs.groupBy("h", "whole", "n").agg(F.min(F.struct("doc_id", "t", "p")).alias("f")))
+    later = "doc_id <> f.doc_id or t <> f.t or p <> f.p"
+    copies = runs.join(first, ["h", "whole", "n"]).filter(later).select("doc_id", "t", F.col("p").alias("a"), end.alias("b"))
     mixed = store(first.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1"))
-    left = first.join(mixed, "h").select(F.col("f.doc_id").alias("d"), F.struct("h", F.col("f.p").alias("p"), "n", "c").alias("r"))
-    left = left.groupBy("d").agg(F.collect_list("r").alias("r"))
-    found = t.join(left, F.col("doc_id") == F.col("d")).select("doc_id", "text", "r")
+    left = first.join(mixed, "h").select(F.col("f.doc_id").alias("d"), F.col("f.t").alias("dt"), F.struct("h", F.col("f.p").alias("p"), "n", "c").alias("r"))
+    left = left.groupBy("d", "dt").agg(F.collect_list("r").alias("r"))
+    found = d.join(left, (F.col("doc_id") == F.col("d")) & (F.col("t") == F.col("dt"))).select("doc_id", "t", "text", "r")
 
     def contexts(batches):
         for b in batches:
             data, at = raw(b.column("text"))
+            doc, t = ints(b.column("doc_id")), ints(b.column("t"))
             r = b.column("r").combine_chunks() if isinstance(b.column("r"), pa.ChunkedArray) else b.column("r")
             n = np.diff(r.offsets.to_numpy())
             flat = r.flatten()
@@ -154,34 +181,42 @@ def repeats(docs: DataFrame) -> DataFrame:
                 s = slice(i, i + 4096)
                 begin = at[row[s]] + p[s]
                 take = np.arange(int(size[s].sum())) + np.repeat(begin - (np.cumsum(size[s]) - size[s]), size[s])
-                yield batch(h=h[s], doc_id=ints(b.column("doc_id"))[row[s]], p=p[s], c=c[s], s=blobs(data[take], size[s]))
+                yield batch(h=h[s], doc_id=doc[row[s]], t=t[row[s]], p=p[s], c=c[s], s=blobs(data[take], size[s]))
 
-    found = store(found.mapInArrow(contexts, "h long, doc_id long, p long, c long, s binary"))
+    found = found.mapInArrow(contexts, "h long, doc_id long, t long, p long, c long, s binary")
+    found = store(found.dropDuplicates(["h", "doc_id", "t", "p"]) if twice else found)
 
-    def compare(t: pa.Table):
-        data, at = raw(t.column("s"))
-        name, row, off = _names(data, at)
+    def compare(table_: pa.Table):
+        data, at = raw(table_.column("s"))
+        row, off = _strings(at)
         if not len(row):
             return
-        doc, pos = ints(t.column("doc_id"))[row], ints(t.column("p"))[row] + off
-        o = np.lexsort((pos, doc, name))
-        again = o[1:][name[o[1:]] == name[o[:-1]]]
+        bucket = _refined(data, at)[at[row] + off]
+        doc, t, p = (ints(table_.column(c)) for c in ("doc_id", "t", "p"))
+        o = np.lexsort((p[row] + off, t[row], doc[row], bucket))
+        again = o[1:][bucket[o[1:]] == bucket[o[:-1]]]
         if len(again):
-            d, a, b = _merge(doc[again], pos[again], pos[again] + LENGTH)
-            yield batch(doc_id=d, a=a, b=b)
+            r = row[again]
+            # a number for each document of the table, and one of its rows
+            _, some, number = np.unique(np.stack([doc, t]), axis=1, return_index=True, return_inverse=True)
+            k, a, b = _merge(number.ravel()[r], p[r] + off[again], p[r] + off[again] + LENGTH)
+            yield batch(doc_id=doc[some[k]], t=t[some[k]], a=a, b=b)
 
-    small = by_key(found.filter(F.col("c") <= LARGE).select("h", "doc_id", "p", "s"), "h", compare, "doc_id long, a long, b long")
+    small = by_key(found.filter(F.col("c") <= LARGE).select("h", "doc_id", "t", "p", "s"), "h", compare, "doc_id long, t long, a long, b long")
 
     def strings(batches):
         for b in batches:
+            h, doc, t, p = (ints(b.column(c)) for c in ("h", "doc_id", "t", "p"))
             for i, _, data, at in pieces(b.column("s")):
-                name, row, off = _names(data, at)
-                yield batch(name=name.view(np.int64), doc_id=ints(b.column("doc_id"))[i + row], p=ints(b.column("p"))[i + row] + off)
+                row, off = _strings(at)
+                name = Buckets(data)[LENGTH][at[row] + off] if len(row) else np.zeros(0, U64)
+                row = row + i
+                yield batch(h=h[row], name=name.view(np.int64), doc_id=doc[row], t=t[row], p=p[row] + off)
 
-    each = found.filter(F.col("c") > LARGE).select("doc_id", "p", "s").mapInArrow(strings, "name long, doc_id long, p long")
+    each = found.filter(F.col("c") > LARGE).mapInArrow(strings, "h long, name long, doc_id long, t long, p long")
     # written before they are joined, so that adaptive execution can split the join where a string is very common
-    twice = store(each.groupBy("name").agg(F.min(F.struct("doc_id", "p")).alias("f"), F.count("*").alias("c")).filter("c > 1"))
-    large = each.join(twice, "name").filter("doc_id <> f.doc_id or p <> f.p").select("doc_id", F.col("p").alias("a"), (F.col("p") + LENGTH).alias("b"))
+    common = store(each.groupBy("h", "name").agg(F.min(F.struct("doc_id", "t", "p")).alias("f"), F.count("*").alias("c")).filter("c > 1"))
+    large = each.join(common, ["h", "name"]).filter(later).select("doc_id", "t", F.col("p").alias("a"), (F.col("p") + LENGTH).alias("b"))
     return own.unionByName(copies).unionByName(small).unionByName(large)
 
 
@@ -190,17 +225,22 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     The text's UTF-8 bytes, less those that a LENGTH-byte string covers which also starts earlier in the table; spans are
     the maximal removed runs as [begin, end) of the input. Strings are judged on the input and never cross documents.
-    Null counts as empty; texts under LENGTH bytes lose nothing; doc_id is a key; rows of a null doc_id stay whole; an
+    Null counts as empty; texts under LENGTH bytes lose nothing; rows that agree in doc_id and text are one document and lose
+    the same; rows that agree in doc_id alone are documents of their own; rows of a null doc_id stay whole; an
     empty table gives none; other columns are ignored."""
-    cut = repeats(docs)
+    cut = repeats(docs).withColumn("g", F.xxhash64("doc_id", "t"))
 
-    def joined(t: pa.Table):
-        d, a, b = _merge(*(ints(t.column(x)) for x in ("doc_id", "a", "b")))
+    def joined(table_: pa.Table):
+        doc, t, a, b = (ints(table_.column(x)) for x in ("doc_id", "t", "a", "b"))
+        edge = np.concatenate([[True], (doc[1:] != doc[:-1]) | (t[1:] != t[:-1])])  # sorted so
+        some = np.flatnonzero(edge)
+        d, a, b = _merge(np.cumsum(edge) - 1, a, b)
         head = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-        yield batch(d=d[head], spans=blobs(np.stack([a, b], 1).ravel(), 2 * np.diff(np.append(head, len(d)))))
+        yield batch(d=doc[some[d[head]]], dt=t[some[d[head]]], spans=blobs(np.stack([a, b], 1).ravel(), 2 * np.diff(np.append(head, len(d)))))
 
-    cut = by_key(cut, "doc_id", joined, "d long, spans binary")
-    r = docs.select("doc_id", "text").join(cut, F.col("doc_id") == F.col("d"), "left").select("doc_id", "text", "spans")
+    cut = by_key(cut, "g", joined, "d long, dt long, spans binary", "doc_id", "t")
+    r = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
+    r = r.join(cut, (F.col("doc_id") == F.col("d")) & (F.col("t") == F.col("dt")), "left").select("doc_id", "text", "spans")
 
     def kept(batches):
         for b in batches:

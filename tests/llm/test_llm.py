@@ -109,6 +109,39 @@ def test_substrings_of_few_letters(docs, seed):
     assert got == naive.substrings(rows(d))
 
 
+def test_substrings_of_repeated_rows(docs):
+    lost = lambda own: sorted((x.doc_id, x.n_bytes, x.n_removed) for x in substrings.without_repeats(docs(own)).collect())
+    p = " ".join(f"w{i}" for i in range(40))  # 150 bytes
+    n = len(p)
+    assert lost([(1, p), (2, p)]) == [(1, n, 0), (2, n, n)]
+    assert lost([(1, p), (2, p), (2, p)]) == [(1, n, 0), (2, n, n), (2, n, n)]
+    assert lost([(1, p), (2, p), (2, "other text")]) == [(1, n, 0), (2, 10, 0), (2, n, n)]
+    assert lost([(1, p), (1, p), (3, "x" * 99)]) == [(1, n, 0), (1, n, 0), (3, 99, 0)]
+    twice = p + p
+    assert lost([(5, twice), (5, twice), (6, twice + "!")]) == [(5, 2 * n, n), (5, 2 * n, n), (6, 2 * n + 1, 2 * n)]
+
+
+def test_substrings_of_texts_under_one_id(docs):
+    """Like documents of their own, in the order of their hashes."""
+    own = [(i % 3, t) for i, t in enumerate(UGLY) if t is not None]
+    d = docs(own).select("doc_id", "text", F.xxhash64("text").alias("t")).distinct().orderBy("doc_id", "t").collect()
+    want = naive.substrings([(k, x.text) for k, x in enumerate(d)])
+    want = {(x.doc_id, x.text): want[k] for k, x in enumerate(d)}
+    got = substrings.without_repeats(docs(own)).withColumn("s", F.sha2("kept", 256)).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.s) for r in got) == sorted((i, *want[i, t]) for i, t in own)
+
+
+def test_refined_buckets_are_the_strings():
+    r = random.Random(4)
+    texts = [bytes(r.choice(b"ab") for _ in range(r.randint(90, 130))) * r.randint(1, 3) for _ in range(8)] + [b"x" * 250, b""]
+    data, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    row, off = substrings._strings(at)
+    names = {}
+    for k, x, o in zip(substrings._refined(data, at)[at[row] + off].tolist(), row.tolist(), off.tolist(), strict=True):
+        names.setdefault(k, set()).add(texts[x][o : o + 100])
+    assert all(len(x) == 1 for x in names.values()) and len(set().union(*names.values())) == len(names)
+
+
 def test_buckets_name_equal_strings():
     data = np.frombuffer(b"abcdefgh" * 40, np.uint8)
     n = substrings.Buckets(data)[100]
