@@ -67,6 +67,25 @@ def test_jaccard_in_blocks(docs, monkeypatch):
     assert got == naive.classes(rows(d))
 
 
+def test_jaccard_of_long_texts_in_blocks(docs, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK_SHINGLES", 500)
+    base = prose(200)
+    d = docs([(i, edited(base, i % 8)) for i in range(40)])
+    got = {r.doc_id: (r.class_id, r.n_copies, r.n_links) for r in near.similar(d).collect()}
+    assert got == naive.classes(rows(d))
+
+
+def test_jaccard_of_repeated_rows(docs):
+    a, b, near_a = prose(80), prose(80), None
+    near_a = " ".join([*a.split()[:-1], "other"])
+    own = [(1, a), (1, a), (2, near_a), (2, b), (3, b), (3, None), (4, ""), (4, ""), (None, a), (5, a.upper()), (5, a)]
+    got = sorted((r.doc_id, r.class_id, r.n_copies, r.n_links) for r in near.similar(docs(own)).filter("doc_id is not null").collect())
+    # a: two rows of 1, two of 5; near_a: one; b: two
+    assert got == sorted([(1, 1, 4, 4), (1, 1, 4, 4), (2, 1, 1, 4), (2, 2, 2, 1), (3, 2, 2, 1), (3, 3, 1, 0), (4, 4, 1, 0), (4, 4, 1, 0), (5, 1, 4, 4), (5, 1, 4, 4)])
+    kept = sorted((str(i), str(t)) for i, t in rows(near.one_of_each(docs(own))))
+    assert kept == sorted((str(i), str(t)) for i, t in [(1, a), (2, b), (3, None), (4, ""), (4, ""), (None, a)])
+
+
 def test_bayesian_bound():
     least = near.least_matches(0.8, 1e-5)
     assert least[0] == 0 and (np.diff(least) >= 0).all() and 50 < least[96] < 77
