@@ -10,7 +10,8 @@ from .common import store, table
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 LIMIT = 2.0
-SLICES = 32
+#: Rows of a source and size class that one task numbers, about; a larger class is dealt out by the ids' hashes.
+SLICE = 1 << 15
 
 SIZE_SQL = r"regexp_count(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
@@ -48,37 +49,34 @@ def offset(source: Column) -> Column:
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
     """(doc_id, size, source_size, target, copies, taken) for every row of ``docs`` (doc_id, source, text).
 
-    Every document of a source expects target / source_size copies. Their prefix sums run over the source's documents,
-    those of like size side by side, so that the words taken stay near the target; a document is emitted once for each
-    whole number that its step crosses, after the source's one random offset. The prefix sums come from counts of small
-    bins (source, size class, slice), so that no source has to pass through one task: only a bin's own rows are numbered
-    together. Null texts have size 0; a null source is a source of its own, the last; equal rows are rows of their own;
-    an empty table gives an empty table; null doc_ids are sampled as any others. Other columns are not looked at."""
+    Every document of a source expects target / source_size copies, which is at most ``limit``; copies are that, rounded up or
+    down. Their prefix sums run over the source's documents, those of like size side by side, so that the words taken stay
+    near the target; a document is emitted once for each whole number that its step crosses, after the source's one random
+    offset. The prefix sums come from counts of small bins (source, size class, slice), as many slices as a class has SLICE
+    rows, so that no source has to pass through one task: only a bin's own rows are numbered together. Null texts have size
+    0; a null source is a source of its own, the last; equal rows are rows of their own; an empty table gives an empty
+    table; null doc_ids are sampled as any others. Other columns are not looked at."""
     d = sizes(docs).withColumn("k", F.monotonically_increasing_id())
-    d = d.withColumn("slice", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(SLICES)).cast("int"))
+    d = d.withColumn("hash", F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long"))
     # size class: sizes of equal length in binary that agree in their first five digits
     d = d.withColumn("class", F.length(F.bin("size")) * 32 + F.conv(F.rpad(F.substring(F.bin("size"), 1, 5), 5, "0"), 2, 10).cast("int"))
     d = store(d)
-    bins = d.groupBy("source", "class", "slice").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
-    by_class = bins.groupBy("source", "class").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+    by_class = store(d.groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
     in_order = Window.partitionBy("source").orderBy("class")
-    by_class = by_class.select("source", "class", (F.sum("n").over(in_order) - F.col("n")).alias("before"))
-    by_source = targets(bins.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, limit)
-    in_class = Window.partitionBy("source", "class").orderBy("slice")
-    bins = bins.select("source", "class", "slice", (F.sum("n").over(in_class) - F.col("n")).alias("before_slice")).withColumn("s", F.coalesce("source", F.lit("")))
-    bins = bins.withColumnRenamed("source", "src")
-    by_class, by_source = by_class.withColumnRenamed("class", "c"), by_source
-    start = bins.join(by_class, bins["src"].eqNullSafe(by_class["source"]) & (bins["class"] == by_class["c"])).select("src", "class", "slice", (F.col("before") + F.col("before_slice")).alias("start"))
-    start = start.join(by_source, start["src"].eqNullSafe(by_source["source"])).drop("source")
-    start = store(start)
-    own = Window.partitionBy("source", "class", "slice").orderBy("size", "doc_id", "k")
-    d = d.withColumn("at", F.row_number().over(own)).withColumnsRenamed({"class": "c", "slice": "sl"})
-    r = d.join(start, d["source"].eqNullSafe(start["src"]) & (d["c"] == start["class"]) & (d["sl"] == start["slice"]))
+    slices = F.greatest(F.lit(1), F.floor(F.col("n") / SLICE)).cast("long").alias("slices")
+    starts = by_class.select(F.col("source").alias("src"), F.col("class").alias("c"), slices, (F.sum("n").over(in_order) - F.col("n")).alias("before"))
+    by_source = store(targets(by_class.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, limit).withColumnRenamed("source", "of"))
+    starts = store(starts.join(by_source, F.col("src").eqNullSafe(F.col("of"))).drop("of"))
+    d = d.join(starts, F.col("source").eqNullSafe(F.col("src")) & (F.col("class") == F.col("c"))).withColumn("slice", F.col("hash") % F.col("slices"))
+    bins = d.groupBy("src", "c", "slice").agg(F.count("*").alias("m"))
+    in_class = Window.partitionBy("src", "c").orderBy("slice")
+    bins = store(bins.select(F.col("src").alias("s"), F.col("c").alias("cc"), F.col("slice").alias("sl"), (F.sum("m").over(in_class) - F.col("m")).alias("before_slice")))
+    own = Window.partitionBy("src", "c", "slice").orderBy("size", "doc_id", "k")
+    r = d.withColumn("at", F.row_number().over(own)).join(bins, F.col("src").eqNullSafe(F.col("s")) & (F.col("c") == F.col("cc")) & (F.col("slice") == F.col("sl")))
     step = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
-    rank, u = F.col("start") + F.col("at"), offset(F.col("src"))
+    rank, u = F.col("before") + F.col("before_slice") + F.col("at"), offset(F.col("src"))
     copies = (F.floor(rank * step + u) - F.floor((rank - 1) * step + u)).cast("long")
-    r = r.withColumn("copies", F.least(copies, F.lit(int(limit))))
-    return r.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return r.select("doc_id", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
@@ -88,8 +86,9 @@ def op8_mixing(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 with d as (
-  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, doc_id % 32 as slice from documents),
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint as hash from documents),
 c as (select *, length(bin(size)) * 32 + list_reduce(list_transform(string_split(rpad(substr(bin(size), 1, 5), 5, '0'), ''), lambda x: x::int), lambda a, b: a * 2 + b) as class from d),
+z as (select *, hash % greatest(1, count(*) over (partition by source, class) // 32768) as slice from c),
 s as (select source, sum(size)::bigint as source_size, [3, 1, 2][(row_number() over (order by source nulls last) - 1) % 3 + 1]::double as w from c group by source),
 n as (select *, source_size * 2.0::double as cap, sum(source_size) over () * 1.5::double as budget, sum(w) over () as all_w from s),
 l as (select *, (budget - coalesce(sum(cap) over (order by cap / w, source nulls last rows between unbounded preceding and 1 preceding), 0)) /
@@ -100,7 +99,7 @@ r as (select c.doc_id, c.source, c.size, t.source_size, t.target,
   row_number() over (partition by c.source order by c.class, c.slice, c.size, c.doc_id) as rank,
   case when t.source_size = 0 then 0 else t.target / t.source_size end as step,
   ('0x' || substr(md5(coalesce(c.source, '~null~')), 1, 8))::bigint / 4294967296.0::double as u
-  from c join t on c.source is not distinct from t.source)
+  from z c join t on c.source is not distinct from t.source)
 select doc_id, size, source_size, target, (floor(rank * step + u) - floor((rank - 1) * step + u))::bigint * size as taken,
   (floor(rank * step + u) - floor((rank - 1) * step + u))::bigint as copies from r
 """

@@ -413,6 +413,20 @@ def test_mix(spark, docs):
     assert mixing.mix_sources(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("share, limit", [(1.5, 1.5), (1.5, 3.0), (0.5, 2.0), (2.5, 2.0), (2.5, 3.0), (1.0, 1.0)])
+def test_mix_takes_its_targets(docs, monkeypatch, share, limit):
+    monkeypatch.setattr(mixing, "SLICE", 20)
+    d = docs([(32 * i, prose(rnd.randint(1, 9)), "abc"[min(2, i % 5)]) for i in range(900)])
+    got = mixing.mix_sources(d, share=share, limit=limit).join(d.select(F.col("doc_id").alias("i"), F.col("source").alias("src")), F.expr("doc_id = i")).collect()
+    by = {}
+    for r in got:
+        assert math.floor(r.target / r.source_size) <= r.copies <= math.ceil(r.target / r.source_size)
+        by.setdefault(r.src, []).append(r)
+    assert sum(x[0].target for x in by.values()) == pytest.approx(min(share, limit) * sum(r.size for r in got))
+    for s, x in by.items():
+        assert abs(sum(r.taken for r in x) - x[0].target) <= limit * 9 + 1, s
+
+
 def test_targets_share_what_is_cut_off(spark):
     t = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 30)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(t).collect()}
