@@ -481,20 +481,54 @@ def test_model_beats_unigrams(docs):
     assert sum(x.score for x in out) > sum(x.base_score for x in out)
 
 
-def test_forward_is_the_sum_over_paths():
+def small_model():
     keys = np.arange(1, 4, dtype=np.uint64) << np.uint64(40)
-    m = language.Model(keys, np.array([5, 3, 2]), np.arange(3), 13, 4, np.zeros(language.CLASSES), np.zeros(language.CLASSES), 3, np.array([5.0, 3, 2]))
-    sym, at = np.array([0, 1, m.end, 2, m.end]), np.array([0, 3, 5])
-    for rows_, s, r, alive in m.sweeps(sym, at):
-        _, scale = m.forward(s, alive)
-        ll = np.bincount(r, np.log(scale), 2)
-        emit, trans, pi = m.expect(s, alive)
-    for k, row in enumerate(rows_):
-        a = None
-        for x in sym[at[row] : at[row + 1]]:
-            a = (m.pi if a is None else a @ m.trans) * m.emit[x]
-        assert ll[k] == pytest.approx(np.log(a.sum()))
-    assert emit.sum() == pytest.approx(5) and trans.sum() == pytest.approx(3) and pi.sum() == pytest.approx(2)
+    return language.Model(keys, np.array([5, 3, 2]), np.arange(3), 13, 4, np.zeros(language.CLASSES), np.zeros(language.CLASSES), 3, np.array([5.0, 3, 2]))
+
+
+def plain_counts(m, seqs):
+    """Unscaled forward and backward recursions: (likelihoods, emissions, transitions, first states)."""
+    emit, trans, pi, lls = np.zeros_like(m.emit), np.zeros_like(m.trans), np.zeros_like(m.pi), []
+    for s in seqs:
+        a, b = [m.pi * m.emit[s[0]]], [np.ones(len(m.pi))]
+        for x in s[1:]:
+            a.append((a[-1] @ m.trans) * m.emit[x])
+        for x in s[:0:-1]:
+            b.insert(0, m.trans @ (m.emit[x] * b[0]))
+        lls.append(total := a[-1].sum())
+        for t, x in enumerate(s):
+            emit[x] += a[t] * b[t] / total
+            if t:
+                trans += m.trans * np.outer(a[t - 1], m.emit[x] * b[t]) / total
+        pi += a[0] * b[0] / total
+    return np.array(lls), emit, trans, pi
+
+
+@pytest.mark.parametrize("piece, sweep", [(1 << 15, 400_000), (3, 400_000), (3, 7), (1, 2)])
+def test_expected_counts_like_plain_baum_welch(monkeypatch, piece, sweep):
+    monkeypatch.setattr(language, "PIECE", piece)
+    monkeypatch.setattr(language, "SWEEP", sweep)
+    m, r = small_model(), random.Random(2)
+    seqs = [[r.randrange(3) for _ in range(n)] + [m.end] for n in (3, 0, 7, 1, 20, 8)]
+    sym, at = np.array([x for s in seqs for x in s], np.uint16), np.cumsum([0, *map(len, seqs)])
+    for _ in range(3):
+        ll, got = np.zeros(len(seqs)), [0, 0, 0]
+        for s, row, alive, came, after, opens in m.sweeps(sym, at):
+            ll += np.bincount(row, np.log(m.forward(s, alive, came, opens)[1]), len(ll))
+            got = [x + y for x, y in zip(got, m.expect(s, alive, came, after, opens), strict=True)]
+        want, *counts = plain_counts(m, seqs)
+        assert ll == pytest.approx(np.log(want))
+        for x, y in zip(got, counts, strict=True):
+            assert x == pytest.approx(y)
+        m.update(*got)
+
+
+def test_scores_of_null_ids_and_a_long_text(docs):
+    d = docs([(None, f"word{i % 7} of a text") for i in range(1000)] + [(3, " ".join(VOCAB[i % 97] for i in range(300_000))), (1, "of a text")])
+    got = check_scores(d.filter("doc_id is not null"))
+    assert not got[3].held_out and got[3].score > got[3].base_score
+    r = language.scores(d)
+    assert r.count() == 1002 and r.filter("doc_id is null").select("score").distinct().count() <= 7  # one for each text
 
 
 def test_odd_rows(spark, odd):
