@@ -9,106 +9,199 @@ from pyspark.sql import functions as F
 
 from .common import batch, blobs, by_key, ints, raw, store, table
 
-#: Vectors to a block of the approximation file, and queries to a block of queries.
-BLOCK, QUERIES = 4096, 512
-#: Cells to a dimension.
-CELLS = 256
-#: Exact vectors read at a time.
-CHUNK = 64
+#: Approximations to a block, and queries to a block of queries.
+BLOCK, QUERIES = 16384, 1024
+#: Bits of a cell's number: each dimension's range is cut in so many equal cells as they can count.
+BITS = 6
+#: Exact vectors that are read first for each query, as a multiple of k.
+FIRST = 4
+
+_TYPES = {1: np.int8, 2: np.int16, 4: np.int32, 8: np.int64}
 
 
 def _packed(batches):
-    """Whole vectors as rows of 64-bit integers."""
+    """Whole vectors as bytes, each batch in the smallest type that holds it."""
     for b in batches:
         v = b.column("v")
         n = np.diff(v.offsets.to_numpy())
         flat = v.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        yield batch(vec_id=ints(b.column("vec_id")), dim=n.astype(np.int64), is_query=b.column("is_query"), v=blobs(flat, n))
+        if len(flat):
+            wide = next(w for w, t in _TYPES.items() if np.iinfo(t).min <= flat.min() and flat.max() <= np.iinfo(t).max)
+            yield batch(vec_id=ints(b.column("vec_id")), is_query=b.column("is_query"), dim=n.astype(np.int64), wide=np.full(len(n), wide, np.int8), v=blobs(flat.astype(_TYPES[wide]), n))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row of ``vectors`` (vec_id, v: array of whole numbers) where ``is_query``
-    holds, the k other rows of the highest inner product, ties to the smaller vec_id; all, if there are fewer.
+def _exact(data: np.ndarray, at: np.ndarray, wide: np.ndarray, dim: int) -> np.ndarray:
+    """Rows of packed vectors of one length as a matrix."""
+    out = np.empty((len(wide), dim), np.int64)
+    for w in np.unique(wide).tolist():
+        rows = np.flatnonzero(wide == w)
+        own = data[(at[rows][:, None] + np.arange(dim * w)).ravel()]
+        out[rows] = own.view(_TYPES[w]).reshape(len(rows), dim)
+    return out
 
-    Only vectors of one length are compared with each other; an empty one with none. Rows of null ids, null vectors or
-    null components take no part; vec_id is a key, and a repeated one counts once. Each block of at most BLOCK vectors holds, besides the vectors, their
-    cells: each component cut to one of CELLS equal steps of the block's range. A scan of the cells bounds every score from
-    both sides; exact vectors are then read in the order of their upper bounds until the kth best score is above the next
-    bound. Blocks of queries are dealt to the blocks of vectors; a query's best of each block meet in one row per block."""
+
+def _ranges(batches):
+    """(dim, j, low, high): the range of each component of all vectors of one length."""
+    seen: dict[int, tuple] = {}
+    for b in batches:
+        (data, at), wide, dims = raw(b.column("v")), ints(b.column("wide")), ints(b.column("dim"))
+        for d in np.unique(dims).tolist():
+            rows = np.flatnonzero(dims == d)
+            x = _exact(data, at[rows], wide[rows], d)
+            low, high = seen.get(d, (x[0], x[0]))
+            seen[d] = np.minimum(low, x.min(0)), np.maximum(high, x.max(0))
+    for d, (low, high) in seen.items():
+        yield batch(dim=np.full(d, d), j=np.arange(d), low=low, high=high)
+
+
+def _grid(data: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the first cell of each dimension begins, and how wide the cells are."""
+    low, high = data.view(np.int64).reshape(2, dim)
+    return low, -(-(high - low + 1) // (1 << BITS))
+
+
+def _pack(cell: np.ndarray) -> np.ndarray:
+    return np.packbits(np.unpackbits(cell.astype(np.uint8)[:, :, None], axis=2)[:, :, 8 - BITS :].reshape(len(cell), -1), axis=1)
+
+
+def _unpack(data: np.ndarray, dim: int) -> np.ndarray:
+    bits = np.unpackbits(data, axis=1)[:, : dim * BITS].reshape(len(data), dim, BITS)
+    return np.packbits(bits, axis=2)[:, :, 0] >> (8 - BITS)
+
+
+def _cells(batches):
+    """Each vector's cell numbers, BITS for each dimension."""
+    for b in batches:
+        (data, at), (grid, grid_at) = raw(b.column("v")), raw(b.column("grid"))
+        ids, wide, dims = (ints(b.column(c)) for c in ("vec_id", "wide", "dim"))
+        for d in np.unique(dims).tolist():
+            rows = np.flatnonzero(dims == d)
+            low, step = _grid(grid[grid_at[rows[0]] : grid_at[rows[0] + 1]], d)
+            cell = _pack((_exact(data, at[rows], wide[rows], d) - low) // step)
+            yield batch(vec_id=ids[rows], dim=dims[rows], cell=blobs(cell.ravel(), np.full(len(rows), cell.shape[1])))
+
+
+def _bounds(ids: np.ndarray, cell: np.ndarray, low: np.ndarray, step: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int):
+    """(query, row, least, most): bounds of the scores of those rows that can be among a query's k best of this block."""
+    corner = cell.astype(np.float64) * step + low
+    high = np.abs(q).astype(np.float64) @ np.maximum(np.abs(low), np.abs(low + step * ((1 << BITS) - 1) + step))
+    error = np.where(high < 2**53, 0.0, high * q.shape[1] * 2.0**-51)  # whole numbers are exact up to there
+    up = np.maximum(q, 0).astype(np.float64) @ (step - 1) + error
+    down = np.minimum(q, 0).astype(np.float64) @ (step - 1) - error
+    for i in range(0, len(q), 128):
+        score = q[i : i + 128].astype(np.float64) @ corner.T
+        score[qids[i : i + 128, None] == ids] = -np.inf
+        most = min(k, len(ids))
+        kth = np.partition(score, len(ids) - most, axis=1)[:, len(ids) - most]
+        kth = np.where(np.isfinite(kth), kth, -1e308)  # the query itself may be among so few
+        n, row = np.nonzero(score + up[i : i + 128, None] >= (kth + down[i : i + 128])[:, None])
+        yield n + i, row, score[n, row] + down[n + i], score[n, row] + up[n + i]
+
+
+def _file(vectors: DataFrame, is_query: Column) -> DataFrame:
+    """The exact vectors, as bytes: (vec_id, is_query, dim, wide, v)."""
     t = vectors.filter("vec_id is not null and v is not null and size(v) > 0").filter(~F.exists("v", lambda x: x.isNull()))
-    t = t.dropDuplicates(["vec_id"])
-    t = store(t.select("vec_id", is_query.alias("is_query"), "v").mapInArrow(_packed, "vec_id long, dim long, is_query boolean, v binary"))
-    sizes = t.groupBy("dim").agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).filter("q > 0")
+    t = t.select("vec_id", F.coalesce(is_query, F.lit(False)).alias("is_query"), "v")
+    if t.groupBy("vec_id").count().filter("count > 1").take(1):
+        t = t.groupBy("vec_id").agg(F.max("is_query").alias("is_query"), F.min("v").alias("v"))
+    return store(t.mapInArrow(_packed, "vec_id long, is_query boolean, dim long, wide byte, v binary"))
+
+
+def _candidates(exact: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, least, most): bounds of the scores of all pairs that bounds alone don't rule out."""
+    grid = exact.select("dim", "wide", "v").mapInArrow(_ranges, "dim long, j long, low long, high long").groupBy("dim", "j").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    grid = grid.groupBy("dim").agg(F.sort_array(F.collect_list(F.struct("j", "low", "high"))).alias("x"))
+    to_bytes = lambda b: iter([batch(dim=b.column("dim"), grid=pa.array([np.array([[y[c] for y in x] for c in ("low", "high")], np.int64).tobytes() for x in b.column("x").to_pylist()], pa.binary()))])
+    grid = grid.mapInArrow(lambda batches: (r for b in batches for r in to_bytes(b)), "dim long, grid binary")
     parts = lambda c, most: F.ceil(F.col(c) / most).cast("int")
-    t = t.join(sizes.select(F.col("dim").alias("of"), parts("n", BLOCK).alias("nb"), parts("q", QUERIES).alias("nq")), F.col("dim") == F.col("of"))
-    block = F.pmod(F.xxhash64("vec_id"), F.col("nb")).alias("block")
-    group = F.pmod(F.xxhash64(F.col("vec_id") + 1), F.col("nq"))
-    # each vector once for each block of queries, each query once for each block of vectors
-    data = t.select("dim", block, F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("part"), F.lit(False).alias("asks"), "vec_id", "v")
-    asks = t.filter("is_query").select("dim", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("block"), group.cast("int").alias("part"), F.lit(True).alias("asks"), "vec_id", "v")
-    both = data.select("dim", F.col("block").cast("int").alias("block"), "part", "asks", "vec_id", "v").unionByName(asks)
-    both = both.withColumn("g", F.xxhash64("dim", "block", "part"))
+    sizes = exact.groupBy("dim").agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).filter("q > 0")
+    grid = store(grid.join(sizes.select("dim", parts("n", BLOCK).alias("nb"), parts("q", QUERIES).alias("nq")), "dim"))
+    sizes = grid.drop("grid")
+    cells = store(exact.join(grid, "dim").select("vec_id", "dim", "wide", "v", "grid").mapInArrow(_cells, "vec_id long, dim long, cell binary"))
+    blocks, groups = F.sequence(F.lit(0), F.col("nb") - 1), F.sequence(F.lit(0), F.col("nq") - 1)
+    block = F.pmod(F.xxhash64("vec_id"), F.col("nb")).cast("int")
+    group = F.pmod(F.xxhash64(F.col("vec_id") + 1), F.col("nq")).cast("int")
+    # a group for each block of cells and block of queries: the grid, the queries' exact vectors, and cells
+    kind = lambda n: F.lit(n).cast("byte").alias("kind")
+    none = F.lit(0).cast("byte").alias("wide")
+    near = grid.withColumn("block", F.explode(blocks)).select("dim", "block", F.explode(groups).alias("part"), kind(0), F.lit(0).cast("long").alias("vec_id"), none, F.col("grid").alias("v"))
+    asks = exact.filter("is_query").join(sizes, "dim").select("dim", F.explode(blocks).alias("block"), group.alias("part"), kind(1), "vec_id", "wide", "v")
+    data = cells.join(sizes, "dim").select("dim", block.alias("block"), F.explode(groups).alias("part"), kind(2), "vec_id", none, F.col("cell").alias("v"))
+    both = near.unionByName(asks).unionByName(data).withColumn("g", F.xxhash64("dim", "block", "part"))
 
     def search(t: pa.Table):
-        g, asks, ids, dims = (ints(t.column(c)) for c in ("g", "asks", "vec_id", "dim"))
+        kind, ids, wide, dims, block, part = (ints(t.column(c)) for c in ("kind", "vec_id", "wide", "dim", "block", "part"))
         data, at = raw(t.column("v"))
-        at = at // 8
-        data = data.view(np.int64)
-        edge = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(g)], strict=True):
-            if (dims[lo:hi] != dims[lo]).any():
-                raise ValueError("two blocks share a hash")
-            x = data[at[lo] : at[hi]].reshape(hi - lo, -1)
-            a = asks[lo:hi].astype(bool)
-            if a.any() and not a.all():
-                q, v, s = _best(ids[lo:hi][a], x[a], ids[lo:hi][~a], x[~a], k)
-                yield batch(query_id=q, vec_id=v, score=s)
-
-    found = by_key(both.select("g", "asks", "vec_id", "dim", "v"), "g", search, "query_id long, vec_id long, score long")
+        edge = np.flatnonzero(np.concatenate([[True], (dims[1:] != dims[:-1]) | (block[1:] != block[:-1]) | (part[1:] != part[:-1])]))
+        for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(kind)], strict=True):
+            a, b = lo + np.searchsorted(kind[lo:hi], [1, 2])
+            if a < b < hi:
+                d = int(dims[lo])
+                low, step = _grid(data[at[lo] : at[lo + 1]], d)
+                q = _exact(data, at[a:b], wide[a:b], d)
+                cell = _unpack(data[at[b] : at[hi]].reshape(hi - b, -1), d)
+                for n, row, least, most in _bounds(ids[b:hi], cell, low, step, ids[a:b], q, k):
+                    yield batch(query_id=ids[a + n], vec_id=ids[b + row], least=least, most=most)
+
+    found = store(by_key(both, "g", search, "query_id long, vec_id long, least double, most double", "dim", "block", "part", "kind"))
+    return store(_above(found, "least", k).select("query_id", "vec_id", "most"))
+
+
+def _above(found: DataFrame, score: str, k: int) -> DataFrame:
+    """Rows of ``found`` whose upper bound reaches the kth highest ``score`` of their query, if it has so many."""
+    best = found.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score)))).filter(F.col("n") <= k)
+    kth = best.groupBy("query_id").agg(F.min(score).alias("kth"), F.count("*").alias("m")).filter(F.col("m") >= k).drop("m")
+    return found.join(kth, "query_id", "left").filter("kth is null or most >= kth").drop("kth")
+
+
+def _scores(pairs: DataFrame, exact: DataFrame) -> DataFrame:
+    """(query_id, vec_id, score) of ``pairs``, from the exact vectors."""
+
+    def dot(batches):
+        for b in batches:
+            (x, x_at), (y, y_at) = raw(b.column("v")), raw(b.column("qv"))
+            xw, yw, dims = (ints(b.column(c)) for c in ("wide", "qw", "dim"))
+            for d in np.unique(dims).tolist():
+                rows = np.flatnonzero(dims == d)
+                s = np.einsum("ij,ij->i", _exact(x, x_at[rows], xw[rows], d), _exact(y, y_at[rows], yw[rows], d))
+                yield batch(query_id=ints(b.column("query_id"))[rows], vec_id=ints(b.column("vec_id"))[rows], score=s)
+
+    asks = exact.filter("is_query").select(F.col("vec_id").alias("query_id"), F.col("wide").alias("qw"), F.col("v").alias("qv"))
+    read = pairs.select("query_id", "vec_id").join(exact.select("vec_id", "dim", "wide", "v"), "vec_id").join(asks, "query_id")
+    return read.mapInArrow(dot, "query_id long, vec_id long, score long")
+
+
+def _reads(exact: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(query_id, vec_id, score) of the pairs whose exact vectors are read first, and of those read after these: of each query
+    the pairs of the highest upper bounds, then all whose upper bound still reaches the kth best score."""
+    found = _candidates(exact, k)
+    order = Window.partitionBy("query_id").orderBy(F.desc("most"), "vec_id")
+    first = found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= FIRST * k).select("query_id", "vec_id")
+    scored = store(_scores(first, exact))
+    known = scored.select("query_id", "vec_id", F.lit(True).alias("known"))
+    kth = scored.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).filter(F.col("n") == k)
+    kth = kth.select("query_id", F.col("score").cast("double").alias("kth"))
+    rest = found.join(kth, "query_id").filter("most >= kth").join(known, ["query_id", "vec_id"], "left_anti")
+    return scored, _scores(rest, exact)
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row of ``vectors`` (vec_id, v: array of whole numbers) where ``is_query``
+    holds, the k other rows of the highest inner product, ties to the smaller vec_id; all, if there are fewer.
+
+    Only vectors of one length are compared with each other; an empty one with none. Rows of null ids, null vectors or
+    null components take no part; of rows under one vec_id the smallest vector counts; scores fit 64 bits. Other columns are
+    ignored.
+
+    The approximation file holds BITS for each dimension of each vector: the cell of the dimension's range that its component
+    is in. It is written once. Blocks of queries meet blocks of it, and every score gets bounds from cells alone; no exact
+    vector but the queries' travels there. Pairs whose upper bound is below a query's kth lower bound are out. Of the rest,
+    exact vectors are fetched by id in the order of their upper bounds: first FIRST * k for each query, then those whose
+    upper bound reaches the kth best score. Then no vector that wasn't read can be among the k best."""
+    exact = _file(vectors, is_query)
+    first, rest = _reads(exact, k)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _best(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int):
-    """The k best of one block for each query: ids and scores, not in order."""
-    o = np.argsort(vid, kind="stable")
-    vid, v = vid[o], v[o]
-    low = int(v.min())
-    step = -(-(int(v.max()) - low + 1) // CELLS)
-    cell = ((v - low) // step).astype(np.uint8)
-    exact = np.abs(q).max() * float(max(np.abs(v).max(), 1)) * v.shape[1] < 2**53
-    floor_ = cell.astype(np.float64) * step + low
-    up, down = np.maximum(q, 0).sum(1) * float(step - 1), np.minimum(q, 0).sum(1) * float(step - 1)
-    slack = 0.0 if exact else 1e-9
-    out_q, out_v, out_s = [], [], []
-    for i in range(0, len(q), 128):
-        base = q[i : i + 128].astype(np.float64) @ floor_.T
-        for j in range(len(base)):
-            n = i + j
-            b = base[j]
-            mine = vid != qid[n]
-            hi = np.where(mine, b + up[n], -np.inf)
-            kk = min(k, int(mine.sum()))
-            if not kk:
-                continue
-            sure = np.where(mine, b + down[n], -np.inf)
-            least = np.partition(sure, len(sure) - kk)[len(sure) - kk]
-            near = np.flatnonzero(hi >= least - abs(least) * slack)
-            near = near[np.argsort(-hi[near], kind="stable")]
-            score, who, at = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-            while at < len(near):
-                if len(score) >= kk and hi[near[at]] < score[kk - 1] - abs(float(score[kk - 1])) * slack:
-                    break
-                c = near[at : at + CHUNK]
-                score, who = np.append(score, v[c] @ q[n]), np.append(who, c)
-                best = np.lexsort((vid[who], -score))[:kk]
-                score, who = score[best], who[best]
-                at += CHUNK
-            out_q.append(np.full(len(who), qid[n]))
-            out_v.append(vid[who])
-            out_s.append(score)
-    z = np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) if x else z for x in (out_q, out_v, out_s))
+    return first.unionByName(rest).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_topk(spark, sf_dir: str) -> DataFrame:

@@ -326,8 +326,9 @@ def test_risk_stays_non_negative():
 def test_top_k_like_brute_force(spark):
     r = np.random.default_rng(2)
     v = {i: r.integers(-60, 60, 6).tolist() for i in range(130)} | {i: [1, 2, 3, 4, 5, 6] for i in range(130, 150)} | {i: [i] for i in range(150, 153)} | {200: [10**8] * 6, 201: [-(10**8)] * 6}
-    bad = [(300, None), (301, [1, None, 2, 3, 4, 5]), (None, [1] * 6), (302, []), (5, v[5])]
-    t = spark.createDataFrame([*v.items(), *bad], "vec_id long, v array<long>")
+    bad = [(300, None), (301, [1, None, 2, 3, 4, 5]), (None, [1] * 6), (302, []), (5, v[5]), (10, [999] * 6), (400, [3, 1]), (400, [2, 9]), (405, [7, 7])]
+    v |= {10: min(v[10], [999] * 6), 400: [2, 9], 405: [7, 7]}
+    t = spark.createDataFrame([(*x, 1.0, 2) for x in [*v.items(), *bad]], "vec_id long, v array<long>, score double, dim int")
     got = {}
     for x in vectors.top_k(t, F.col("vec_id") % 5 == 0).orderBy("query_id", "rank").collect():
         got.setdefault(x.query_id, []).append((x.score, x.vec_id))
@@ -348,6 +349,33 @@ def test_top_k_in_blocks(spark, monkeypatch):
     assert got == naive.top(v, range(0, 100, 5), 5)
 
 
+def test_top_k_ties_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 8)
+    monkeypatch.setattr(vectors, "QUERIES", 2)
+    v = {i: [i % 3, 1, -(i % 2)] for i in range(90)} | {i: [2**30 + i % 2, -(2**30), 3] for i in range(90, 100)}
+    got = {}
+    for x in vectors.top_k(spark.createDataFrame(list(v.items()), "vec_id long, v array<long>"), F.col("vec_id") % 10 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append((x.score, x.vec_id))
+    assert got == naive.top(v, range(0, 100, 10), 5)
+
+
+def test_cells_pack():
+    r = np.random.default_rng(1)
+    for dim in (1, 3, 8, 65):
+        c = r.integers(0, 1 << vectors.BITS, (7, dim))
+        assert (vectors._unpack(vectors._pack(c), dim) == c).all()
+
+
+def test_few_exact_vectors_are_read(spark):
+    """On unit vectors of 64 random components, which lie almost as far from each other as can be."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(2000, 64))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(int)
+    t = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)], "vec_id long, v array<long>")
+    first, rest = vectors._reads(vectors._file(t, F.col("vec_id") % 50 == 0), 5)
+    assert first.count() + rest.count() < 0.03 * 2000 * 40
+
+
 def test_licences(docs):
     mit = [licences.SENTENCES[k] for k in ("mit-grant", "mit-notice", "mit-as-is", "mit-liability")]
     wrapped = "# " + " ".join(mit).replace(" of ", " of\n# ")
