@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, WORDS, batch, ints, mix, pieces, table, words
+from .common import U64, WORDS, batch, blobs, ints, mix, pieces, raw, store, table, words
 
 #: Fitting uses at most so many confirmed toxic and so many unlabelled documents, those of the smallest xxhash64(doc_id).
 MOST_TOXIC, MOST_UNLABELLED = 6000, 14000
@@ -99,14 +99,15 @@ def train(docs: DataFrame, toxic_ids: DataFrame, fold: Column, prior: float) ->
     spark = docs.sparkSession
     pick = F.xxhash64("doc_id")
     p = toxic_ids.select("doc_id").distinct().orderBy(pick, "doc_id").limit(MOST_TOXIC)
-    u = docs.select("doc_id").filter(fold).orderBy(pick, "doc_id").limit(MOST_UNLABELLED)
+    u = docs.select("doc_id").filter(fold).distinct().orderBy(pick, "doc_id").limit(MOST_UNLABELLED)
     ids = {r.doc_id: True for r in p.collect()}
     if not ids:
         return None
     # a document may be on both sides: the unlabelled are a sample of all text, the toxic included
     marked = [(r.doc_id, False) for r in u.collect()] + list(ids.items())
-    sample = F.broadcast(spark.createDataFrame(marked, "_id long, _toxic boolean"))  # bounded by the two constants
-    text = docs.select("doc_id", "text").filter("text is not null").join(sample, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_toxic")
+    sample = F.broadcast(spark.createDataFrame([(*m, n) for n, m in enumerate(marked)], "_id long, _toxic boolean, _nth long"))  # bounded by the two constants
+    text = docs.select("doc_id", "text").filter("text is not null").join(sample, F.col("doc_id") == F.col("_id")).groupBy("_nth", "_toxic").agg(F.min("text").alias("text"))
+    text = store(text)  # read twice; of texts under one id the smallest counts
 
     def counts(batches):
         n = np.zeros((2, 1 << BITS), np.int32)
@@ -136,19 +137,21 @@ def train(docs: DataFrame, toxic_ids: DataFrame, fold: Column, prior: float) ->
     place[bins] = np.arange(len(bins))
 
     def chosen(batches):
+        """A row for each document: which of the chosen features it has."""
         for b in batches:
-            ids = ints(b.column("doc_id"))
             for i, j, data, at in pieces(b.column("text")):
                 f, row = _distinct(data, at)
                 col = place[f]
                 hit = col >= 0
-                toxic = b.column("_toxic").to_numpy(zero_copy_only=False)[i:j][row[hit]]
-                yield batch(doc_id=ids[i:j][row[hit]], toxic=toxic, col=col[hit].astype(np.int64))
-
-    x = text.mapInArrow(chosen, "doc_id long, toxic boolean, col long").toArrow().to_pandas()
-    order = {m: n for n, m in enumerate(marked)}
-    rows = np.array([order[m] for m in zip(x["doc_id"].tolist(), x["toxic"].tolist(), strict=True)], np.int64)
-    w = fit(rows, x["col"].to_numpy(np.int64), len(marked), len(bins), np.array([t for _, t in marked]), prior)
+                own = b.slice(i, j - i)
+                yield batch(nth=own.column("_nth"), cols=blobs(col[hit].astype(np.int16), np.bincount(row[hit], minlength=j - i)))
+
+    x = text.mapInArrow(chosen, "nth long, cols binary").toArrow()  # at most 2 * MOST_FEATURES bytes for each of the sample
+    flat, at = raw(x["cols"]) if x.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+    rows = np.repeat(ints(x["nth"]), np.diff(at) // 2) if x.num_rows else np.zeros(0, np.int64)
+    order = np.argsort(rows, kind="stable")  # the same sums in every run
+    rows, cols = rows[order], flat.view(np.int16).astype(np.int64)[order]
+    w = fit(rows, cols, len(marked), len(bins), np.array([t for _, t in marked]), prior)
     full = np.zeros(MOST_FEATURES + 1)
     full[: len(bins)], full[-1] = w[:-1], w[-1]
     return Scorer(bins, full)

@@ -310,6 +310,13 @@ def test_toxicity(spark, docs):
     assert none.filter("score <> 0 or predicted <> 0").count() == 0 and toxicity.toxicity(d.limit(0), y).count() == 0
 
 
+def test_toxicity_of_repeated_ids(spark, docs):
+    d = docs([(i % 4, prose(20) + (" vilefool" if i % 4 == 0 else "")) for i in range(400)] + [(i, prose(9)) for i in range(4, 60)])
+    y = spark.createDataFrame([(0, 1), (0, 1), (1, 0), (2, 0), (3, 0)] + [(i, 0) for i in range(4, 60)], "doc_id long, toxic int")
+    got = toxicity.toxicity(d, y).collect()
+    assert len(got) == 456 and len({r.score for r in got}) > 0
+
+
 def test_toxicity_never_reads_held_out_labels(spark, docs):
     d = docs([(i, prose(20) + (" vilefool" if i % 4 == 0 else "")) for i in range(300)])
     y = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int")
