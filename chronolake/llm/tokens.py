@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 
 import numpy as np
@@ -10,12 +11,27 @@ from pyspark.sql import DataFrame
 
 from .common import U64, batch, mix, table
 
-#: Fixed by the vocabulary's library: how texts are cut before merging.
+#: Fixed by the library: how its byte-level pre-tokenizer cuts texts before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct pre-tokens whose counts a worker remembers; it then starts anew.
-REMEMBERED = 1 << 20
+#: Distinct pre-tokens, of so many characters at most, whose counts a worker remembers; it then starts anew.
+REMEMBERED, SHORT = 1 << 20, 64
 #: Bytes of pre-tokens that are merged at a time.
 AT_ONCE = 1 << 21
+#: Pre-tokens from so many bytes on are merged one by one, where a round looks at the pairs of its rank alone.
+LONG = 1 << 15
+NONE = 1 << 40
+
+
+def _check(file: dict) -> None:
+    """Refuse a tokenizer whose counts would differ from those of byte-level pair merging as it is done here."""
+    model, pre = file["model"], file.get("pre_tokenizer") or {}
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    odd += [k for k in ("normalizer", "truncation", "padding") if file.get(k)]
+    odd += ["model"] if model.get("type") != "BPE" else []
+    odd += ["pre_tokenizer"] if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) else []
+    odd += ["added_tokens"] if any(t.get(k) for t in file.get("added_tokens", ()) for k in ("single_word", "lstrip", "rstrip", "normalized")) else []
+    if odd:
+        raise ValueError(f"only byte-level BPE without more settings is counted; the file sets {', '.join(odd)}")
 
 
 class Counter:
@@ -23,6 +39,7 @@ class Counter:
 
     def __init__(self, content: str):
         file = json.loads(content)
+        _check(file)
         vocab = file["model"]["vocab"]
         visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         others = [b for b in range(256) if b not in set(visible)]
@@ -33,9 +50,9 @@ class Counter:
         left, right, made = (np.array([vocab[x] for x in xs], np.int64) for xs in ([a for a, _ in pairs], [b for _, b in pairs], [a + b for a, b in pairs]))
         self.n = n
         # open addressing: one or two looks find a pair's rank
-        self.bits = 18
+        self.bits = max(18, int(np.ceil(np.log2(4 * len(pairs) + 4))))
         size = 1 << self.bits
-        self.slot_key, self.slot_rank = np.full(size, -1, np.int64), np.full(size, 1 << 40, np.int64)
+        self.slot_key, self.slot_rank = np.full(size, -1, np.int64), np.full(size, NONE, np.int64)
         for rank, key in enumerate((left * n + right).tolist()):
             s = self._slot(np.array([key]))[0]
             while self.slot_key[s] >= 0:
@@ -52,9 +69,9 @@ class Counter:
             return (mix(key.astype(U64)) >> U64(64 - self.bits)).astype(np.int64)
 
     def _ranks(self, key: np.ndarray) -> np.ndarray:
-        """Rank of each pair; 2**40 where the vocabulary has no such merge."""
+        """Rank of each pair; NONE where the vocabulary has no such merge."""
         s = self._slot(key)
-        out = np.full(len(key), 1 << 40, np.int64)
+        out = np.full(len(key), NONE, np.int64)
         i = np.arange(len(key))
         while len(i):
             k = self.slot_key[s]
@@ -73,7 +90,7 @@ class Counter:
         out = size.copy()
         sym = self.byte_id[np.frombuffer(b"".join(tokens), np.uint8)]
         seq = np.repeat(np.arange(len(tokens)), size)
-        rank = np.full(len(sym), 1 << 40, np.int64)
+        rank = np.full(len(sym), NONE, np.int64)
         if len(sym) > 1:
             same = seq[:-1] == seq[1:]
             rank[:-1][same] = self._ranks(sym[:-1][same] * self.n + sym[1:][same])
@@ -81,7 +98,7 @@ class Counter:
             begin = np.flatnonzero(np.concatenate([[True], seq[1:] != seq[:-1]]))
             low = np.minimum.reduceat(rank, begin)
             length = np.diff(np.append(begin, len(seq)))
-            done = low >= 1 << 40
+            done = low >= NONE
             out[seq[begin[done]]] = length[done]
             keep = np.repeat(~done, length)
             sym, seq, rank = sym[keep], seq[keep], rank[keep]
@@ -104,25 +121,80 @@ class Counter:
             fresh[gone_before - 2] |= ~stay[gone_before - 1]
             sym, seq, rank, fresh = sym[stay], seq[stay], rank[stay], np.flatnonzero(fresh[stay])
             last = fresh == len(sym) - 1
-            rank[fresh[last]] = 1 << 40
+            rank[fresh[last]] = NONE
             fresh = fresh[~last]
             same = seq[fresh] == seq[fresh + 1]
-            rank[fresh[~same]] = 1 << 40
+            rank[fresh[~same]] = NONE
             fresh = fresh[same]
             rank[fresh] = self._ranks(sym[fresh] * self.n + sym[fresh + 1])
         return out
 
-    def learn(self, tokens: list[str]) -> None:
-        """Remember the counts of pre-tokens not seen before."""
-        new = [t for t in set(tokens) if t not in self.known]
-        i = 0
-        while i < len(new):
-            part, size = [], 0
-            while i < len(new) and (not part or size < AT_ONCE):
-                part.append(new[i].encode())
-                size += len(part[-1])
-                i += 1
-            self.known.update(zip(new[i - len(part) : i], self.merged(part).tolist(), strict=True))
+    def merged_long(self, token: bytes) -> int:
+        """``merged`` for one pre-token of any length: each round merges the pairs of the lowest rank, wherever they are, and
+        looks again only at the pairs beside them. A pair with a symbol that a merge made has a higher rank than that merge,
+        so each rank has one round at most."""
+        n = len(token)
+        sym = self.byte_id[np.frombuffer(token, np.uint8)]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank = np.full(n, NONE, np.int64)
+        places: dict[int, list] = {}
+        queue: list[int] = []
+
+        def look(at: np.ndarray) -> None:
+            at = at[after[at] < n]
+            r = self._ranks(sym[at] * self.n + sym[after[at]])
+            rank[at] = r
+            at, r = at[r < NONE], r[r < NONE]
+            o = np.argsort(r, kind="stable")
+            at, r = at[o], r[o]
+            edge = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else r
+            for k, part in zip(r[edge].tolist(), np.split(at, edge[1:]), strict=False):
+                if k not in places:
+                    places[k] = []
+                    heapq.heappush(queue, k)
+                places[k].append(part)
+
+        look(np.arange(n))
+        left = n
+        while queue:
+            r = heapq.heappop(queue)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            if len(at) > 1 and (after[at[:-1]] == at[1:]).any():  # a run of equal symbols: every other pair of it
+                head = np.concatenate([[True], after[at[:-1]] != at[1:]])
+                nth = np.arange(len(at)) - np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
+                at = at[nth % 2 == 0]
+            gone = after[at]
+            rank[at], rank[gone] = NONE, NONE
+            sym[at] = self.made[r]
+            after[at] = after[gone]
+            inner = after[at] < n
+            before[after[at[inner]]] = at[inner]
+            left -= len(at)
+            beside = before[at]
+            fresh = np.unique(np.concatenate([at, beside[beside >= 0]]))
+            rank[fresh] = NONE
+            look(fresh)
+        return left
+
+    def counts(self, tokens: set[str]) -> dict[str, int]:
+        """How many symbols remain of each pre-token."""
+        out, part, size = {}, [], 0
+        for t in tokens:
+            data = t.encode()
+            if len(data) >= LONG:
+                out[t] = self.merged_long(data)
+                continue
+            part.append((t, data))
+            size += len(data)
+            if size >= AT_ONCE:
+                out.update(zip([x for x, _ in part], self.merged([x for _, x in part]).tolist(), strict=True))
+                part, size = [], 0
+        if part:
+            out.update(zip([x for x, _ in part], self.merged([x for _, x in part]).tolist(), strict=True))
+        return out
 
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each whole text."""
@@ -137,13 +209,17 @@ class Counter:
             else:
                 cut.append(self.cut(t))
                 fixed.append(0)
-        self.learn([x for c in cut for x in c] if len(cut) > 1 else cut[0])
-        known = self.known.__getitem__
+        new = {x for c in cut for x in c} - self.known.keys()
+        found = self.counts(new)
+        self.known.update(found if all(len(x) <= SHORT for x in new) else {x: n for x, n in found.items() if len(x) <= SHORT})
+        own = found if any(len(x) > SHORT for x in new) else None
+        known = self.known.__getitem__ if own is None else lambda x: own[x] if x in own else self.known[x]
         return [sum(map(known, c)) + n for c, n in zip(cut, fixed, strict=True)]
 
 
 def token_counts(docs: DataFrame, content: str, limit: int = 1024) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) for every row of ``docs`` (doc_id, text); ``content``: the tokenizer's file.
+    """(doc_id, n_bytes, n_tokens, over_limit) for every row of ``docs`` (doc_id, text); ``content``: the
+    tokenizer's file, byte-level BPE without a normalizer; others are refused.
 
     Counts are of whole texts, as the tokenizers library gives them without added special tokens: a special token's
     string inside a text counts as one token. A null text counts as empty: 0 bytes, 0 tokens. Rows are independent of

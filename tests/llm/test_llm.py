@@ -411,6 +411,26 @@ def test_token_counts(spark, ugly, odd):
     assert tokens.token_counts(odd, content).count() == 6 and tokens.token_counts(odd.limit(0), content).count() == 0
 
 
+def test_long_words(monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    T = pytest.importorskip("tokenizers").Tokenizer
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        content = f.read()
+    t, c, r = T.from_str(content), tokens.Counter(content), random.Random(9)
+    long = ["a" * 40_001, "".join(r.choice("etaoinshrdlu") for _ in range(80_000)), "ab" * 30_000 + "é" * 9000, "的一是" * 20_000]
+    assert [c.merged_long(x.encode()) for x in long] == [len(t.encode(x, add_special_tokens=False).ids) for x in long] == c.count(long)
+    assert not any(len(x) > tokens.SHORT for x in c.known)
+    for _ in range(60):
+        w = bytes(r.choice(b"aeinorst ") for _ in range(r.randint(1, 200)))
+        assert c.merged_long(w) == c.merged([w])[0]
+
+
+def test_other_tokenizers_are_refused():
+    P = pytest.importorskip("public_tokenizers")
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f, pytest.raises(ValueError, match="normalizer"):
+        tokens.Counter(f.read())
+
+
 def test_merging_one_pair_at_a_time():
     P = pytest.importorskip("public_tokenizers")
     c = tokens.Counter(open(P.path("byte_bpe_50k.json"), encoding="utf-8").read())
