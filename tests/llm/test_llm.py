@@ -3,6 +3,7 @@
 import inspect
 import math
 import random
+import re
 import sys
 from fractions import Fraction
 from pathlib import Path
@@ -396,6 +397,68 @@ def test_licences(docs):
     assert licences.scan(d.limit(0)).count() == 0
 
 
+def test_every_licence_rule_fires(docs):
+    sentences, rules, names = licences._default()
+    assert len({x for x, _ in rules}) >= 90 and len({x for x, seq in rules if len(seq) > 1}) >= 20
+    texts, want = [], []
+    for licence, seq in rules:
+        if not seq[0].startswith("named-"):
+            texts.append("Some words here.\n" + "\n".join(sentences[x] for x in seq) + "\nOther words.")
+            want.append((licence, len(seq)))
+    r = random.Random(8)
+    for key, own in names.items():
+        for x in own:
+            texts.append(f"Some words here. {r.choice(licences.NOTICES)} {x}.\nOther words.")
+            want.append((key.removeprefix("named-"), 1))
+    got = {x.doc_id: (x.licence, x.sentences) for x in licences.scan(docs(texts)).collect()}
+    first = {}  # of names or sentences with the same words the first counts
+    for i, w in enumerate(want):
+        t = tuple(naive.terms(texts[i]))
+        assert got[i] == first.setdefault(t, w), (texts[i], got[i], w)
+        assert got[i][1] >= w[1]
+    assert len({x for x, _ in got.values()}) >= 90
+
+
+def test_licences_by_brute_force(docs):
+    """Sentences and rules of few words, against a plain reading of the docstring."""
+    r = random.Random(3)
+    sentences, names = {"a": "one two.", "b": "two.", "c": "one two three.", "d": "four, four!"}, {"n": ["five", "five six"]}
+    rules = [("X", ("a", "b")), ("Y", ("b",)), ("Z", ("a", "b", "c")), ("V", ("d", "n")), ("W", ("n",))]
+    texts = [" ".join(r.choice(["one", "two", "three", "four, four", "Licensed under the five", "licensed under five six", "x"]) + r.choice(["", ".", ".", ";\n", "\n"]) for _ in range(r.randint(0, 30))) for _ in range(80)] + [None, "", "one two. " + "x " * 1500 + "two.", "one two.\n" * 3000]
+
+    def plain(t):
+        t = t or ""
+        parts, at = [], 0
+        for m in [*re.finditer(r"[.!?;:](?=[\s]|$)|\n", t), None]:
+            parts.append((at, t[at : m.start() if m else len(t)]))
+            at = m.end() if m else 0
+        w = [(x.group().lower(), p + x.start(), p + x.end(), k) for k, (p, s) in enumerate(parts) for x in re.finditer(r"\w+", s)]
+        known = {tuple(naive.terms(s)): k for k, s in sentences.items()}
+        for x in names["n"]:
+            known |= {(*naive.terms(o), *x.split()): "n" for o in licences.NOTICES}
+        found = []
+        for i in range(len(w)):
+            if i == 0 or w[i][3] != w[i - 1][3]:
+                for n in range(min(12, len(w) - i), 0, -1):
+                    if (k := known.get(tuple(x[0] for x in w[i : i + n]))) and (i + n == len(w) or w[i + n][3] != w[i + n - 1][3]):
+                        found.append((k, w[i][1], w[i + n - 1][2]))
+                        break
+        out, k = [], 0
+        while k < len(found):
+            for name, seq in sorted(rules, key=lambda x: -len(x[1])):
+                own = found[k : k + len(seq)]
+                if tuple(x[0] for x in own) == seq and all(y[1] - x[2] <= licences.GAP for x, y in zip(own[:-1], own[1:], strict=True)):
+                    out.append((name, len(seq), own[0][1], own[-1][2]))
+                    k += len(seq) - 1
+                    break
+            k += 1
+        return out
+
+    own = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3])]
+    got = sorted((x.doc_id, x.licence, x.sentences, x.begin, x.end) for x in licences.scan(docs(own), sentences, rules, names).collect())
+    assert got == sorted((i, *x) for i, t in own for x in plain(t)) and len(got) > 100
+
+
 def test_token_counts(spark, ugly, odd):
     P = pytest.importorskip("public_tokenizers")
     T = pytest.importorskip("tokenizers").Tokenizer
