@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -28,33 +31,80 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_lock = threading.Lock()
+_writing, _before = 0, None
+_own: ContextVar[list[str] | None] = ContextVar("own", default=None)
+
+
+@contextmanager
+def _cleaned(spark: SparkSession):
+    """While any table is written, shuffle files are given up as soon as their query is done."""
+    global _writing, _before
+    with _lock:
+        _writing += 1
+        if _writing == 1:
+            _before = spark.conf.get(CLEAN, None)
+            try:
+                spark.conf.set(CLEAN, "true")
+            except Exception as e:  # an older Spark has no such setting; the files then stay until the garbage is collected
+                if "CANNOT_MODIFY" not in str(e):
+                    _writing -= 1
+                    raise
+    try:
+        yield
+    finally:
+        with _lock:
+            _writing -= 1
+            if not _writing and _before is None:
+                spark.conf.unset(CLEAN)
+            elif not _writing:
+                spark.conf.set(CLEAN, _before)
+
+
 def store(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: the lineage ends there, and a lost executor costs
-    nothing that was finished. The shuffle files behind it are given up once it is written."""
+    nothing that was finished. The shuffle files behind it are given up once it is written, the table itself when the
+    application ends, or earlier by ``temporary`` and ``clear``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     schema = df.schema
-    old = spark.conf.get(CLEAN, None)
-    try:
-        spark.conf.set(CLEAN, "true")
-    except Exception as e:  # an older Spark has no such setting; the files then stay until the garbage is collected
-        if "CANNOT_MODIFY" not in str(e):
-            raise
-    try:
+    with _cleaned(spark):
         df.write.parquet(path)
-    finally:
-        if old is None:
-            spark.conf.unset(CLEAN)
-        else:
-            spark.conf.set(CLEAN, old)
+    fs, file = _file(spark, path)
+    fs.deleteOnExit(file)
+    if (own := _own.get()) is not None:
+        own.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def _file(spark: SparkSession, path: str):
+    sc = spark.sparkContext
+    file = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return file.getFileSystem(sc._jsc.hadoopConfiguration()), file
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables."""
+    for path in paths:
+        fs, file = _file(spark, path)
+        fs.delete(file, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[list[str]]:
+    """What is stored within goes at the end, but for paths that are taken off the list."""
+    own: list[str] = []
+    token = _own.set(own)
+    try:
+        yield own
+    finally:
+        _own.reset(token)
+        remove(spark, own)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete what ``store`` has written for this application; results that weren't written elsewhere are lost with it."""
-    sc = spark.sparkContext
-    files = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/llm-{sc.applicationId}-*")
-    fs = files.getFileSystem(sc._jsc.hadoopConfiguration())
+    fs, files = _file(spark, f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}-*")
     for f in fs.globStatus(files) or ():
         fs.delete(f.getPath(), True)
 

@@ -659,6 +659,21 @@ def test_odd_rows(spark, odd):
         assert f(odd.limit(0)).count() == 0
 
 
+def test_stored_tables_go(spark):
+    import os
+
+    from chronolake.llm import common
+
+    there = lambda df: [os.path.exists(f.removeprefix("file://")) for f in df.inputFiles()]
+    kept = common.store(spark.range(5))
+    with common.temporary(spark) as own:
+        inner, result = common.store(spark.range(3)), common.store(spark.range(4))
+        files = inner.inputFiles()
+        own.pop()
+    assert all(there(kept)) and all(there(result)) and not any(os.path.exists(f.removeprefix("file://")) for f in files)
+    assert spark.conf.get(common.CLEAN, None) in (None, "false")
+
+
 def test_sql_queries(spark, duck, data):
     from compare import rows_of
 
