@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolake.llm.common import store, table
+from chronolake.llm.common import remove, store, table, temporary
 from chronolake.llm.leaks import clean
 from chronolake.llm.lines import without_repeats
 from chronolake.llm.mixing import mix_sources
@@ -56,9 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again for the next."""
-    docs = table(spark, sf_dir, "documents")
-    for n, (_, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
-        docs = store(docs) if n < len(STAGES) else docs
-    return docs
+    """All stages over ``documents``, each written as Parquet and read again for the next. What a stage stored on its way goes
+    as soon as its result is written, and the result when the next one's is."""
+    docs, before = table(spark, sf_dir, "documents"), []
+    for _, stage in STAGES[:-1]:
+        with temporary(spark) as own:
+            docs = store(stage(spark, docs, sf_dir))
+            kept = own.pop()
+        remove(spark, before)
+        before = [kept]
+    return STAGES[-1][1](spark, docs, sf_dir)
