@@ -20,14 +20,23 @@ _TYPES = {1: np.int8, 2: np.int16, 4: np.int32, 8: np.int64}
 
 
 def _packed(batches):
-    """Whole vectors as bytes, each batch in the smallest type that holds it."""
+    """Vectors as bytes, each in the smallest type that holds it, so that equal vectors are equal bytes."""
     for b in batches:
         v = b.column("v")
-        n = np.diff(v.offsets.to_numpy())
+        at = v.offsets.to_numpy() - v.offsets[0].as_py()
         flat = v.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        if len(flat):
-            wide = next(w for w, t in _TYPES.items() if np.iinfo(t).min <= flat.min() and flat.max() <= np.iinfo(t).max)
-            yield batch(vec_id=ints(b.column("vec_id")), is_query=b.column("is_query"), dim=n.astype(np.int64), wide=np.full(len(n), wide, np.int8), v=blobs(flat.astype(_TYPES[wide]), n))
+        if not len(flat):
+            continue
+        low, high = np.minimum.reduceat(flat, at[:-1]), np.maximum.reduceat(flat, at[:-1])
+        wide = np.full(len(low), 8, np.int8)
+        for w in (4, 2, 1):
+            t = np.iinfo(_TYPES[w])
+            wide[(t.min <= low) & (high <= t.max)] = w
+        n = np.diff(at)
+        for w in np.unique(wide).tolist():
+            rows = np.flatnonzero(wide == w)
+            own = flat[np.repeat(wide == w, n)].astype(_TYPES[w])
+            yield batch(vec_id=ints(b.column("vec_id"))[rows], is_query=b.column("is_query").take(pa.array(rows)), dim=n[rows].astype(np.int64), wide=wide[rows], v=blobs(own, n[rows]))
 
 
 def _exact(data: np.ndarray, at: np.ndarray, wide: np.ndarray, dim: int) -> np.ndarray:
@@ -117,7 +126,10 @@ def _candidates(exact: DataFrame, k: int) -> DataFrame:
     sizes = exact.groupBy("dim").agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).filter("q > 0")
     grid = store(grid.join(sizes.select("dim", parts("n", BLOCK).alias("nb"), parts("q", QUERIES).alias("nq")), "dim"))
     sizes = grid.drop("grid")
-    cells = store(exact.join(grid, "dim").select("vec_id", "dim", "wide", "v", "grid").mapInArrow(_cells, "vec_id long, dim long, cell binary"))
+    # of equal vectors only the k + 1 smallest ids can be among a query's k best: the others tie with them, and come later
+    equal = Window.partitionBy("dim", "wide", "v").orderBy("vec_id")
+    unlike = exact.drop("is_query").withColumn("n", F.row_number().over(equal)).filter(F.col("n") <= k + 1)
+    cells = store(unlike.join(grid, "dim").select("vec_id", "dim", "wide", "v", "grid").mapInArrow(_cells, "vec_id long, dim long, cell binary"))
     blocks, groups = F.sequence(F.lit(0), F.col("nb") - 1), F.sequence(F.lit(0), F.col("nq") - 1)
     block = F.pmod(F.xxhash64("vec_id"), F.col("nb")).cast("int")
     group = F.pmod(F.xxhash64(F.col("vec_id") + 1), F.col("nq")).cast("int")
@@ -193,6 +205,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     null components take no part; of rows under one vec_id the smallest vector counts; scores fit 64 bits. Other columns are
     ignored.
 
+    Of many equal vectors only the k + 1 smallest ids are looked at further, since the rest tie with these and come after them.
     The approximation file holds BITS for each dimension of each vector: the cell of the dimension's range that its component
     is in. It is written once. Blocks of queries meet blocks of it, and every score gets bounds from cells alone; no exact
     vector but the queries' travels there. Pairs whose upper bound is below a query's kth lower bound are out. Of the rest,

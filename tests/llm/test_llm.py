@@ -367,6 +367,17 @@ def test_top_k_ties_across_blocks(spark, monkeypatch):
     assert got == naive.top(v, range(0, 100, 10), 5)
 
 
+def test_top_k_of_many_equal_vectors(spark):
+    v = {i: [3, 4, -5] if i % 3 else [i % 7, 1, 2] for i in range(400)}
+    t = spark.createDataFrame(list(v.items()), "vec_id long, v array<long>")
+    got = {}
+    for x in vectors.top_k(t, F.col("vec_id") % 10 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append((x.score, x.vec_id))
+    assert got == naive.top(v, range(0, 400, 10), 5)
+    first, rest = vectors._reads(vectors._file(t, F.col("vec_id") % 10 == 0), 5)
+    assert first.count() + rest.count() <= 40 * 60
+
+
 def test_cells_pack():
     r = np.random.default_rng(1)
     for dim in (1, 3, 8, 65):
