@@ -28,12 +28,14 @@ NO_NAMES = ("The", "This", "That", "It", "We", "They", "He", "She", "You", "I",
 def rule_entities(texts: DataFrame) -> DataFrame:
     """(id, name, type, confidence) found in ``texts`` (id, text): technologies and concepts as substrings in any case, once
     each, and capitalised words of three letters or more, once for each place. One scan, nothing shuffled."""
-    low = F.lower("text")
-    known = lambda names, kind, sure: [F.when(low.contains(n), F.struct(F.lit(n).alias("name"), F.lit(kind).alias("type"), F.lit(sure).alias("confidence"))) for n in names]
-    words = F.filter(F.split("text", r"[^\p{L}\p{M}\p{N}_]+"), lambda w: w.rlike("^[A-Z][a-z]{2,}$") & ~w.isin(*NO_NAMES))
-    projects = F.transform(words, lambda w: F.struct(w.alias("name"), F.lit("project").alias("type"), F.lit(0.5).alias("confidence")))
-    found = F.filter(F.array(*known(TECHNOLOGIES, "technology", 0.9), *known(CONCEPTS, "concept", 0.8)), lambda x: x.isNotNull())
-    return texts.filter("text is not null").select("id", F.explode(F.concat(found, projects)).alias("e")).select("id", "e.name", "e.type", "e.confidence")
+    t = texts.filter("text is not null").select("id", "text", F.lower("text").alias("low"))
+    one = lambda n, kind, sure: F.struct(n.alias("name"), F.lit(kind).alias("type"), F.lit(sure).alias("confidence"))
+    known = [F.when(F.col("low").contains(n), one(F.lit(n), kind, sure)) for names, kind, sure in ((TECHNOLOGIES, "technology", 0.9), (CONCEPTS, "concept", 0.8)) for n in names]
+    # a word ends where no letter, mark, digit or _ follows
+    words = F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\p{M}\p{N}_])([A-Z][a-z]{2,})(?![\p{L}\p{M}\p{N}_])"), F.lit(1))
+    names = F.transform(words, lambda w: one(w, "project", 0.5))
+    found = t.select("id", F.explode(F.concat(F.array(*known), names)).alias("e")).filter("e is not null").select("id", "e.name", "e.type", "e.confidence")
+    return found.filter(~((F.col("type") == "project") & F.col("name").isin(*NO_NAMES)))
 
 
 def entity_id(name: Column | str = "name", kind: Column | str = "type") -> Column:

@@ -26,6 +26,11 @@ def nearest(events: DataFrame, query: list[float], k: int, floor: float = 0.0, w
     return best.orderBy(F.desc("score"), "id").limit(k)
 
 
+def similar(events: DataFrame, query: list[float], floor: float) -> DataFrame:
+    """All events whose cosine is at least ``floor``, with ``score``: a filter, in no order."""
+    return events.filter("embedding is not null").withColumn("score", cosine("embedding", literal_vector(query))).filter(F.col("score") >= floor)
+
+
 def _best(q, v, k: int):
     """(row of ``q``, row of ``v``, cosine) of the k best for each row of ``q``, and what ties with them."""
     import numpy as np
@@ -123,13 +128,15 @@ def fuse(arms: list[DataFrame], pool: int, constant: int = 60) -> DataFrame:
 def hybrid(vector_arm: DataFrame, text_arm: DataFrame, events: DataFrame, now: Column, limit: int, pool: int = 40, weight: float = 0.02, days: float = 30.0) -> DataFrame:
     """Events (with score, score_kind) by fused ranks of both arms plus recency; cosine plus recency where no text matched.
 
-    Arms are (id, score) lists of at most ``pool`` rows. Which form holds is decided in the plan: both are made of these
-    short lists, and one of them is empty."""
+    Arms are (id, score) lists of at most ``pool`` rows. Each is made once: one short list holds both, and which form holds is
+    read off it."""
     pool = max(pool, limit)
-    any_text = text_arm.limit(1).select(F.lit(True).alias("_t"))
-    fused = fuse([vector_arm.select("id", "score"), text_arm.select("id", "score")], pool).join(F.broadcast(any_text)).select("id", "score", F.lit("rrf").alias("score_kind"))
-    plain = vector_arm.select("id", "score").join(F.broadcast(any_text), F.lit(True), "left_anti").select("id", "score", F.lit("cosine").alias("score_kind"))
-    short = fused.unionByName(plain)
+    both = vector_arm.select("id", "score", F.lit("v").alias("arm")).unionByName(text_arm.select("id", "score", F.lit("t").alias("arm")))
+    both = both.withColumn("_r", F.row_number().over(Window.partitionBy("arm").orderBy(F.desc("score"), "id")))
+    short = both.groupBy("id").agg(F.sum(1.0 / (60 + F.col("_r"))).alias("s"), F.max(F.when(F.col("arm") == "v", F.col("score"))).alias("c"), F.max(F.col("arm") == "t").alias("_t"))
+    text = F.max("_t").over(Window.partitionBy())  # 2 * pool rows at most
+    short = short.select("id", F.when(text, F.col("s")).otherwise(F.col("c")).alias("score"), F.when(text, "rrf").otherwise("cosine").alias("score_kind"))
+    short = short.orderBy(F.desc("score"), "id").limit(pool)
     out = events.join(F.broadcast(short), "id")  # at most 2 * pool rows
     out = out.withColumn("score", F.col("score") + recency("timestamp", now, weight, days))
     return out.orderBy(F.desc("score"), "id").limit(limit)
@@ -173,18 +180,17 @@ def greedy_dedup(events: DataFrame, keys: list[str], threshold: float, least: in
         p = p.sort_values(["timestamp", "id"], kind="stable")
         if len(p) <= least:
             return p
-        kept, keep = [], []
-        for v in p["embedding"]:
-            if v is None:
-                keep.append(True)
-                continue
-            x = np.asarray(v, float)
-            n = np.linalg.norm(x)
-            x = x / n if n else x
-            same = bool(kept) and float((np.array(kept) @ x).max()) >= threshold
-            keep.append(not same)
-            if not same:
-                kept.append(x)
-        return p[np.array(keep)]
+        has = p["embedding"].notna().to_numpy()
+        keep, n = ~has, 0
+        if has.any():
+            v = np.array(p["embedding"][has].tolist(), float)
+            size = np.linalg.norm(v, axis=1, keepdims=True)
+            v = np.divide(v, size, out=v.copy(), where=size > 0)
+            kept = np.empty_like(v)
+            for k, x in zip(np.flatnonzero(has), v, strict=True):
+                if not n or float((kept[:n] @ x).max()) < threshold:
+                    keep[k], kept[n] = True, x
+                    n += 1
+        return p[keep]
 
     return events.groupBy(*keys).applyInPandas(scan, events.schema)

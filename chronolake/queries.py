@@ -178,8 +178,7 @@ def p4(spark, d):
 
 @query("p5_similarity_floor", "select vec_id as id, round(list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 7)), 6) as score from embeddings where list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 7)) >= 0.2")
 def p5(spark, d):
-    v = _vectors(spark, d)
-    return vector.nearest(v, _vector(spark, d, 7), 1_000_000, 0.2).select(F.col("id").cast("long").alias("id"), F.round("score", 6).alias("score"))
+    return vector.similar(_vectors(spark, d), _vector(spark, d, 7), 0.2).select(F.col("id").cast("long").alias("id"), F.round("score", 6).alias("score"))
 
 
 @query("p6_recent_topn", f"select id, {sts()} as ts from ev where timestamp >= timestamp '2024-01-29 00:00:00' order by timestamp desc, id limit 50", EV)
@@ -556,13 +555,12 @@ def w5(spark, d):
     return c.select("source", F.date_format("timestamp", "yyyy-MM-dd").alias("date"), joined("added").alias("added"), joined("removed").alias("removed"))
 
 
-NEAR = "near as (select *, row_number() over (partition by event_type order by pos) as rn, lag(embedding) over (partition by event_type order by pos) as pe from (select *, row_number() over (order by timestamp desc, id desc) as pos from ev) where embedding is not null), isl as (select *, sum(case when list_cosine_similarity(pe::double[], embedding::double[]) >= 0.0 then 0 else 1 end) over (partition by event_type order by pos rows unbounded preceding) as island from near)"
+NEAR = "near as (select *, lag(embedding) over (partition by date, event_type order by pos) as pe from (select *, row_number() over (partition by date order by timestamp desc, id desc) as pos from ev) where embedding is not null), isl as (select *, sum(case when list_cosine_similarity(pe::double[], embedding::double[]) >= 0.0 then 0 else 1 end) over (partition by date, event_type order by pos rows unbounded preceding) as island from near)"
 
 
-@query("w6_neardup_runs", "select arg_max(id, pos) as id, min(pos) as pos from isl group by event_type, island", EV, NEAR)
+@query("w6_neardup_runs", "select arg_max(id, pos) as id, min(pos) as pos from isl group by date, event_type, island", EV, NEAR)
 def w6(spark, d):
-    e = events(spark, d, vectors=True).withColumn("one", F.lit(1))
-    return sequence.near_duplicate_runs(e, ["one"], 0.0).filter("embedding is not null").select("id", F.col("pos").cast("long").alias("pos"))
+    return sequence.near_duplicate_runs(events(spark, d, vectors=True), ["date"], 0.0).filter("embedding is not null").select("id", F.col("pos").cast("long").alias("pos"))
 
 
 @query("w7_chain_walk", "select source, id, n - a as step from (select *, min(case when date >= date '2024-01-15' then n end) over (partition by source) as a from (select *, row_number() over (partition by source order by timestamp, id) as n from ev)) where n - a between -3 and 3", EV)
@@ -627,7 +625,7 @@ def v1f(spark, d):
     return vector.nearest(_vectors(spark, d), _vector(spark, d, 7), 10, where=F.col("label") == 3).select(F.col("id").cast("long").alias("id"), F.round("score", 6).alias("score"))
 
 
-PAIRS = "pairs as (select a.vec_id as query_id, b.vec_id as id, 'c' || b.label as category, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as score from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id < 20), top as (select *, row_number() over (partition by query_id order by round(score, 12) desc, cast(id as varchar)) as rank from pairs)"
+PAIRS = "pairs as (select a.vec_id as query_id, b.vec_id as id, 'c' || b.label as category, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as score from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0), top as (select *, row_number() over (partition by query_id order by round(score, 12) desc, cast(id as varchar)) as rank from pairs)"
 
 
 @query("v1_knn_batch", "select query_id, id, round(score, 6) as score, rank from top where rank <= 5", PAIRS)
@@ -637,7 +635,7 @@ def v1b(spark, d):
 
 def _batch(spark, d, k: int) -> DataFrame:
     v = _vectors(spark, d)
-    q = v.filter(F.col("id").cast("long") < 20).select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    q = v.filter(F.col("id").cast("long") % 100 == 0).select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
     n = vector.nearest_of_each(q, v, k + 1).filter("query_id <> id")
     w = Window.partitionBy("query_id").orderBy("rank")
     return n.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -747,11 +745,12 @@ def v14(spark, d):
     return api.graph_rag(_vectors(spark, d), _vector(spark, d, 7), q, r).select("kind", "id", F.coalesce(F.round("score", 8), F.lit(0.0)).alias("score"))
 
 
-@query("v15_task_aware", f"select * from (select 'task' as kind, vec_id as id, round({_COS.format(7)}, 6) as score from embeddings where label = 2 order by {_COS.format(7)} desc, cast(vec_id as varchar) limit 5) union all select * from (select 'activity' as kind, vec_id as id, round({_COS.format(7)}, 6) as score from embeddings where vec_id % 2 = 0 order by {_COS.format(7)} desc, cast(vec_id as varchar) limit 5)")
+@query("v15_task_aware", f"select * from (select 'task' as kind, vec_id as id, round({_COS.format(7)}, 6) as score from embeddings where label = 2 order by {_COS.format(7)} desc, cast(vec_id as varchar) limit 5) union all select * from (select 'activity' as kind, vec_id as id, round({_COS.format(7)}, 6) as score from embeddings where vec_id % 2 = 0 or vec_id // 50 not in (select vec_id // 50 from (select vec_id from embeddings where label = 2 order by {_COS.format(7)} desc, cast(vec_id as varchar) limit 5)) order by {_COS.format(7)} desc, cast(vec_id as varchar) limit 5)")
 def v15(spark, d):
     v, e = _vectors(spark, d), _timed_vectors(spark, d)
-    odd = v.filter(F.col("id").cast("long") % 2 == 1).agg(F.collect_list("id").alias("activity_ids"))
-    t = v.filter("label = 2").withColumn("title", F.col("id")).join(odd)
+    block = F.floor(F.col("id").cast("long") / 50)  # a task's activities: the odd ones of its fifty
+    odd = v.filter(F.col("id").cast("long") % 2 == 1).groupBy(block.alias("block")).agg(F.collect_list("id").alias("activity_ids"))
+    t = v.filter("label = 2").withColumn("title", F.col("id")).withColumn("block", block).join(odd, "block")
     out = api.contextual_search(e, t, _vector(spark, d, 7))
     return out.select("kind", F.col("id").cast("long").alias("id"), F.round("score", 6).alias("score"))
 
@@ -808,13 +807,12 @@ def g8(spark, d):
 
 # ---- entities ----
 
-RELS = "rels as (select distinct 'u' || user_id as a, 'k' || (k % 97) as b from (select *, cast(json_extract_string(props, '$.k') as bigint) as k from events) where user_id % 3 = 0), sym as (select a, b from rels union select b, a from rels)"
+RELS = "rels as (select distinct 'u' || user_id as a, 'k' || (k % 97) as b from (select *, cast(json_extract_string(props, '$.k') as bigint) as k from events)), sym as (select a, b from rels union select b, a from rels)"
 
 
 def _relations(spark, d) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long") % 97
-    e = read(spark, d, "events").filter("user_id % 3 = 0")
-    return e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source_entity_id"), F.concat(F.lit("k"), k.cast("string")).alias("target_entity_id"))
+    return read(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source_entity_id"), F.concat(F.lit("k"), k.cast("string")).alias("target_entity_id"))
 
 
 @query("g9_bfs2", "select id, min(depth) as depth from (select b as id, 1 as depth from sym where a = 'u3' union all select y.b, 2 from sym x join sym y on y.a = x.b where x.a = 'u3') where id <> 'u3' group by id", RELS)
