@@ -33,14 +33,15 @@ def _stem_counts(text: str, terms: list[str]) -> Column:
 def _counts(text: str, terms: list[str]) -> Column:
     """The number of a text's tokens, then how often each term occurs among them.
 
-    Runs of other characters become two blanks, so that every token stands between blanks of its own and a term is a
-    plain substring."""
+    Runs of other characters become two blanks, so that every token stands between blanks of its own, a term is a plain
+    substring, and there is one run more than tokens."""
 
     def run(t: pa.Array) -> pa.Array:
-        t = pc.fill_null(t, "").cast(pa.large_string())
         blank, none = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
-        t = pc.binary_join_element_wise(blank, pc.replace_substring_regex(t, r"[^\p{L}\p{N}]+", "  "), blank, none)
-        n = [pc.count_substring_regex(t, r" [\p{L}\p{N}]{2,} "), *(pc.count_substring(t, f" {q} ") for q in terms)]
+        t = pc.binary_join_element_wise(blank, pc.fill_null(t, "").cast(pa.large_string()), blank, none)
+        t = pc.replace_substring_regex(t, r"[^\p{L}\p{N}]+", "  ")
+        short = pc.count_substring_regex(t, r" [\p{L}\p{N}] ")
+        n = [pc.subtract(pc.subtract(pc.count_substring(t, "  "), 1), short), *(pc.count_substring(t, f" {q} ") for q in terms)]
         flat = np.stack([x.cast(pa.int64()).to_numpy(zero_copy_only=False) for x in n], 1).ravel() if len(t) else np.zeros(0, np.int64)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(t) + 1) * len(n), pa.int32()), pa.array(flat))
 
@@ -50,14 +51,14 @@ def _counts(text: str, terms: list[str]) -> Column:
 def bm25(docs: DataFrame, query: str, limit: int, text: str = "text", stems: bool = False) -> DataFrame:
     """(id, score) of the rows that match any term of the query, best first, ties by id; nothing for a query without terms.
 
-    Only the query's terms are counted, on Arrow batches, so nothing of the text is shuffled: the scan is run once for the
-    corpus statistics, which are a single row, and once for the scores. Higher is better; idf = ln((N - df + 0.5) / (df + 0.5)),
+    Only the query's terms are counted, on Arrow batches, and the counts are shuffled but nothing of the text: so one scan gives
+    both the corpus statistics, which are a single row, and the scores. Higher is better; idf = ln((N - df + 0.5) / (df + 0.5)),
     1e-6 where that isn't positive. ``stems``: English words match in any inflection, at the price of an Arrow UDF."""
     terms = query_terms(query)
     terms = list(dict.fromkeys(map(stem, terms))) if stems else terms
     if not terms:
         return docs.select("id", F.lit(0.0).alias("score")).limit(0)
-    t = docs.select("id", (_stem_counts if stems else _counts)(text, terms).alias("c")).select("id", F.col("c")[0].alias("dl"), *(F.col("c")[i + 1].alias(f"tf{i}") for i in range(len(terms))))
+    t = docs.select("id", (_stem_counts if stems else _counts)(text, terms).alias("c")).select("id", F.col("c")[0].alias("dl"), *(F.col("c")[i + 1].alias(f"tf{i}") for i in range(len(terms)))).repartition("id")
     stats = t.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     score = F.lit(0.0)
     for i in range(len(terms)):
