@@ -13,7 +13,7 @@ from .operators import cluster, entity_graph, filters, fulltext, rollup, sequenc
 from .operators import tasks as task_ops
 from .operators.filters import EventFilter
 from .plans import api, compaction
-from .sources import history, logs
+from .sources import history, logs, sinks
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -30,7 +30,8 @@ def query(name: str, sql: str | None = None, *ctes: str):
     def put(f):
         QUERIES[name] = f
         if sql is not None:
-            ORACLE_SQL[name] = ("with " + ", ".join(ctes) + " " if ctes else "") + sql
+            word = "with recursive " if any(c.startswith("recursive ") for c in ctes) else "with "
+            ORACLE_SQL[name] = (word + ", ".join(c.removeprefix("recursive ") for c in ctes) + " " if ctes else "") + sql
         return f
 
     return put
@@ -93,9 +94,7 @@ def u1(spark, d):
 
 @query("s15_retention", f"select id, event_type from (select *, row_number() over (partition by event_type order by timestamp desc, id) as n from ev) where n <= 100", EV)
 def s15(spark, d):
-    e = events(spark, d)
-    w = Window.partitionBy("event_type").orderBy(F.desc("timestamp"), "id")
-    return e.withColumn("_n", F.row_number().over(w)).filter("_n <= 100").select("id", "event_type")
+    return logs.retained(events(spark, d), ["event_type"], 100, "id").select("id", "event_type")
 
 
 @query("s18_upsert_latest", f"select user_id, max(event_id) as event_id, arg_max(event_type, (ts, event_id)) as event_type, {sts('max(ts)')} as ts from events group by user_id")
@@ -121,13 +120,6 @@ def s20(spark, d):
     return e.join(gone, "id", "left_anti").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("s22_summary_markdown", "select strftime(date, '%Y-%m-%d') as date, '# Summary of ' || strftime(date, '%B %d, %Y') || chr(10) || chr(10) || 'Events: ' || count(*) as head from ev group by date", EV)
-def s22(spark, d):
-    t = events(spark, d).groupBy("date").agg(F.count("*").alias("n"))
-    head = F.concat(F.lit("# Summary of "), F.date_format("date", "MMMM dd, yyyy"), F.lit("\n\nEvents: "), F.col("n").cast("string"))
-    return t.select(F.date_format("date", "yyyy-MM-dd").alias("date"), head.alias("head"))
-
-
 @query("s23_summarized_hours", "select hour(ts) as hour, count(distinct cast(ts as date)) as days from events where event_type = 'purchase' group by 1")
 def s23(spark, d):
     e = rollup.hours(events(spark, d).filter("event_type = 'git_commit'")).select("date", "hour").distinct()
@@ -463,11 +455,19 @@ def a12(spark, d):
     return rollup.hours(events(spark, d)).groupBy(F.date_format("date", "yyyy-MM-dd").alias("date"), F.col("hour").cast("long").alias("hour")).agg(F.count("*").alias("n"))
 
 
-@query("a14_daily_summary", "select strftime(g.date, '%Y-%m-%d') as date, g.total, c.categories, c.tops as top_categories, coalesce(p.tops, '') as top_projects from (select date, count(*) as total from ev group by date) g join (select date, string_agg(cat || ':' || n || '/' || k, ',' order by n desc, cat) as categories, string_agg(cat, ',' order by n desc, cat) filter (where r <= 3) as tops from (select date, coalesce(category, 'Other') as cat, count(*) as n, count(distinct project) as k, row_number() over (partition by date order by count(*) desc, coalesce(category, 'Other')) as r from ev group by 1, 2) group by date) c on c.date = g.date left join (select date, string_agg(project, ',' order by n desc, project) as tops from (select date, project, count(*) as n, row_number() over (partition by date order by count(*) desc, project) as r from ev where project is not null group by 1, 2) where r <= 5 group by date) p on p.date = g.date", EV)
+DAILY = "daily as (select g.date, g.total, c.categories, c.tops as top_categories, coalesce(p.tops, '') as top_projects from (select date, count(*) as total from ev group by date) g join (select date, string_agg(cat || ':' || n || '/' || k, ',' order by n desc, cat) as categories, string_agg(cat, ',' order by n desc, cat) filter (where r <= 3) as tops from (select date, coalesce(category, 'Other') as cat, count(*) as n, count(distinct project) as k, row_number() over (partition by date order by count(*) desc, coalesce(category, 'Other')) as r from ev group by 1, 2) group by date) c on c.date = g.date left join (select date, string_agg(project, ',' order by n desc, project) as tops from (select date, project, count(*) as n, row_number() over (partition by date order by count(*) desc, project) as r from ev where project is not null group by 1, 2) where r <= 5 group by date) p on p.date = g.date)"
+
+
+@query("a14_daily_summary", "select strftime(date, '%Y-%m-%d') as date, total, categories, top_categories, top_projects from daily", EV, DAILY)
 def a14(spark, d):
     return rollup.daily_summary(events(spark, d)).select(F.date_format("date", "yyyy-MM-dd").alias("date"), "total", "categories", "top_categories", "top_projects")
 
 
+@query("s22_summary_markdown", "select strftime(date, '%Y-%m-%d') as date, concat_ws(chr(10), '# Summary of ' || strftime(date, '%B %d, %Y'), '', 'Events: ' || total, 'Categories: ' || categories, 'Projects: ' || top_projects) as markdown from daily", EV, DAILY)
+def s22(spark, d):
+    return rollup.daily_summary(events(spark, d)).select(F.date_format("date", "yyyy-MM-dd").alias("date"), sinks.summary_markdown().alias("markdown"))
+
+
 @query("a15_daily_tasks", "select strftime(g.date, '%Y-%m-%d') as date, total, completed, minutes, coalesce(p.tops, '') as top_projects from (select cast(start_time as date) as date, count(*) as total, count(*) filter (where status = 'completed') as completed, sum(duration_minutes) as minutes from tasks group by 1) g left join (select date, string_agg(project, ',' order by n desc, project) as tops from (select cast(start_time as date) as date, project, count(*) as n, row_number() over (partition by cast(start_time as date) order by count(*) desc, project) as r from tasks where project is not null group by 1, 2) where r <= 5 group by date) p on p.date = g.date", TASKS)
 def a15(spark, d):
     return rollup.daily_tasks(tasks(spark, d)).select(F.date_format("date", "yyyy-MM-dd").alias("date"), "total", "completed", "minutes", "top_projects")
@@ -574,10 +574,15 @@ def w8(spark, d):
     return sequence.transitions(events(spark, d), ["source"]).select("id", "transition")
 
 
-@query("w9_visual_drops")
+_TRANS = "tr as (select *, row_number() over (partition by source, app order by timestamp, id) as n, case when pa is null then 'new' when pa <> app then 'switch' when pt <> title then 'new' else 'same' end as transition from (select id, source, app, title, timestamp, embedding::double[] as e, lag(app) over (partition by source order by timestamp, id) as pa, lag(title) over (partition by source order by timestamp, id) as pt from ev))"
+_SAME = "coalesce(t.transition = 'same' and epoch_us(t.timestamp) - epoch_us(c.at) <= 2592000000000 and list_cosine_similarity(c.vec, t.e) >= 0.0, false)"
+CACHE = f"recursive cache as (select source, app, 0::bigint as n, null::double[] as vec, null::timestamp as at, false as dropped from ev group by source, app union all select c.source, c.app, t.n, case when not {_SAME} and t.e is not null then t.e else c.vec end, case when not {_SAME} and t.e is not null then t.timestamp else c.at end, {_SAME} from cache c join tr t on t.source = c.source and t.app = c.app and t.n = c.n + 1)"
+
+
+@query("w9_visual_drops", "select id, transition, dropped from tr join cache using (source, app, n)", EV, _TRANS, CACHE)
 def w9(spark, d):
     e = events(spark, d, vectors=True).select("source", "app", "title", "timestamp", "id", "embedding")
-    return sequence.visual_drops(e, ["source"]).select("id", "transition", "dropped")
+    return sequence.visual_drops(e, ["source"], 0.0, 30 * 86400).select("id", "transition", "dropped")
 
 
 @query("w11_split_blocks", "select id, (row_number() over (partition by source order by timestamp, id) - 1) // 30 as block from ev", EV)
@@ -665,21 +670,57 @@ def _timed_vectors(spark, d) -> DataFrame:
     return events(spark, d, vectors=True).filter("embedding is not null")
 
 
-@query("v6_dbscan")
+def _clusters(p: str, eps: float = 1.15, least: int = 3) -> list[str]:
+    """Density clusters of the rows (grp, id, timestamp, e) of ``p`` as common table expressions; the last, ``{p}_label``, has
+    every row's cluster."""
+    return [
+        f"{p}_n as (select *, row_number() over (partition by grp order by timestamp, id) as n from {p})",
+        f"{p}_near as (select a.grp, a.n as a, b.n as b from {p}_n a join {p}_n b on a.grp = b.grp and a.n <> b.n where 2 - 2 * list_cosine_similarity(a.e, b.e) <= {eps} * {eps} + 1e-9)",
+        f"{p}_core as (select grp, a as n from {p}_near group by grp, a having count(*) >= {least})",
+        f"{p}_edge as (select x.* from {p}_near x join {p}_core c on c.grp = x.grp and c.n = x.a join {p}_core d on d.grp = x.grp and d.n = x.b)",
+        f"recursive {p}_reach as (select grp, n as root, n as here from {p}_core union select r.grp, r.root, x.b from {p}_reach r join {p}_edge x on x.grp = r.grp and x.a = r.here)",
+        f"{p}_head as (select grp, n, dense_rank() over (partition by grp order by h) - 1 as c from (select grp, here as n, min(root) as h from {p}_reach group by grp, here))",
+        f"{p}_border as (select x.grp, x.a as n, min(h.c) as c from {p}_near x join {p}_head h on h.grp = x.grp and h.n = x.b where not exists (select 1 from {p}_core o where o.grp = x.grp and o.n = x.a) group by 1, 2)",
+        f"{p}_label as (select p.*, coalesce(h.c, b.c, -1) as cluster from {p}_n p left join {p}_head h on h.grp = p.grp and h.n = p.n left join {p}_border b on b.grp = p.grp and b.n = p.n)",
+    ]
+
+
+def _in_blocks(p: str) -> list[str]:
+    """Of ``_clusters`` those of groups of three vectors or more, a group without a cluster as one, cut in thirties: ``{p}_block``."""
+    return [
+        f"{p}_kept as (select *, max(cluster) over (partition by grp) as any_c, count(*) over (partition by grp) as size from {p}_label)",
+        f"{p}_block as (select *, (row_number() over (partition by grp, c order by timestamp, id) - 1) // 30 as block from (select *, greatest(cluster, 0) as c from {p}_kept where size >= 3 and (cluster >= 0 or any_c < 0)))",
+    ]
+
+
+def _greedy(p: str, threshold: float, least: int = 50) -> list[str]:
+    """Rows (grp, id, timestamp, e) of ``p`` that resemble no kept one before them: ``{p}_kept_rows``."""
+    like = f"len(list_filter(g.kept, lambda k: list_cosine_similarity(k, p.e) >= {threshold})) > 0"
+    return [
+        f"{p}_seq as (select *, row_number() over (partition by grp order by timestamp, id) as n from {p} where e is not null)",
+        f"recursive {p}_scan as (select grp, 0::bigint as n, []::double[][] as kept, true as keep from {p}_seq group by grp union all select g.grp, p.n, case when {like} then g.kept else list_append(g.kept, p.e) end, not ({like}) from {p}_scan g join {p}_seq p on p.grp = g.grp and p.n = g.n + 1)",
+        f"{p}_kept_rows as (select p.* exclude (total) from (select *, count(*) over (partition by grp) as total from {p}) p left join (select grp, id, keep from {p}_seq join {p}_scan using (grp, n)) k on k.grp = p.grp and k.id = p.id where p.total <= {least} or p.e is null or k.keep)",
+    ]
+
+
+VECS = "vecs as (select id, event_type as grp, project, timestamp, embedding::double[] as e from ev where embedding is not null)"
+BY_PROJECT = "projects as (select id, coalesce(project, '') as grp, project, timestamp, embedding::double[] as e from ev where embedding is not null)"
+
+
+@query("v6_dbscan", "select id, cluster::bigint as cluster from vecs_label", EV, VECS, *_clusters("vecs"))
 def v6(spark, d):
-    e = _timed_vectors(spark, d).withColumn("all", F.lit(1))
-    return cluster.dbscan(e, ["all"], 1 - 1.15, 3).select("id", "cluster")
+    return cluster.dbscan(_timed_vectors(spark, d), ["event_type"], 1 - 1.15, 3).select("id", F.col("cluster").cast("long").alias("cluster"))
 
 
-@query("v8_project_clusters")
+@query("v8_project_clusters", "select id, project, c::bigint as cluster, block::bigint as block from projects_block", EV, BY_PROJECT, *_clusters("projects"), *_in_blocks("projects"))
 def v8(spark, d):
-    return cluster.project_clusters(_timed_vectors(spark, d), 1 - 1.15, 3).select("id", "project", "cluster", "block")
+    c = cluster.project_clusters(_timed_vectors(spark, d), 1 - 1.15, 3)
+    return c.select("id", "project", F.col("cluster").cast("long").alias("cluster"), F.col("block").cast("long").alias("block"))
 
 
-@query("v9_greedy_dedup")
+@query("v9_greedy_dedup", "select id from vecs_kept_rows", EV, VECS, *_greedy("vecs", 0.35))
 def v9(spark, d):
-    e = _timed_vectors(spark, d).withColumn("all", F.lit(1))
-    return vector.greedy_dedup(e, ["all"], 0.35).select("id")
+    return vector.greedy_dedup(_timed_vectors(spark, d), ["event_type"], 0.35).select("id")
 
 
 # one search text of frequent words
@@ -755,6 +796,34 @@ def v15(spark, d):
     return out.select("kind", F.col("id").cast("long").alias("id"), F.round("score", 6).alias("score"))
 
 
+# ---- what users ask for most ----
+
+
+def _runs(base: str, threshold: float) -> list[str]:
+    """Lines of ``base`` (rows of ev) newest first, runs of like vectors as their last row: ``{base}_lines``."""
+    return [
+        f"{base}_pos as (select *, row_number() over (order by timestamp desc, id desc) as pos from {base})",
+        f"{base}_isl as (select *, sum(case when list_cosine_similarity(pe::double[], embedding::double[]) >= {threshold} then 0 else 1 end) over (partition by event_type order by pos rows unbounded preceding) as island from (select *, lag(embedding) over (partition by event_type order by pos) as pe from {base}_pos where embedding is not null))",
+        f"{base}_lines as (select id, pos, {_FULL} as line from (select arg_max(id, pos) as run, min(pos) as first_pos from {base}_isl group by event_type, island) join (select * exclude (pos) from {base}_pos) on id = run, lateral (select first_pos as pos) union all select id, pos, {_FULL} as line from {base}_pos where embedding is null)",
+    ]
+
+
+LAST = "lately as (select * from ev where timestamp >= timestamp '2024-01-03 12:00:00' - interval 15 minute order by timestamp desc, id limit 500)"
+HOURS3 = "hours3 as (select * from ev where timestamp >= timestamp '2024-01-04 00:00:00' - interval 3 hour and app = 'app1' order by timestamp desc, id limit 1000)"
+
+
+@query("e1_working_memory", "select id, pos, line from lately_lines", EV, LAST, *_runs("lately", 0.0))
+def e1(spark, d):
+    m = api.working_memory(events(spark, d, vectors=True), F.to_timestamp(F.lit("2024-01-03 12:00:00")), threshold=0.0)
+    return m.select("id", F.col("pos").cast("long").alias("pos"), "line")
+
+
+@query("e1_recent_activity", "select id, pos, line from hours3_lines", EV, HOURS3, *_runs("hours3", 0.0))
+def e1b(spark, d):
+    m = api.recent_activity(events(spark, d, vectors=True), F.to_timestamp(F.lit("2024-01-04 00:00:00")), app="app1", threshold=0.0)
+    return m.select("id", F.col("pos").cast("long").alias("pos"), "line")
+
+
 # ---- temporal graph ----
 
 GSESS = "gs as (select *, 'session:' || source || ':' || session as session_id from (select *, sum(case when epoch_us(timestamp) // 1000000 - epoch_us(prev) // 1000000 <= 600 then 0 else 1 end) over (partition by source order by timestamp, id rows unbounded preceding)::bigint as session from (select *, lag(timestamp) over (partition by source order by timestamp, id) as prev from ev)))"
@@ -902,9 +971,15 @@ def k10(spark, d):
     return p.select(F.date_format("date", "yyyy-MM-dd").alias("date"), F.col("hour").cast("long").alias("hour"))
 
 
-@query("k1_compact_days")
+DAYS = f"days as (select * from ev where date < date '{NOW[:10]}')"
+UNLIKE = f"unlike as (select max_id as id, date as grp, date, project, timestamp, embedding::double[] as e from (select arg_max(id, (timestamp, id)) as max_id from days group by date, event_type, {_KEY}) join days on id = max_id)"
+TOGETHER = "together as (select id, strftime(date, '%Y-%m-%d') || coalesce('/' || project, '') as grp, date, timestamp, e from unlike_kept_rows where e is not null)"
+
+
+@query("k1_compact_days", "select strftime(a.date, '%Y-%m-%d') as date, a.n as event_count, coalesce(b.n, 0) as kept_count, coalesce(c.n, 0) as task_count from (select date, count(*) as n from days group by date) a left join (select date, count(*) as n from unlike_kept_rows group by date) b on b.date = a.date left join (select date, count(distinct grp || '/' || c || '/' || block) as n from together_block group by date) c on c.date = a.date", EV, DAYS, UNLIKE, *_greedy("unlike", 0.95), TOGETHER, *_clusters("together"), *_in_blocks("together"))
 def k1(spark, d):
-    return compaction.compact(events(spark, d, vectors=True), now(), threshold=1 - 1.15).report
+    r = compaction.compact(events(spark, d, vectors=True), now(), threshold=1 - 1.15).report
+    return r.withColumn("date", F.date_format("date", "yyyy-MM-dd")).select("date", "event_count", "kept_count", "task_count")
 
 
 # ---- incremental forms, in batch ----
@@ -947,10 +1022,9 @@ def k2(spark, d):
     return e.groupBy(F.date_format("date", "yyyy-MM-dd").alias("date")).agg(F.count("*").alias("n"))
 
 
-@query("k11_day_overview", "select strftime(date, '%Y-%m-%d') as date, 'On ' || strftime(date, '%B %d, %Y') || ' there were ' || count(*) || ' events' as head from ev group by date", EV)
+@query("k11_day_overview", "select strftime(date, '%Y-%m-%d') as date, 'On ' || strftime(date, '%B %d, %Y') || ' there were ' || total || ' events' || case when top_categories <> '' then ', mostly ' || replace(top_categories, ',', ', ') else '' end || case when top_projects <> '' then '; projects: ' || replace(top_projects, ',', ', ') else '' end || '.' as overview from daily", EV, DAILY)
 def k11(spark, d):
-    t = rollup.daily_summary(events(spark, d)).withColumn("o", task_ops.day_overview())
-    return t.select(F.date_format("date", "yyyy-MM-dd").alias("date"), F.regexp_extract("o", "^(.* events)", 1).alias("head"))
+    return rollup.daily_summary(events(spark, d)).select(F.date_format("date", "yyyy-MM-dd").alias("date"), task_ops.day_overview().alias("overview"))
 
 
 @query("j18_resolved_relations", "select distinct 'u' || user_id as id, 'k' || (k % 5) as source, 't' || event_type as target from (select *, cast(json_extract_string(props, '$.k') as bigint) as k from events) where user_id % 2 = 0 and k % 5 < 3")
@@ -963,11 +1037,10 @@ def j18(spark, d):
     return entity_graph.resolved(r, e).select("id", "source", "target")
 
 
-@query("v16_reembed")
+@query("v16_reembed", "select id, len(string_split(coalesce(summary, raw_content), ' '))::double as words, 1::bigint as width from ev where date = date '2024-01-10'", EV)
 def v16(spark, d):
-    from .streaming.ingest import chunked, embedded, hashed_vectors
-
-    return embedded(chunked(events(spark, d).drop("embedding")), hashed_vectors()).select("id", "chunk_index", "total_chunks", F.size("embedding").alias("width"))
+    e = api.reembed(events(spark, d), lambda texts: [[float(len(t.split(" ")))] for t in texts], "2024-01-10")
+    return e.select("id", F.col("embedding")[0].cast("double").alias("words"), F.size("embedding").cast("long").alias("width"))
 
 
 @query("s21_task_files", "select strftime(cast(start_time as date), '%Y-%m-%d') as date, count(*) as n from tasks group by 1", TASKS)

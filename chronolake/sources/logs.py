@@ -90,9 +90,9 @@ def repositories(paths: DataFrame, depth: int = 3) -> DataFrame:
     return t.filter(~F.exists(F.split("repo", "/"), lambda x: x.isin(*skipped) | x.startswith("."))).distinct()
 
 
-def retained(log: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """The latest ``most`` rows of each log."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("timestamp"))
+def retained(log: DataFrame, keys: list[str], most: int, *ties: str) -> DataFrame:
+    """The latest ``most`` rows of each log, of equal times the first by ``ties``."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("timestamp"), *ties)
     return log.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n")
 
 
