@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -283,6 +285,22 @@ def epoch_micros(c: Column | str, offset_seconds: int) -> Column:
     return F.timestamp_micros(_c(c) - F.lit(offset_seconds * 1_000_000))
 
 
+def local_day(ts: Column | str, zone: str) -> Column:
+    """The date that a UTC time has in a zone."""
+    return F.to_date(F.from_utc_timestamp(_c(ts), zone))
+
+
+def day_start(now: Column | str, zone: str, date: str | None = None) -> Column:
+    """Midnight of a date, else of the date that ``now`` has in the zone, read as UTC: where a collection of "today" begins."""
+    day = F.to_date(F.lit(date), "yyyy-MM-dd") if date is not None and re.fullmatch(r"\d{4}-\d{2}-\d{2}", date) else local_day(now, zone)
+    return F.to_timestamp(day)
+
+
+def local_midnight(date: Column | str, zone: str) -> Column:
+    """The UTC time at which a date begins in a zone."""
+    return F.to_utc_timestamp(F.to_timestamp(_c(date)), zone)
+
+
 # Kinds of triggers and how thoroughly each makes the screen be read.
 TRIGGERS = {
     "app_switch": "Full",

@@ -12,7 +12,7 @@ from .functions import expr as X
 from .operators import cluster, entity_graph, filters, fulltext, rollup, sequence, temporal_graph, vector
 from .operators import tasks as task_ops
 from .operators.filters import EventFilter
-from .plans import api, compaction
+from .plans import api, compaction, prompts
 from .sources import history, logs, sinks
 
 QUERIES: dict[str, Callable] = {}
@@ -304,6 +304,12 @@ def sc_json(spark, d):
     return read(spark, d, "events").select("event_id", X.event_text("props", "k").cast("long").alias("k"))
 
 
+@query("sc_local_day", "select event_id as id, strftime(ts + interval 330 minute, '%Y-%m-%d') as day, strftime(date_trunc('day', ts + interval 330 minute) - interval 330 minute, '%Y-%m-%d %H:%M:%S') as begins from events")
+def sc_local_day(spark, d):
+    e = read(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts")).withColumn("d", X.local_day("ts", "+05:30"))
+    return e.select("id", F.date_format("d", "yyyy-MM-dd").alias("day"), ts(X.local_midnight("d", "+05:30")).alias("begins"))
+
+
 _VIDEO_URL = "case c_custkey % 3 when 0 then 'https://www.youtube.com/watch?v=ab' || c_custkey when 1 then 'https://youtu.be/xy' || c_custkey else 'https://example.org/' || c_custkey end"
 _VIDEO_TITLE = "case c_custkey % 4 when 0 then 'Untitled' when 1 then 'YouTube' when 2 then 'A talk' else '' end"
 
@@ -726,7 +732,20 @@ def v9(spark, d):
 # one search text of frequent words
 SEARCH = "the of and ing re"
 _T = ("the", "of", "and", "ing", "re")
-TERMS = r"toks as (select cast(doc_id as varchar) as id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: length(x) >= 2) as w from documents), tf as (select id, len(w) as dl, " + ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) as t{i}" for i, t in enumerate(_T)) + " from toks), st as (select count(*) as n, avg(dl) as avgdl, " + ", ".join(f"count(*) filter (where t{i} > 0) as d{i}" for i in range(len(_T))) + " from tf), bm as (select id, " + " + ".join(f"greatest(ln((n - d{i} + 0.5) / (d{i} + 0.5)), case when ln((n - d{i} + 0.5) / (d{i} + 0.5)) > 0 then -1e9 else 1e-6 end) * t{i} * 2.2 / (t{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(_T))) + " as score from tf, st where " + " + ".join(f"t{i}" for i in range(len(_T))) + " > 0)"
+def _bm25(p: str, texts: str, terms: tuple[str, ...]) -> list[str]:
+    """BM25 scores of ``texts`` (rows id, text) as common table expressions, the last of them ``{p}bm`` (id, score)."""
+    d, idf = range(len(terms)), "ln((n - d{0} + 0.5) / (d{0} + 0.5))"
+    counts = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) as t{i}" for i, t in enumerate(terms))
+    score = " + ".join(f"greatest({idf.format(i)}, case when {idf.format(i)} > 0 then -1e9 else 1e-6 end) * t{i} * 2.2 / (t{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in d)
+    return [
+        f"{p}toks as (select id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2) as w from ({texts}))",
+        f"{p}tf as (select id, len(w) as dl, {counts} from {p}toks)",
+        f"{p}st as (select count(*) as n, avg(dl) as avgdl, " + ", ".join(f"count(*) filter (where t{i} > 0) as d{i}" for i in d) + f" from {p}tf)",
+        f"{p}bm as (select id, {score} as score from {p}tf, {p}st where " + " + ".join(f"t{i}" for i in d) + " > 0)",
+    ]
+
+
+TERMS = ", ".join(_bm25("", "select cast(doc_id as varchar) as id, text from documents", _T))
 
 
 @query("x1_query_terms", "select unnest(['the', 'of', 'and', 'ing', 're']) as term")
@@ -824,6 +843,16 @@ def e1b(spark, d):
     return m.select("id", F.col("pos").cast("long").alias("pos"), "line")
 
 
+_FTS = "select id, raw_content || ' ' || coalesce(summary, '') || ' ' || app || ' ' || title || ' ' || coalesce(gist, '') as text from found"
+_COS_E = "list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 7))"
+
+
+@query("e2_search_activity", f"select id, round(s + 0.02 * exp(-{_AGE} / 30), 6) as score, {_DETAIL} as text from fused join found using (id) order by s + 0.02 * exp(-{_AGE} / 30) desc, id limit 10", EV, "found as (select * from ev where app = 'app2')", *_bm25("e", _FTS, ("gist", "python", "debug")), f"fused as (select id, sum(1.0::double / (60 + r)) as s from (select * from (select id, row_number() over (order by {_COS_E} desc, id) as r from found where embedding is not null and {_COS_E} >= 0.01) where r <= 40 union all select * from (select id, row_number() over (order by score desc, id) as r from ebm) where r <= 40) group by id order by s desc, id limit 40)")
+def e2(spark, d):
+    out = api.search_activity(events(spark, d, vectors=True), "gist python debug", _vector(spark, d, 7), now(), where=EventFilter(app="app2"), floor=0.01)
+    return out.select("id", F.round("score", 6).alias("score"), "text")
+
+
 # ---- temporal graph ----
 
 GSESS = "gs as (select *, 'session:' || source || ':' || session as session_id from (select *, sum(case when epoch_us(timestamp) // 1000000 - epoch_us(prev) // 1000000 <= 600 then 0 else 1 end) over (partition by source order by timestamp, id rows unbounded preceding)::bigint as session from (select *, lag(timestamp) over (partition by source order by timestamp, id) as prev from ev)))"
@@ -1027,6 +1056,26 @@ def k11(spark, d):
     return rollup.daily_summary(events(spark, d)).select(F.date_format("date", "yyyy-MM-dd").alias("date"), task_ops.day_overview().alias("overview"))
 
 
+@query("k11_category_texts", "select strftime(date, '%Y-%m-%d') as date, coalesce(category, 'Other') as category, 'Completed ' || count(*) || ' ' || coalesce(category, 'Other') || ' activities.' as narrative from ev group by date, coalesce(category, 'Other')", EV)
+def k11c(spark, d):
+    return prompts.category_texts(events(spark, d)).select(F.date_format("date", "yyyy-MM-dd").alias("date"), "category", "narrative")
+
+
+@query("k11_task_texts", "select id, title || ' — ' || coalesce(description, '') as narrative from tasks", TASKS)
+def k11t(spark, d):
+    return prompts.narrated(tasks(spark, d), "task_summary").select("id", "narrative")
+
+
+@query("k11_day_texts", "select strftime(d, '%Y-%m-%d') as date, strftime(d, '%B %d, %Y') || ' — ' || n || ' tasks, ' || c || '/' || n || ' completed, ' || printf('%.1f', m / 60.0) || 'h total.' as narrative from (select cast(start_time as date) as d, count(*) as n, count(*) filter (where status = 'completed') as c, sum(duration_minutes)::double as m from tasks group by 1)", TASKS)
+def k11d(spark, d):
+    return prompts.day_texts(tasks(spark, d)).select(F.date_format("date", "yyyy-MM-dd").alias("date"), "narrative")
+
+
+@query("k12_requests", "select id, 'In one sentence, sum up the task ' || title || ' (' || status || ', ' || coalesce(category, '') || ', ' || (duration_minutes::bigint) || '.0 minutes,  activities): ' || description as request from tasks", TASKS)
+def k12(spark, d):
+    return tasks(spark, d).select("id", prompts.request("task_summary").alias("request"))
+
+
 @query("j18_resolved_relations", "select distinct 'u' || user_id as id, 'k' || (k % 5) as source, 't' || event_type as target from (select *, cast(json_extract_string(props, '$.k') as bigint) as k from events) where user_id % 2 = 0 and k % 5 < 3")
 def j18(spark, d):
     k = F.get_json_object("props", "$.k").cast("long") % 5

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import EVENT, HOUR, TASK, conform, latest
+from ..schema import EDGE, EVENT, HOUR, NODE, TASK, conform, latest
 
 
 class Store:
@@ -15,8 +15,8 @@ class Store:
     a lost job leaves nothing half replaced. ``replace_days`` folds
     versions together, day by day."""
 
-    KEYS = {"events": ["id", "chunk_index"], "tasks": ["id"], "hours": ["date", "hour"], "pending": ["id"]}
-    SCHEMAS = {"events": EVENT, "tasks": TASK, "hours": HOUR, "pending": EVENT}
+    KEYS = {"events": ["id", "chunk_index"], "tasks": ["id"], "hours": ["date", "hour"], "pending": ["id"], "nodes": ["id"], "edges": ["src_id", "dst_id", "type"]}
+    SCHEMAS = {"events": EVENT, "tasks": TASK, "hours": HOUR, "pending": EVENT, "nodes": NODE, "edges": EDGE}
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")

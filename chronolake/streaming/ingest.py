@@ -104,3 +104,61 @@ def due(last: str | None, now: str, every: str = "day") -> bool:
     """Whether a job that ran last at one ISO time is due at another: once each day or hour."""
     n = 10 if every == "day" else 13
     return last is None or last[:n] < now[:n]
+
+
+def poll(source: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = "60 seconds"):
+    """Start the cycle: each ``every``, what a streaming source has gathered since the last time goes through ``batch``. The
+    checkpoint stands for the time of the last cycle; a cycle that is missed is made up for by the next. Without ``every``
+    what is there goes through, and the query ends."""
+    w = source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
+
+
+def cycle(store: Store, embed: Callable, now: Callable[[], str], key: str = "source", retry: int = 500, threshold: float = 0.7) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function for a whole cycle: events and waiting ones are embedded and stored; the activity graph of the
+    sources seen is brought up to date; finished days are compacted once a day; and the hours that have no summary yet get
+    one by rules. ``now`` gives an ISO time. A step that fails is reported and doesn't stop the others; a batch without
+    events ends before them, as nothing has changed."""
+    import logging
+
+    from ..operators import rollup, tasks, temporal_graph
+    from ..plans import compaction
+
+    ingest = ingest_batch(store, embed, retry)
+    last: dict[str, str] = {}
+
+    def graph(events: DataFrame, version, at) -> None:
+        seen = events.select(key).distinct()
+        e = store.read("events").filter("chunk_index = 0").join(seen, key, "left_semi")
+        e = temporal_graph.with_sessions(e, [key])
+        store.append("edges", temporal_graph.edges(e, [key]), version)
+        store.append("nodes", temporal_graph.event_nodes(e), version)
+
+    def compact(events: DataFrame, version, at) -> None:
+        if not due(last.get("compaction"), now()):
+            return
+        done = compaction.compact(compaction.last_days(store.read("events"), at), at, threshold=threshold)
+        store.append("tasks", done.tasks, version)
+        store.append("events", done.events.filter("compacted"), version)
+        last["compaction"] = now()
+
+    def hours(events: DataFrame, version, at) -> None:
+        e = store.read("events")
+        p = tasks.pending_hours(e, store.read("hours"), at)
+        h = rollup.hour_aggregate(rollup.hours(e).join(F.broadcast(p), ["date", "hour"], "left_semi"))  # four hours at most
+        h = h.withColumn("title", F.array_join(F.slice("apps", 1, 3), ", ")).withColumn("summary", F.array_join("lines", "; ")).withColumn("generated_at", at)
+        store.append("hours", h, version)
+
+    def run(events: DataFrame, number: int) -> None:
+        ingest(events, number)
+        if events.isEmpty():
+            return
+        # later than what this batch has ingested, earlier than the next
+        at, version = F.to_timestamp(F.lit(now())), F.timestamp_millis(F.lit(1000 * number + 500))
+        for step in (graph, compact, hours):
+            try:
+                step(events, version, at)
+            except Exception:  # the next cycle tries again
+                logging.getLogger(__name__).exception("%s failed", step.__name__)
+
+    return run

@@ -254,3 +254,49 @@ def test_reports(spark, data):
     assert [r.id for r in g["top"].collect()] == ["a"] and g["stats"].first().entities == 1
     s = Settings.of(spark.createDataFrame([("pool", "7"), ("recency_days", "x"), ("none", "1"), ("session_gap", None)], "key string, value string"))
     assert s.pool == 7 and s.recency_days == 30.0 and s.session_gap == 600
+
+
+def test_poll_cycle(spark, tmp_path):
+    """Two polls over a folder: what comes is stored, linked, compacted and summed up by hour; a rerun changes nothing."""
+    s = sinks.Store(spark, str(tmp_path / "db"))
+    e = stored(spark).withColumn("source", F.lit("u1"))
+    schema = e.schema
+    arrive = lambda df: df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run = lambda: ingest.poll(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), ingest.cycle(s, ingest.hashed_vectors(), lambda: "2026-06-17T00:30:00"), str(tmp_path / "mark"), None).awaitTermination()
+    rows = e.orderBy("timestamp").collect()
+    arrive(spark.createDataFrame(rows[:2], schema))
+    run()
+    assert s.read("events").count() == 2 and s.read("nodes").count() == 2
+    arrive(spark.createDataFrame(rows[2:], schema))
+    run()
+    run()
+    assert s.read("events").count() == len(rows) and {r.src_id for r in s.read("edges").collect()} >= {r.id for r in rows}
+    yesterday = [r for r in rows if str(r.timestamp)[:10] == "2026-06-16"]
+    assert s.read("hours").count() == len({r.timestamp.hour for r in yesterday})
+    assert s.read("events").filter("compacted").count() == len([r for r in rows if str(r.timestamp)[:10] < "2026-06-17"])
+
+
+def test_cycle_goes_on_after_a_failure(spark, tmp_path, monkeypatch):
+    from chronolake.operators import temporal_graph
+
+    monkeypatch.setattr(temporal_graph, "edges", lambda *a: 1 / 0)
+    s = sinks.Store(spark, str(tmp_path / "db"))
+    ingest.cycle(s, ingest.hashed_vectors(), lambda: "2026-06-17T00:30:00")(stored(spark).withColumn("source", F.lit("u1")), 1)
+    assert s.read("events").count() == 3 and s.read("hours").count() > 0 and s.read("edges").count() == 0
+
+
+def test_narratives(spark):
+    from chronolake.plans import prompts
+
+    t = spark.createDataFrame([("1", "Fix", "the bug", "done", None, 5.0, 2), ("2", "Write", None, "active", "Docs", None, 1)], "id string, title string, description string, status string, category string, duration_minutes double, activity_count int")
+    said = lambda ask=None: [r.narrative for r in prompts.narrated(t, "task_summary", ask).orderBy("id").collect()]
+    assert said() == said(lambda texts: 1 / 0) == said(lambda texts: ["x"] * 99) == ["Fix — the bug", "Write — "]
+    assert said(lambda texts: [x.split()[7] if "Fix" in x else "" for x in texts]) == ["Fix", "Write — "]
+    assert set(prompts.FALLBACKS) <= set(prompts.REQUESTS) and len(prompts.REQUESTS) == 11
+
+
+def test_local_days(spark):
+    from chronolake.functions import expr as X
+
+    r = spark.range(1).select(X.local_midnight(F.lit("2024-03-10"), "America/New_York").alias("a"), X.day_start(F.to_timestamp(F.lit("2024-03-10 02:00:00")), "America/New_York").alias("b"), X.day_start(F.current_timestamp(), "UTC", "2024-05-01").alias("c")).first()
+    assert (str(r.a), str(r.b), str(r.c)) == ("2024-03-10 05:00:00", "2024-03-09 00:00:00", "2024-05-01 00:00:00")
