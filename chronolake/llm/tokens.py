@@ -209,12 +209,14 @@ class Counter:
             else:
                 cut.append(self.cut(t))
                 fixed.append(0)
-        new = {x for c in cut for x in c} - self.known.keys()
-        found = self.counts(new)
-        self.known.update(found if all(len(x) <= SHORT for x in new) else {x: n for x, n in found.items() if len(x) <= SHORT})
-        own = found if any(len(x) > SHORT for x in new) else None
-        known = self.known.__getitem__ if own is None else lambda x: own[x] if x in own else self.known[x]
-        return [sum(map(known, c)) + n for c, n in zip(cut, fixed, strict=True)]
+        new = {x for c in cut for x in c}.difference(self.known)
+        self.known.update(self.counts(new))
+        known = self.known.__getitem__
+        n = [sum(map(known, c)) + k for c, k in zip(cut, fixed, strict=True)]
+        for x in new:
+            if len(x) > SHORT:
+                del self.known[x]
+        return n
 
 
 def token_counts(docs: DataFrame, content: str, limit: int = 1024) -> DataFrame:
