@@ -10,8 +10,9 @@ from .common import store, table
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 LIMIT = 2.0
-#: Rows of a source and size class that one task numbers, about; a larger class is dealt out by the ids' hashes.
-SLICE = 1 << 15
+#: A source and size class of n rows is dealt out by the ids' hashes to sqrt(n) / SPREAD slices, so that neither the rows of a
+#: slice, which one task numbers, nor the slices of a class grow in proportion to it.
+SPREAD = 8
 
 SIZE_SQL = r"regexp_count(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
@@ -52,8 +53,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     Every document of a source expects target / source_size copies, which is at most ``limit``; copies are that, rounded up or
     down. Their prefix sums run over the source's documents, those of like size side by side, so that the words taken stay
     near the target; a document is emitted once for each whole number that its step crosses, after the source's one random
-    offset. The prefix sums come from counts of small bins (source, size class, slice), as many slices as a class has SLICE
-    rows, so that no source has to pass through one task: only a bin's own rows are numbered together. Null texts have size
+    offset. The prefix sums come from counts of small bins (source, size class, slice), so that no source has to pass through one task: only a bin's own rows are numbered together. Null texts have size
     0; a null source is a source of its own, the last; equal rows are rows of their own; an empty table gives an empty
     table; null doc_ids are sampled as any others. Other columns are not looked at."""
     d = sizes(docs).withColumn("k", F.monotonically_increasing_id())
@@ -63,7 +63,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     d = store(d)
     by_class = store(d.groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
     in_order = Window.partitionBy("source").orderBy("class")
-    slices = F.greatest(F.lit(1), F.floor(F.col("n") / SLICE)).cast("long").alias("slices")
+    slices = F.greatest(F.lit(1), F.floor(F.sqrt("n") / SPREAD)).cast("long").alias("slices")
     starts = by_class.select(F.col("source").alias("src"), F.col("class").alias("c"), slices, (F.sum("n").over(in_order) - F.col("n")).alias("before"))
     by_source = store(targets(by_class.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, limit).withColumnRenamed("source", "of"))
     starts = store(starts.join(by_source, F.col("src").eqNullSafe(F.col("of"))).drop("of"))
@@ -88,7 +88,7 @@ ORACLE = r"""
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint as hash from documents),
 c as (select *, length(bin(size)) * 32 + list_reduce(list_transform(string_split(rpad(substr(bin(size), 1, 5), 5, '0'), ''), lambda x: x::int), lambda a, b: a * 2 + b) as class from d),
-z as (select *, hash % greatest(1, count(*) over (partition by source, class) // 32768) as slice from c),
+z as (select *, hash % greatest(1, floor(sqrt(count(*) over (partition by source, class)) / 8)::bigint) as slice from c),
 s as (select source, sum(size)::bigint as source_size, [3, 1, 2][(row_number() over (order by source nulls last) - 1) % 3 + 1]::double as w from c group by source),
 n as (select *, source_size * 2.0::double as cap, sum(source_size) over () * 1.5::double as budget, sum(w) over () as all_w from s),
 l as (select *, (budget - coalesce(sum(cap) over (order by cap / w, source nulls last rows between unbounded preceding and 1 preceding), 0)) /

@@ -544,7 +544,7 @@ def test_mix(spark, docs):
 
 @pytest.mark.parametrize("share, limit", [(1.5, 1.5), (1.5, 3.0), (0.5, 2.0), (2.5, 2.0), (2.5, 3.0), (1.0, 1.0)])
 def test_mix_takes_its_targets(docs, monkeypatch, share, limit):
-    monkeypatch.setattr(mixing, "SLICE", 20)
+    monkeypatch.setattr(mixing, "SPREAD", 1)
     d = docs([(32 * i, prose(rnd.randint(1, 9)), "abc"[min(2, i % 5)]) for i in range(900)])
     got = mixing.mix_sources(d, share=share, limit=limit).join(d.select(F.col("doc_id").alias("i"), F.col("source").alias("src")), F.expr("doc_id = i")).collect()
     by = {}
