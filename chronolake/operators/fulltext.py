@@ -25,11 +25,6 @@ def unindexed(docs: DataFrame, index: DataFrame) -> DataFrame:
     return docs.join(index.select("id").distinct(), "id", "left_anti")
 
 
-def _stem_counts(text: str, terms: list[str]) -> Column:
-    w = stemmed(tokens(text))
-    return F.transform(F.array(F.lit(""), *map(F.lit, terms)), lambda q: F.when(q == "", F.size(w)).otherwise(F.size(F.filter(w, lambda x: x == q))))
-
-
 def _counts(text: str, terms: list[str]) -> Column:
     """The number of a text's tokens, then how often each term occurs among them.
 
@@ -58,7 +53,13 @@ def bm25(docs: DataFrame, query: str, limit: int, text: str = "text", stems: boo
     terms = list(dict.fromkeys(map(stem, terms))) if stems else terms
     if not terms:
         return docs.select("id", F.lit(0.0).alias("score")).limit(0)
-    t = docs.select("id", (_stem_counts if stems else _counts)(text, terms).alias("c")).select("id", F.col("c")[0].alias("dl"), *(F.col("c")[i + 1].alias(f"tf{i}") for i in range(len(terms)))).repartition("id")
+    if stems:
+        w = docs.select("id", stemmed(tokens(text)).alias("w"))
+        n = [F.size("w"), *(F.size(F.filter("w", lambda x, q=q: x == q)) for q in terms)]
+    else:
+        w = docs.select("id", _counts(text, terms).alias("c"))
+        n = [F.col("c")[i] for i in range(len(terms) + 1)]
+    t = w.select("id", n[0].alias("dl"), *(x.alias(f"tf{i}") for i, x in enumerate(n[1:]))).repartition("id")
     stats = t.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     score = F.lit(0.0)
     for i in range(len(terms)):
