@@ -1094,4 +1094,164 @@ def v16(spark, d):
 
 @query("s21_task_files", "select strftime(cast(start_time as date), '%Y-%m-%d') as date, count(*) as n from tasks group by 1", TASKS)
 def s21(spark, d):
-    return tasks(spark, d).groupBy(F.date_format("start_time", "yyyy-MM-dd").alias("date")).agg(F.count("*").alias("n"))
+    return sinks.dated(tasks(spark, d)).groupBy(F.date_format("date", "yyyy-MM-dd").alias("date")).agg(F.count("*").alias("n"))
+
+
+# ---- raw logs, written from events: event i is i minutes after the first of January ----
+
+TICK = "tick as (select event_id as id, user_id as u, cast(json_extract_string(props, '$.k') as bigint) as k, 1704067200 + event_id * 60 as s, make_timestamp((1704067200 + event_id * 60) * 1000000) as tm from events)"
+
+
+def _ticks(spark, d) -> DataFrame:
+    s = F.lit(1704067200) + F.col("event_id") * 60
+    return read(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("u"), F.get_json_object("props", "$.k").cast("long").alias("k"), s.alias("s"), F.timestamp_seconds(s).alias("timestamp"))
+
+
+_SINCE = "2024-01-02 00:00:00"
+
+
+def _zsh(spark, d) -> DataFrame:
+    line = F.expr("case k % 5 when 0 then 'plain ' || k when 1 then ': bad:0;x' when 2 then ': ' || s || ':0;' else ': ' || s || ':0; make ' || k || '; ls' end")
+    return history.zsh_lines(_ticks(spark, d).select(line.alias("value")), F.to_timestamp(F.lit(_SINCE)))
+
+
+def _bash(spark, d) -> DataFrame:
+    line = F.expr("case k % 4 when 0 then '#' || s when 1 then ' ' else ' run ' || k end")
+    files = _ticks(spark, d).groupBy("u").agg(F.max("timestamp").alias("timestamp"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", line.alias("l")))), lambda x: x["l"]), "\n").alias("value"))
+    return history.bash_texts(files, 20)
+
+
+ZSH = f"zsh as (select tm, 'make ' || k || '; ls' as command from tick where k % 5 >= 3 and tm >= timestamp '{_SINCE}')"
+BASH = "bash as (select m as tm, 'run ' || k as command from (select *, row_number() over (partition by u order by id desc) as r from tick where k % 4 >= 2) join (select u, max(tm) as m from tick group by u) using (u) where r <= 20)"
+
+
+@query("s5_zsh", f"select {sts('tm')} as ts, command, 'zsh' as shell from zsh", TICK, ZSH)
+def s5(spark, d):
+    return _zsh(spark, d).select(ts().alias("ts"), "command", "shell")
+
+
+@query("s6_bash", f"select {sts('tm')} as ts, command, 'bash' as shell from bash", TICK, BASH)
+def s6(spark, d):
+    return _bash(spark, d).select(ts().alias("ts"), "command", "shell")
+
+
+@query("s7_fish", f"select case when k % 3 = 0 then {sts('tm')} else '{NOW}' end as ts, case when k % 3 = 0 then 'ls ' || k else 'pwd' end as command, 'fish' as shell from tick where k % 3 < 2", TICK)
+def s7(spark, d):
+    block = F.expr("case k % 3 when 0 then 'ls ' || k || chr(10) || '  when: ' || s || chr(10) when 1 then 'pwd' || chr(10) else '' end")
+    return history.fish_blocks(_ticks(spark, d).select(block.alias("value")), now()).select(ts().alias("ts"), "command", "shell")
+
+
+@query("s8_terminal_union", f"select shell as source, {sts('tm')} as ts, command, length(command) as command_length, row_number() over (partition by shell, tm, command) as n from (select *, 'zsh' as shell from zsh union all select *, 'bash' from bash)", TICK, ZSH, BASH)
+def s8(spark, d):
+    e = history.terminal_events(history.union([_zsh(spark, d), _bash(spark, d)]))
+    command = F.get_json_object("raw_content", "$.command")
+    e = e.select("id", "source", "timestamp", command.alias("command"), F.col("metadata")["command_length"].cast("long").alias("command_length"))
+    n = F.row_number().over(Window.partitionBy("source", "timestamp", "command").orderBy("id"))
+    return e.dropDuplicates(["id"]).select("source", ts().alias("ts"), "command", "command_length", n.cast("long").alias("n"))
+
+
+@query("s9_commits", f"select 'p' || g as project, {sts('tm')} as ts, 'fix ' || k as message, 'src/f' || k || '.py' as files, '' || k as lines_changed from (select *, u % 7 as g, row_number() over (partition by u % 7 order by tm desc) as r from tick) where r <= 50", TICK)
+def s9(spark, d):
+    t = _ticks(spark, d).select("timestamp", F.expr("'/code/p' || u % 7 || '/'").alias("repo"), F.expr("'h' || id").alias("hash"), F.expr("'fix ' || k").alias("message"), F.expr("array('src/f' || k || '.py')").alias("files_changed"), F.col("k").cast("int").alias("lines_changed"), F.lit(None).cast("string").alias("diff"))
+    e = logs.commit_events(t)
+    return e.select("project", ts().alias("ts"), F.get_json_object("raw_content", "$.message").alias("message"), joined("files_changed").alias("files"), F.col("metadata")["lines_changed"].alias("lines_changed"))
+
+
+@query("s10_repositories", "select 'a/b' || c_custkey as repo from customer where c_custkey % 5 = 0")
+def s10(spark, d):
+    path = F.expr("case c_custkey % 5 when 0 then 'a/b' || c_custkey || '/.git' when 1 then 'node_modules/x' || c_custkey || '/.git' when 2 then 'a/b/c/d' || c_custkey || '/.git' when 3 then '.cache/r' || c_custkey || '/.git' else 'a/f' || c_custkey || '/src' end")
+    return logs.repositories(read(spark, d, "customer").select(path.alias("path")))
+
+
+_STAGED = "case k % 3 when 0 then ['a.py', 'b.py'] when 1 then ['b.py', 'c.py'] else []::varchar[] end"
+
+
+@query("s11_staging", f"select 'r' || u as project, {sts('tm')} as ts, concat_ws('; ', case when len(a) > 0 then 'Staged: ' || array_to_string(a, ', ') end, case when len(r) > 0 then 'Unstaged: ' || array_to_string(r, ', ') end) as raw_content from (select *, list_filter(now_, lambda x: not list_contains(was, x)) as a, list_filter(was, lambda x: not list_contains(now_, x)) as r from (select *, coalesce(lag(now_) over (partition by u order by tm), []) as was from (select *, {_STAGED} as now_ from tick))) where len(a) + len(r) > 0", TICK)
+def s11(spark, d):
+    staged = F.expr("case k % 3 when 0 then array('a.py', 'b.py') when 1 then array('b.py', 'c.py') end")
+    e = logs.staging_events(_ticks(spark, d).select("timestamp", F.expr("'/home/r' || u").alias("repo"), staged.alias("staged")))
+    return e.select("project", ts().alias("ts"), "raw_content")
+
+
+@query("s12_window_runs", f"select u as user_id, {sts('tm')} as ts, 'app' || w || ' — Doc ' || w as raw_content, '' || (nxt - s) as seconds from (select *, lead(s) over (partition by u order by s) as nxt from (select *, lag(w) over (partition by u order by s) as p from (select *, k % 2 as w from tick where k % 5 <> 0)) where p is null or p <> w) where nxt is not null", TICK)
+def s12(spark, d):
+    log = _ticks(spark, d).select(F.col("u").alias("user_id"), "timestamp", F.expr("case when k % 5 = 0 then '' else 'app' || k % 2 end").alias("app"), F.expr("'Doc ' || k % 2").alias("title"))
+    return logs.window_events(log, ["user_id"]).select("user_id", ts().alias("ts"), "raw_content", F.col("metadata")["duration_seconds"].alias("seconds"))
+
+
+@query("s13_screen_rows", f"select u as user_id, {sts('tm')} as ts, md5('Editor — Doc ' || k || ': ' || t) as raw_content, '' || (coalesce(lead(s) over (partition by u order by s), 1893456000) - s) as seconds from (select *, repeat('word ' || k || ' ', (k % 20)::int) as t from tick where k % 6 > 1 and k % 7 <> 0) where strlen(t) >= 60", TICK)
+def s13(spark, d):
+    app, title = "case k % 6 when 0 then 'Finder' when 1 then '1Password' else 'Editor' end", "case k % 7 when 0 then 'Private Browsing' else 'Doc ' || k end"
+    log = _ticks(spark, d).select(F.col("u").alias("user_id"), "timestamp", F.expr(app).alias("app_name"), F.expr(title).alias("window_title"), F.expr("repeat('word ' || k || ' ', int(k % 20))").alias("raw_text"), F.lit("ocr").alias("raw_text_source"), F.lit(None).cast("string").alias("gist"))
+    e = logs.screen_events(log, F.to_timestamp(F.lit("2030-01-01 00:00:00")), ["user_id"])
+    return e.select("user_id", ts().alias("ts"), F.md5("raw_content").alias("raw_content"), F.col("metadata")["duration_seconds"].alias("seconds"))
+
+
+@query("s16_imported_points", f"select 'i' || id as id, {sts('tm')} as ts, case k % 4 when 0 then 'browser' when 2 then 'terminal' else 'window' end as event_type, case when k % 2 = 0 then 'text ' || k else '' end as raw_content, 'x' || k % 3 as extra, 2::bigint as width from tick where k % 9 <> 0", TICK)
+def s16(spark, d):
+    payload = "map('timestamp', case when k % 9 = 0 then 'never' else date_format(timestamp, 'yyyy-MM-dd HH:mm:ss') end, 'event_type', case k % 4 when 0 then 'Browser' when 1 then 'bogus' end, 'type', case when k % 4 = 2 then 'terminal' end, 'content', case when k % 2 = 0 then 'text ' || k end, 'extra', 'x' || k % 3)"
+    p = logs.points(_ticks(spark, d).select(F.expr("'i' || id").alias("id"), F.expr("array(float(k), 0f)").alias("vector"), F.expr(payload).alias("payload")))
+    return p.select("id", ts().alias("ts"), "event_type", "raw_content", F.col("metadata")["extra"].alias("extra"), F.size("embedding").cast("long").alias("width"))
+
+
+@query("s25_layout", "select u as user_id, case when length(text) >= 30 then left(text, 4000) end as text from (select u, string_agg(l, chr(10) order by y, part) as text from (select u, y, part, string_agg(t, '  ' order by x, t) as l from (select *, sum(far) over (partition by u, y order by x, t rows unbounded preceding) as part from (select *, case when x - lag(x + 5) over (partition by u, y order by x, t) > gap then 1 else 0 end as far from (select *, greatest(100, (max(x + 5) over (partition by u) - min(x) over (partition by u)) * 0.3) as gap from (select u, 'w' || id as t, id % 4 as y, (id % 1000) * 10 as x from tick)))) group by u, y, part) group by u)", TICK)
+def s25(spark, d):
+    n = _ticks(spark, d).select(F.col("u").alias("user_id"), F.expr("'w' || id").alias("text"), F.expr("double(id % 4 * 100)").alias("y"), F.expr("double(id % 1000 * 10)").alias("x"), F.lit(5.0).alias("width"), F.lit(20.0).alias("height"))
+    return logs.laid_out(n, ["user_id"])
+
+
+# ---- small functions ----
+
+
+@query("p12_long_enough", "select id from (select *, k % 40 as n, case k % 3 when 0 then 'window' when 1 then 'screen' else 'note' end as kind from tick) where case kind when 'window' then n >= 30 when 'screen' then n >= 4 else true end", TICK)
+def p12(spark, d):
+    e = _ticks(spark, d).select("id", (F.col("k") % 40).alias("duration_seconds"), F.expr("case k % 3 when 0 then 'window' when 1 then 'screen' else 'note' end").alias("event_type"))
+    return filters.long_enough(e).select("id")
+
+
+@query("f7_hhmm", "select id, case when k % 4 = 0 then '??:??' else strftime(tm, '%Y-%m-%d %H:%M') end as t from tick", TICK)
+def f7(spark, d):
+    iso = F.when(F.col("k") % 4 == 0, "2024-01-01").otherwise(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss"))
+    return _ticks(spark, d).select("id", X.hhmm(iso).alias("t"))
+
+
+@query("f10_shaped_events", f"select id, {sts()} as ts, event_type, project, category, coalesce(summary, left(raw_content, 200)) as text from ev", EV)
+def f10(spark, d):
+    return api.shaped_events(events(spark, d)).withColumn("ts", ts()).drop("timestamp")
+
+
+@query("f10_shaped_tasks", f"select id, title, description, status, category, project, {sts('start_time')} as start, duration_minutes::double as minutes from tasks", TASKS)
+def f10t(spark, d):
+    t = api.shaped_tasks(tasks(spark, d))
+    return t.select("id", "title", "description", "status", "category", "project", ts("start_time").alias("start"), F.col("duration_minutes").alias("minutes"))
+
+
+@query("sc_last_sentence", "select doc_id, md5(case when regexp_matches(text, '[.!?]') then left(text, length(text) - length(regexp_extract(text, '[^.!?]*$', 0))) else text end) as cut from documents")
+def sc_last_sentence(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.md5(X.to_last_sentence("text")).alias("cut"))
+
+
+@query("sc_last_segment", "select page_id, split_part(rtrim(url, '/'), '/', -1) as name from pages")
+def sc_last_segment(spark, d):
+    return read(spark, d, "pages").select("page_id", X.last_segment(F.concat("url", F.lit("//"))).alias("name"))
+
+
+@query("sc_json_block", "select event_id, case when event_id % 3 = 0 then 'none' else props end as block from events")
+def sc_json_block(spark, d):
+    text = F.when(F.col("event_id") % 3 == 0, "none").otherwise(F.concat(F.lit("Here it is:\n"), "props", F.lit(" as asked.")))
+    return read(spark, d, "events").select("event_id", X.json_block(text).alias("block"))
+
+
+@query("sc_enum_defaults", "select id, case k % 4 when 0 then 'git_commit' when 1 then 'note' else 'window' end as event_type, case k % 5 when 0 then 'Coding' when 1 then 'Research' when 2 then 'Other' end as category from tick", TICK)
+def sc_enums(spark, d):
+    from .schema import category, event_type
+
+    kind, name = F.expr("case k % 4 when 0 then 'GIT_COMMIT' when 1 then 'Note' when 2 then 'odd' end"), F.expr("case k % 5 when 0 then 'CODING' when 1 then 'research' when 2 then 'gardening' end")
+    return _ticks(spark, d).select("id", event_type(kind).alias("event_type"), category(name).alias("category"))
+
+
+@query("sc_stable_ids", "select id, sha256('e' || chr(31) || id || chr(31) || case when k % 2 = 0 then chr(30) else '' || k end) as key from tick", TICK)
+def sc_ids(spark, d):
+    from .schema import stable_id
+
+    return _ticks(spark, d).select("id", stable_id(F.lit("e"), "id", F.when(F.col("k") % 2 == 1, F.col("k"))).alias("key"))

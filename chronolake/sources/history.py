@@ -42,7 +42,12 @@ def union(parts: list[DataFrame]) -> DataFrame:
 
 def zsh(spark: SparkSession, path: str, since: Column) -> DataFrame:
     """(timestamp, command, shell) of an extended zsh history: ': <epoch>:<elapsed>;<command>'."""
-    t = spark.read.text(path).filter(F.col("value").startswith(": "))
+    return zsh_lines(spark.read.text(path), since)
+
+
+def zsh_lines(lines: DataFrame, since: Column) -> DataFrame:
+    """The same of its lines (value)."""
+    t = lines.filter(F.col("value").startswith(": "))
     t = t.select(F.timestamp_seconds(F.expr("try_cast(regexp_extract(value, '^: ([0-9]+):', 1) as bigint)")).alias("timestamp"), F.trim(F.regexp_extract("value", r"^: [0-9]+:[0-9]*;(.*)$", 1)).alias("command"), F.lit("zsh").alias("shell"))
     return t.filter((F.col("timestamp") >= since) & (F.col("command") != ""))
 
@@ -50,15 +55,24 @@ def zsh(spark: SparkSession, path: str, since: Column) -> DataFrame:
 def bash(spark: SparkSession, path: str, last: int | None = None) -> DataFrame:
     """The same of a bash history: no blank lines or comments, every row at its file's time; with ``last``, each file's last
     so many lines."""
-    t = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_modification_time").alias("timestamp"), F.col("_metadata.file_path").alias("file"))
-    t = t.select("timestamp", F.filter(F.split("value", "\n"), lambda x: (F.trim(x) != "") & ~x.startswith("#")).alias("l"))
+    return bash_texts(spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_modification_time").alias("timestamp")), last)
+
+
+def bash_texts(files: DataFrame, last: int | None = None) -> DataFrame:
+    """The same of whole files (value, timestamp)."""
+    t = files.select("timestamp", F.filter(F.split("value", "\n"), lambda x: (F.trim(x) != "") & ~x.startswith("#")).alias("l"))
     t = t if last is None else t.withColumn("l", F.when(F.size("l") > last, F.slice("l", -last, last)).otherwise(F.col("l")))
-    return t.select("timestamp", F.posexplode("l").alias("pos", "command")).select("timestamp", F.trim("command").alias("command"), F.lit("bash").alias("shell"))
+    return t.select("timestamp", F.explode("l").alias("command")).select("timestamp", F.trim("command").alias("command"), F.lit("bash").alias("shell"))
 
 
 def fish(spark: SparkSession, path: str, now: Column) -> DataFrame:
     """The same of a fish history: blocks of '- cmd: ' with a 'when: <epoch>' line; without it the row is at ``now``."""
-    t = spark.read.text(path, lineSep="- cmd: ").filter(F.trim("value") != "")
+    return fish_blocks(spark.read.text(path, lineSep="- cmd: "), now)
+
+
+def fish_blocks(blocks: DataFrame, now: Column) -> DataFrame:
+    """The same of what stands between one '- cmd: ' and the next (value)."""
+    t = blocks.filter(F.trim("value") != "")
     when = F.timestamp_seconds(F.expr("try_cast(regexp_extract(value, 'when: ([0-9]+)', 1) as bigint)"))
     return t.select(F.coalesce(when, now).alias("timestamp"), F.trim(F.split_part("value", F.lit("\n"), F.lit(1))).alias("command"), F.lit("fish").alias("shell")).filter("command <> ''")
 

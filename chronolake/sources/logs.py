@@ -98,7 +98,11 @@ def retained(log: DataFrame, keys: list[str], most: int, *ties: str) -> DataFram
 
 def imported_points(spark: SparkSession, path: str) -> DataFrame:
     """Events of a vector store's exported points, one JSON object a line: id, vector, payload."""
-    t = spark.read.schema("id string, vector array<float>, payload map<string,string>").json(path)
+    return points(spark.read.schema("id string, vector array<float>, payload map<string,string>").json(path))
+
+
+def points(t: DataFrame) -> DataFrame:
+    """Events of points (id, vector, payload: map); those without a good time go."""
     p = F.col("payload")
     ts = F.try_to_timestamp(p["timestamp"])
     t = t.select(

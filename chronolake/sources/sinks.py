@@ -56,10 +56,14 @@ class Store:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def dated(tasks: DataFrame) -> DataFrame:
+    """Tasks with the ``date`` of the folder that they are written to."""
+    return tasks.withColumn("date", F.to_date("start_time"))
+
+
 def write_tasks_by_date(tasks: DataFrame, path: str) -> None:
     """Tasks as JSON, a folder for each date; the dates written replace what they held."""
-    t = tasks.withColumn("date", F.to_date("start_time"))
-    t.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").json(path)
+    dated(tasks).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").json(path)
 
 
 def summary_markdown() -> Column:
