@@ -1,6 +1,7 @@
 """Raw logs in their own formats, sinks, and streams that must give what the batch forms give."""
 
 import json
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -143,8 +144,9 @@ def test_breaker():
     assert ingest.due(None, "2026-06-15T09") and not ingest.due("2026-06-15T01", "2026-06-15T09") and ingest.due("2026-06-15T08", "2026-06-15T09", "hour")
 
 
-def stream(spark, tmp_path, batches, schema, make, name):
-    """Rows that a stream operator gives for batches of rows, one file each."""
+def stream(spark, tmp_path, batches, schema, make, name, enough=None):
+    """Rows that a stream operator gives for batches of rows, one file each. With timeouts in processing time a query never
+    runs out of batches: it is stopped when it has given ``enough`` rows."""
     d = tmp_path / name
     d.mkdir()
     for i, rows in enumerate(batches):
@@ -155,7 +157,13 @@ def stream(spark, tmp_path, batches, schema, make, name):
         os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(d))
     q = make(s).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / f"c-{name}")).start()
-    q.awaitTermination(120)
+    end = time.monotonic() + 120
+    try:
+        while not q.awaitTermination(1) and time.monotonic() < end:
+            if enough is not None and spark.table(name).count() >= enough:
+                break
+    finally:
+        q.stop()
     return [tuple(r) for r in spark.table(name).collect()]
 
 
@@ -189,7 +197,7 @@ def test_stream_drops(spark, tmp_path):
 
 def test_stream_debounce(spark, tmp_path):
     js = [{"k": "u", "type": t, "timestamp": at(s)} for t, s in [("app_switch", 0), ("title_change", 2), ("screen_lock", 3), ("app_switch", 4), ("screen_unlock", 5)]]
-    got = stream(spark, tmp_path, [js], "k string, type string, timestamp timestamp", lambda s: processors.debounced(s, "k", 0.5), "deb")
+    got = stream(spark, tmp_path, [js], "k string, type string, timestamp timestamp", lambda s: processors.debounced(s, "k", 0.5), "deb", 3)
     assert sorted(t for _, t, _ in got) == ["app_switch", "screen_unlock", "title_change"]
 
 
