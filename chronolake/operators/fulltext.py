@@ -55,7 +55,8 @@ def bm25(docs: DataFrame, query: str, limit: int, text: str = "text", stems: boo
         return docs.select("id", F.lit(0.0).alias("score")).limit(0)
     if stems:
         w = docs.select("id", stemmed(tokens(text)).alias("w"))
-        n = [F.size("w"), *(F.size(F.filter("w", lambda x, q=q: x == q)) for q in terms)]
+        count = lambda q: F.size(F.filter("w", lambda x: x == q))
+        n = [F.size("w"), *map(count, terms)]
     else:
         w = docs.select("id", _counts(text, terms).alias("c"))
         n = [F.col("c")[i] for i in range(len(terms) + 1)]
