@@ -61,8 +61,13 @@ def completed(tasks: DataFrame, task_id: str, now: Column) -> DataFrame:
 
 def pending_hours(events: DataFrame, summarized: DataFrame, now: Column, most: int = 4) -> DataFrame:
     """The first ``most`` hours (date, hour) with events but no summary: all of yesterday's, then today's before this hour."""
+    return unsummed_hours(events.select(F.to_date("timestamp").alias("date"), F.hour("timestamp").alias("hour")), summarized, now, most)
+
+
+def unsummed_hours(seen: DataFrame, summarized: DataFrame, now: Column, most: int = 4) -> DataFrame:
+    """``pending_hours`` from the hours (date, hour) that have events."""
     today = F.to_date(now)
-    e = events.select(F.to_date("timestamp").alias("date"), F.hour("timestamp").alias("hour"))
+    e = seen.select("date", "hour")
     e = e.filter((F.col("date") == F.date_sub(today, 1)) | ((F.col("date") == today) & (F.col("hour") < F.hour(now)))).distinct()
     return e.join(summarized.select("date", "hour"), ["date", "hour"], "left_anti").orderBy("date", "hour").limit(most)
 

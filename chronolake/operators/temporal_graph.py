@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import domain_of, slug
 from ..schema import latest
-from .sequence import gap_sessions
+from .sequence import GAP, gap_sessions
 
 # Labels of event nodes.
 LABELS = {"window": "WindowEvent", "screen": "ScreenEvent", "browser": "BrowserEvent", "terminal": "TerminalCommand", "git_commit": "GitCommit", "git_stash": "GitCommit", "git_staged": "GitCommit", "note": "ScreenEvent"}
@@ -27,9 +27,34 @@ def event_nodes(events: DataFrame) -> DataFrame:
     return events.select("id", label.alias("label"), F.map_concat(meta, own).alias("props"), F.col("timestamp").alias("ts"))
 
 
+def continued(events: DataFrame, tails: DataFrame, key: str, gap: int = GAP) -> tuple[DataFrame, DataFrame]:
+    """``events`` of one batch with ``session_id`` and ``previous`` (the event before in the session), and the tails (key,
+    session, session_id, last_second, last_id) of the sources seen, as they are after the batch.
+
+    ``tails`` are those that the batches before have left: one row for each value of ``key``, and all that is read of them.
+    Within a batch events are in order of time. A session begins where more than ``gap`` whole seconds lie between an event and the
+    latest one before it, in this batch or any other; so an event that comes late joins the session that is open.
+    Batches in order of time give the sessions and chains that ``with_sessions`` gives for all rows at once."""
+    t = tails.select(F.col("key").alias("_key"), F.col("session").alias("_session"), F.col("session_id").alias("_open"), F.col("last_second").alias("_second"), F.col("last_id").alias("_last"))
+    own = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    e = events.withColumn("_own", own).join(t, F.col("_own") == F.col("_key"), "left")
+    w = Window.partitionBy("_own").orderBy("timestamp", "id")
+    second = F.unix_timestamp("timestamp")
+    before = F.greatest(F.max(second).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_second"))
+    e = e.withColumn("_new", F.coalesce(second - before > gap, F.lit(True)))
+    e = e.withColumn("_n", F.coalesce("_session", F.lit(0)) + F.sum(F.col("_new").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    e = e.withColumn("session_id", F.concat_ws(":", F.lit("session"), "_own", F.col("_n").cast("string")))
+    e = e.withColumn("previous", F.when(~F.col("_new"), F.coalesce(F.lag("id").over(w), F.col("_last"))))
+    last = F.max_by(F.struct("_n", "session_id", "id"), F.struct("timestamp", "id"))
+    after = e.groupBy("_own").agg(last.alias("r"), F.greatest(F.max(second), F.max("_second")).alias("last_second"))
+    after = after.select(F.col("_own").alias("key"), F.col("r._n").alias("session"), "r.session_id", "last_second", F.col("r.id").alias("last_id"))
+    return e.drop("_own", "_key", "_session", "_open", "_second", "_last", "_new", "_n"), after
+
+
 def edges(events: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct (src_id, dst_id, type) of ``events`` with sessions: DURING, ON_APP, IN_WINDOW, IN_PROJECT, VISITED, MODIFIED
-    (a commit's first ten files) and FOLLOWED_BY, which leads from each event to the next of its session.
+    (a commit's first ten files) and FOLLOWED_BY, which leads from each event to the next of its session, or to each from its
+    ``previous`` where events have that column.
 
     One pass makes all edges of an event; only the chain needs its session's order."""
     m, raw = F.col("metadata"), F.col("raw_content")
@@ -46,8 +71,12 @@ def edges(events: DataFrame, keys: list[str]) -> DataFrame:
     )
     changed = F.when(F.col("event_type") == "git_commit", F.transform(files, lambda f: F.struct(F.lit("MODIFIED").alias("type"), F.concat(F.lit("file:"), f).alias("dst_id")))).otherwise(F.array().cast("array<struct<type:string,dst_id:string>>"))
     out = events.select(F.col("id").alias("src_id"), F.explode(F.concat(F.filter(made, lambda x: x.isNotNull()), changed)).alias("e")).select("src_id", "e.dst_id", "e.type")
-    w = Window.partitionBy(*keys, "session_id").orderBy("timestamp", "id")
-    chain = events.select("id", F.lead("id").over(w).alias("n")).filter("n is not null").select(F.col("id").alias("src_id"), F.col("n").alias("dst_id"), F.lit("FOLLOWED_BY").alias("type"))
+    if "previous" in events.columns:
+        chain = events.select(F.col("previous").alias("src_id"), F.col("id").alias("dst_id"))
+    else:
+        w = Window.partitionBy(*keys, "session_id").orderBy("timestamp", "id")
+        chain = events.select(F.col("id").alias("src_id"), F.lead("id").over(w).alias("dst_id"))
+    chain = chain.filter("src_id is not null and dst_id is not null").withColumn("type", F.lit("FOLLOWED_BY"))
     return out.unionByName(chain).distinct()
 
 

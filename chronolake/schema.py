@@ -43,6 +43,11 @@ ENTITY = _struct("id string, name string, type string, aliases array<string>, co
 RELATIONSHIP = _struct("id string, source_entity_id string, target_entity_id string, type string, confidence double, first_seen timestamp, last_seen timestamp, strength double, supporting array<string>")
 HOUR = _struct("date date, hour int, title string, summary string, tree string, apps array<string>, categories array<string>, event_count bigint, generated_at timestamp")
 
+#: Of each source the session that is open: its number and id, when its last event was (whole seconds), and that event.
+TAIL = _struct("key string, session bigint, session_id string, last_second bigint, last_id string")
+#: Hours that have events.
+SEEN = _struct("date date, hour int")
+
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """``df`` with exactly the columns of ``schema``: cast, and null where it has none."""

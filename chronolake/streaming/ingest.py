@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import chunks, embedding_text
+from ..schema import EVENT, conform
 from ..sources.sinks import Store
 
 
@@ -58,23 +59,32 @@ def hashed_vectors(width: int = 64) -> Callable[[list[str]], list[list[float] |
     return embed
 
 
-def ingest_batch(store: Store, embed: Callable, retry: int = 500) -> Callable[[DataFrame, int], None]:
+#: After so many batches the small tables of the cycle are folded.
+FOLD = 32
+
+
+def ingest_batch(store: Store, embed: Callable, retry: int = 500, writer: str = "ingest") -> Callable[[DataFrame, int], DataFrame]:
     """A foreachBatch function: new events and up to ``retry`` waiting ones are chunked, embedded and appended; those without
-    a vector wait. Appends carry the batch's number as version, so that a batch that runs twice leaves what one run leaves."""
+    a vector wait. It returns the chunks that were stored.
 
-    def run(events: DataFrame, number: int) -> None:
-        version = F.timestamp_seconds(F.lit(number))
-        waiting = store.read("pending").filter("compacted is null or not compacted")
+    A batch's rows are written once, with their vectors, and events and queue are filled from there: a task that is lost
+    afterwards asks no model again. Rows carry the batch's version, so that a batch that runs twice leaves what one run leaves."""
+
+    def run(events: DataFrame, number: int) -> DataFrame:
+        version = store.version(writer, number)
+        waiting = store.read("pending", before=version).filter("compacted is null or not compacted")
         again = waiting.orderBy("timestamp", "id").limit(retry).drop("chunk_index", "total_chunks", "source_doc_id", "embedding")
         both = events.unionByName(again.select(*(c for c in again.columns if c in events.columns)), allowMissingColumns=True) if events.columns else again
-        done = embedded(chunked(both), embed).persist()
-        try:
-            store.append("events", done.filter("embedding is not null"), version)
-            store.append("pending", done.filter("embedding is null and trim(chunk) <> ''").withColumn("compacted", F.lit(False)), version)
-            left = waiting.join(done.filter("embedding is not null").select("id").distinct(), "id", "left_semi")
-            store.append("pending", left.withColumn("compacted", F.lit(True)), version)
-        finally:
-            done.unpersist()
+        path = f"{store.path}/_batches/{writer}-{version % 2}"  # a batch reads none but its own: two places take turns
+        embedded(chunked(both), embed).write.mode("overwrite").parquet(path)
+        done = store.spark.read.parquet(path)
+        store.append("events", done.filter("embedding is not null"), version)
+        late = done.filter("embedding is null and trim(chunk) <> ''").withColumn("compacted", F.lit(False))
+        left = waiting.join(done.filter("embedding is not null").select("id").distinct(), "id", "left_semi").withColumn("compacted", F.lit(True))
+        store.append("pending", late.unionByName(left, allowMissingColumns=True), version)
+        if number % FOLD == FOLD - 1:
+            store.fold("pending", keep=~F.coalesce("compacted", F.lit(False)))
+        return done.filter("embedding is not null")
 
     return run
 
@@ -114,51 +124,68 @@ def poll(source: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint:
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
 
 
-def cycle(store: Store, embed: Callable, now: Callable[[], str], key: str = "source", retry: int = 500, threshold: float = 0.7) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function for a whole cycle: events and waiting ones are embedded and stored; the activity graph of the
-    sources seen is brought up to date; finished days are compacted once a day; and the hours that have no summary yet get
-    one by rules. ``now`` gives an ISO time. A step that fails is reported and doesn't stop the others; a batch without
-    events ends before them, as nothing has changed."""
+def cycle(store: Store, embed: Callable, now: Callable[[], str], key: str = "source", retry: int = 500, threshold: float = 0.7, writer: str = "cycle") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function for a whole cycle: events and waiting ones are embedded and stored; their nodes and edges are
+    added to the activity graph; finished days are compacted once a day; and the hours that have no summary yet get one by
+    rules. ``now`` gives an ISO time. A step that fails is reported and doesn't stop the others; a batch without events ends
+    before them, as nothing has changed.
+
+    A batch reads what it brings, one row for each of its sources (``tails``) and the hours seen lately, whatever lies in the
+    store. Events are read again only once for each finished hour (its day), and once a day by compaction (its seven days)."""
     import logging
+    from datetime import date, timedelta
 
     from ..operators import rollup, tasks, temporal_graph
     from ..plans import compaction
 
-    ingest = ingest_batch(store, embed, retry)
+    ingest = ingest_batch(store, embed, retry, writer)
     last: dict[str, str] = {}
 
-    def graph(events: DataFrame, version, at) -> None:
-        seen = events.select(key).distinct()
-        e = store.read("events").filter("chunk_index = 0").join(seen, key, "left_semi")
-        e = temporal_graph.with_sessions(e, [key])
+    def days(most: int) -> list[str]:
+        today = date.fromisoformat(now()[:10])
+        return [str(today - timedelta(days=n)) for n in range(most + 1)]
+
+    def graph(done: DataFrame, version: int, at) -> None:
+        tails = store.read("tails", before=version)
+        e, after = temporal_graph.continued(conform(done.filter("chunk_index = 0"), EVENT), tails, key)
         store.append("edges", temporal_graph.edges(e, [key]), version)
         store.append("nodes", temporal_graph.event_nodes(e), version)
+        store.append("tails", after, version)
 
-    def compact(events: DataFrame, version, at) -> None:
+    def compact(done: DataFrame, version: int, at) -> None:
         if not due(last.get("compaction"), now()):
             return
-        done = compaction.compact(compaction.last_days(store.read("events"), at), at, threshold=threshold)
-        store.append("tasks", done.tasks, version)
-        store.append("events", done.events.filter("compacted"), version)
+        made = compaction.compact(compaction.last_days(store.read("events", days(7)), at), at, threshold=threshold)
+        version = store.version()  # later than what this batch has stored
+        store.append("tasks", made.tasks, version)
+        store.append("events", made.events.filter("compacted"), version)
         last["compaction"] = now()
 
-    def hours(events: DataFrame, version, at) -> None:
-        e = store.read("events")
-        p = tasks.pending_hours(e, store.read("hours"), at)
-        h = rollup.hour_aggregate(rollup.hours(e).join(F.broadcast(p), ["date", "hour"], "left_semi"))  # four hours at most
+    def hours(done: DataFrame, version: int, at) -> None:
+        seen = rollup.hours(done).select("date", "hour").distinct()
+        store.append("seen", seen, version)
+        lately = store.read("seen").filter(F.col("date") >= F.date_sub(F.to_date(at), 1))
+        summed = store.read("hours").filter(F.col("date") >= F.date_sub(F.to_date(at), 1))
+        p = [(r.date, r.hour) for r in tasks.unsummed_hours(lately, summed, at).collect()]  # four at most
+        if not p:
+            return
+        e = rollup.hours(store.read("events", {str(d) for d, _ in p})).filter(F.struct("date", "hour").isin([F.struct(F.lit(d).alias("date"), F.lit(h).alias("hour")) for d, h in p]))
+        h = rollup.hour_aggregate(e)
         h = h.withColumn("title", F.array_join(F.slice("apps", 1, 3), ", ")).withColumn("summary", F.array_join("lines", "; ")).withColumn("generated_at", at)
         store.append("hours", h, version)
 
     def run(events: DataFrame, number: int) -> None:
-        ingest(events, number)
+        done = ingest(events, number)
         if events.isEmpty():
             return
-        # later than what this batch has ingested, earlier than the next
-        at, version = F.to_timestamp(F.lit(now())), F.timestamp_millis(F.lit(1000 * number + 500))
+        at, version = F.to_timestamp(F.lit(now())), store.version(writer, number)
         for step in (graph, compact, hours):
             try:
-                step(events, version, at)
+                step(done, version, at)
             except Exception:  # the next cycle tries again
                 logging.getLogger(__name__).exception("%s failed", step.__name__)
+        if number % FOLD == FOLD - 1:
+            store.fold("tails")
+            store.fold("seen", keep=F.col("date") >= F.date_sub(F.to_date(at), 2))
 
     return run

@@ -106,8 +106,8 @@ def stored(spark, n=3):
 def test_store(spark, tmp_path):
     s = sinks.Store(spark, str(tmp_path / "db"))
     assert s.read("events").count() == 0
-    s.append("events", stored(spark), F.timestamp_seconds(F.lit(1)))
-    s.append("events", stored(spark, 1).withColumn("summary", F.lit("new")), F.timestamp_seconds(F.lit(2)))
+    s.append("events", stored(spark), s.version())
+    s.append("events", stored(spark, 1).withColumn("summary", F.lit("new")), s.version())
     got = {r.id: r.summary for r in s.read("events").collect()}
     assert got == {"0": "new", "1": None, "2": None}
     s.delete_day("2026-06-16")
