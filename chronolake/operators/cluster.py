@@ -2,40 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .cells import BLOCK, GROUP, cells, components, matrix, near_rows, numbers, unit_vectors, written
 
-def dbscan_labels(v: np.ndarray, eps: float, least: int) -> np.ndarray:
-    """Cluster of each row, -1 for noise: rows within ``eps`` are neighbours; one with ``least`` others is a core; cores that
-    neighbour each other share a cluster, numbered by its first member; a border row joins the first of its cores' clusters.
-
-    Distances are made in blocks of rows, so memory grows with the rows and not with their square."""
-    n = len(v)
-    square = (v * v).sum(1)
-
-    def near() -> Iterator[tuple[int, np.ndarray]]:
-        for i in range(0, n, 1024):
-            d = square[i : i + 1024, None] + square[None] - 2 * v[i : i + 1024] @ v.T
-            yield i, d <= eps * eps + 1e-9
 
-    core = np.concatenate([m.sum(1) - 1 >= least for _, m in near()]) if n else np.zeros(0, bool)
+def _roots(core: np.ndarray, near) -> np.ndarray:
+    """For each core the smallest row that cores near each other connect it with; other rows are their own."""
+    n = len(core)
     root = np.arange(n)
     while True:
         old = root.copy()
         for i, m in near():
-            rows = np.flatnonzero(core[i : i + 1024])
+            rows = np.flatnonzero(core[i : i + len(m)])
             if len(rows):
                 reach = np.where(m[rows] & core[None], root[None], n)
                 root[i + rows] = np.minimum(root[i + rows], reach.min(1))
         root = root[root]
         if (root == old).all():
-            break
+            return root
+
+
+def dbscan_labels(v: np.ndarray, eps: float, least: int) -> np.ndarray:
+    """Cluster of each row, -1 for noise: rows within ``eps`` are neighbours; one with ``least`` others is a core; cores that
+    neighbour each other share a cluster, numbered by its first member; a border row joins the first of its cores' clusters.
+
+    Distances are made in blocks of rows, so memory grows with the rows and not with their square."""
+    n = len(v)
+    near = lambda: near_rows(v, eps, np.zeros(n, int), False, 1024)
+    core = np.concatenate([m.sum(1) - 1 >= least for _, m in near()]) if n else np.zeros(0, bool)
+    root = _roots(core, near)
     heads = np.unique(root[core])
     label = np.full(n, -1)
     label[core] = np.searchsorted(heads, root[core])
@@ -48,18 +49,90 @@ def dbscan_labels(v: np.ndarray, eps: float, least: int) -> np.ndarray:
     return label
 
 
-def dbscan(events: DataFrame, keys: list[str], threshold: float = 0.7, least: int = 3) -> DataFrame:
+def dbscan(events: DataFrame, keys: list[str], threshold: float = 0.7, least: int = 3, block: int = BLOCK) -> DataFrame:
     """``events`` with a vector, and ``cluster``: unit vectors within 1 - threshold of each other, group by group. Rows are in
-    order of time. A group is clustered by one task, in blocks; groups run side by side."""
+    order of time. Groups of at most ``block`` rows are clustered by a task each, side by side; larger ones are dealt out to
+    many (``spread_dbscan``)."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["timestamp", "id"], kind="stable")
-        v = np.array(p["embedding"].tolist(), float)
-        n = np.linalg.norm(v, axis=1, keepdims=True)
-        return p.assign(cluster=dbscan_labels(np.divide(v, n, out=v.copy(), where=n > 0), 1 - threshold, least).astype(np.int32))
+        v = unit_vectors(np.array(p["embedding"].tolist(), float))
+        return p.assign(cluster=dbscan_labels(v, 1 - threshold, least).astype(np.int32))
 
     e = events.filter("embedding is not null")
-    return e.groupBy(*keys).applyInPandas(run, T.StructType([*e.schema.fields, T.StructField("cluster", T.IntegerType())]))
+    schema = T.StructType([*e.schema.fields, T.StructField("cluster", T.IntegerType())])
+    small, large = by_size(e, keys, block)
+    out = small.groupBy(*keys).applyInPandas(run, schema)
+    return out if large is None else out.unionByName(spread_dbscan(large, keys, 1 - threshold, least, block))
+
+
+def by_size(events: DataFrame, keys: list[str], block: int) -> tuple[DataFrame, DataFrame | None]:
+    """``events`` of groups of at most ``block`` rows, and those of larger ones, if any."""
+    n = events.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.count("*").alias("_n")).filter(F.col("_n") > block)
+    if not n.take(1):
+        return events, None
+    n = written(n)
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return events.join(n, same, "left_anti"), events.join(n, same, "left_semi")
+
+
+def as_rows(events: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``events`` with ``_rid`` and ``_grp``, numbers of the row and its group, and their (grp, rid, ts, id, v) for ``cells``."""
+    parts = [x for k in keys for x in (F.col(k).isNull(), F.col(k))]
+    e = written(events.withColumn("_rid", F.monotonically_increasing_id()).withColumn("_grp", F.xxhash64(F.lit(0), *parts)))
+    rows = e.select(F.xxhash64("_grp", F.size("embedding")).alias("grp"), F.col("_rid").alias("rid"), F.unix_micros("timestamp").alias("ts"), F.col("id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return e, rows
+
+
+def spread_dbscan(events: DataFrame, keys: list[str], eps: float, least: int, block: int = BLOCK) -> DataFrame:
+    """``dbscan`` of groups of any size: no task takes more than two blocks.
+
+    Groups are cut in cells with halos, so that a row meets all its neighbours in its home cell. There neighbours are counted,
+    which tells the cores; then each block links its cores to the smallest one that it connects them with, and border
+    rows to the cores' smallest ones; the links' components are the clusters. Distances are made twice, pairs never listed."""
+    e, rows = as_rows(events, keys)
+    met = written(cells(rows, eps, block))
+
+    def count(t: pa.Table) -> pa.Table:
+        rid, home, blk, two = numbers(t, "rid", "home", "blk", "two")
+        n = np.zeros(len(rid), np.int64)
+        for i, m in near_rows(matrix(t.column("v")), eps, blk, bool(two[0])):
+            n[i : i + len(m)] = m.sum(1) - (not two[0])
+        return pa.table({"rid": rid[home], "n": n[home]})
+
+    core = met.groupBy(*GROUP).applyInArrow(count, "rid long, n long").groupBy("rid").agg((F.sum("n") >= least).alias("core"))
+    core = written(core)
+
+    def link(t: pa.Table) -> pa.Table:
+        rid, home, blk, two, core = numbers(t, "rid", "home", "blk", "two", "core")
+        order = np.argsort(rid)
+        rid, home, blk, core, x = rid[order], home[order], blk[order], core[order], matrix(t.column("v"))[order]
+        near = lambda: near_rows(x, eps, blk, bool(two[0]))
+        root = _roots(core, near)
+        linked = core & (root != np.arange(len(rid)))
+        us, vs = [rid[linked]], [rid[root[linked]]]
+        for i, m in near():
+            edge = np.flatnonzero((home & ~core)[i : i + len(m)])
+            for k, row in zip(edge.tolist(), m[edge] & core[None], strict=True):
+                heads = np.unique(root[row])
+                us.append(np.full(len(heads), rid[i + k]))
+                vs.append(rid[heads])
+        u, v = np.concatenate(us), np.concatenate(vs)
+        return pa.table({"u": u, "v": v, "border": np.arange(len(u)) >= len(us[0])})
+
+    links = written(met.join(core, "rid").groupBy(*GROUP).applyInArrow(link, "u long, v long, border boolean").distinct())
+    label = components(links.filter("not border").select("u", "v"))
+    own = core.filter("core").select("rid").join(label, F.col("rid") == F.col("node"), "left").select("rid", F.coalesce("label", "rid").alias("label"))
+    own = written(own)
+    at = e.select("_rid", "_grp", "timestamp", "id")
+    heads = own.join(at, F.col("rid") == F.col("_rid")).groupBy("_grp", "label").agg(F.min(F.struct("timestamp", "id")).alias("head"))
+    number = (F.row_number().over(Window.partitionBy("_grp").orderBy("head")) - 1).cast("int")  # a row for each cluster
+    heads = written(heads.select("label", number.alias("cluster")))
+    border = links.filter("border").select("u", "v").join(own.withColumnRenamed("rid", "v"), "v").select(F.col("u").alias("rid"), "label")
+    clusters = own.unionByName(border).join(heads, "label").groupBy("rid").agg(F.min("cluster").alias("cluster"))
+    return e.join(clusters, F.col("_rid") == F.col("rid"), "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)).cast("int")).drop("_rid", "_grp", "rid")
 
 
 def project_clusters(events: DataFrame, threshold: float = 0.7, least: int = 3, most: int = 30, keys: tuple[str, ...] = ("project",)) -> DataFrame:

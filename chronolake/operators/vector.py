@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import cosine, literal_vector, recency
+from .cells import GROUP, cells, matrix, numbers, unit_vectors, written
 
 #: Bytes and number of query vectors that go to every task; more are dealt in blocks of so many queries and events.
 SENT, SENT_ROWS = 64 << 20, 100_000
@@ -33,7 +40,6 @@ def similar(events: DataFrame, query: list[float], floor: float) -> DataFrame:
 
 def _best(q, v, k: int):
     """(row of ``q``, row of ``v``, cosine) of the k best for each row of ``q``, and what ties with them."""
-    import numpy as np
 
     unit = lambda x: np.divide(x, n := np.linalg.norm(x, axis=1, keepdims=True), out=np.zeros_like(x), where=n > 0)
     q, v = unit(q), unit(v)
@@ -65,8 +71,6 @@ def nearest_of_each(queries: DataFrame, events: DataFrame, k: int) -> DataFrame:
 
 
 def _sent(queries: DataFrame, events: DataFrame, k: int) -> DataFrame:
-    import numpy as np
-    import pyarrow as pa
 
     rows = queries.select("query_id", "query").collect()
     q = np.array([r.query for r in rows], float)
@@ -82,8 +86,6 @@ def _sent(queries: DataFrame, events: DataFrame, k: int) -> DataFrame:
 
 
 def _dealt(queries: DataFrame, n: int, events: DataFrame, k: int) -> DataFrame:
-    import numpy as np
-    import pyarrow as pa
 
     blocks, parts = -(-events.count() // BLOCK) or 1, -(-n // QUERIES)
     deal = lambda count, *of: F.pmod(F.xxhash64(*of), F.lit(count)).cast("int")
@@ -145,7 +147,6 @@ def hybrid(vector_arm: DataFrame, text_arm: DataFrame, events: DataFrame, now: C
 def rerank(pool: DataFrame, scorer, limit: int, text: Column) -> DataFrame:
     """A pool (id, ...) in the order of ``scorer(texts) -> scores``, which replaces ``score``; without a scorer, or with
     fewer than two rows, or if it fails or gives another number of scores, the pool as it was. A pool is one task's few rows."""
-    import pandas as pd
 
     if scorer is None:
         return pool.orderBy(F.desc("score"), "id").limit(limit)
@@ -170,11 +171,11 @@ def rerank(pool: DataFrame, scorer, limit: int, text: Column) -> DataFrame:
     return t.coalesce(1).mapInPandas(run, schema).orderBy(F.desc("score"), "id").limit(limit)
 
 
-def greedy_dedup(events: DataFrame, keys: list[str], threshold: float, least: int = 50) -> DataFrame:
+def greedy_dedup(events: DataFrame, keys: list[str], threshold: float, least: int = 50, block: int = BLOCK) -> DataFrame:
     """In order of time, rows without those whose vector resembles (cosine >= threshold) any kept row of their group; groups
-    of at most ``least`` rows and rows without a vector stay whole. Each group is one ordered scan over its kept vectors."""
-    import numpy as np
-    import pandas as pd
+    of at most ``least`` rows and rows without a vector stay whole. A group of at most ``block`` rows is one ordered scan over
+    its kept vectors; larger ones are decided in rounds by many tasks (``spread_dedup``)."""
+    from .cluster import by_size
 
     def scan(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["timestamp", "id"], kind="stable")
@@ -183,9 +184,7 @@ def greedy_dedup(events: DataFrame, keys: list[str], threshold: float, least: in
         has = p["embedding"].notna().to_numpy()
         keep, n = ~has, 0
         if has.any():
-            v = np.array(p["embedding"][has].tolist(), float)
-            size = np.linalg.norm(v, axis=1, keepdims=True)
-            v = np.divide(v, size, out=v.copy(), where=size > 0)
+            v = unit_vectors(np.array(p["embedding"][has].tolist(), float))
             kept = np.empty_like(v)
             for k, x in zip(np.flatnonzero(has), v, strict=True):
                 if not n or float((kept[:n] @ x).max()) < threshold:
@@ -193,4 +192,63 @@ def greedy_dedup(events: DataFrame, keys: list[str], threshold: float, least: in
                     n += 1
         return p[keep]
 
-    return events.groupBy(*keys).applyInPandas(scan, events.schema)
+    small, large = by_size(events, keys, max(block, least))
+    out = small.groupBy(*keys).applyInPandas(scan, events.schema)
+    return out if large is None else out.unionByName(spread_dedup(large, keys, threshold, block))
+
+
+def _decided(threshold: float):
+    """For each undecided row at home: whether it resembles a kept row (it goes), and whether it resembles an earlier one that
+    is still open. Within a group rows are gone through in order of time, so that what is decided there counts at once."""
+
+    def run(t: pa.Table) -> pa.Table:
+        order = pc.sort_indices(t, [("ts", "ascending"), ("id", "ascending"), ("rid", "ascending")])
+        t = t.take(order)
+        rid, home, blk, two, whole, kept = numbers(t, "rid", "home", "blk", "two", "whole", "kept")
+        x, two, whole = matrix(t.column("v")), bool(two[0]), bool(whole[0])
+        seen, at, stays = np.empty_like(x), np.empty(len(x), np.int64), np.empty(len(x), bool)
+        n, goes, waits = 0, np.zeros(len(x), bool), np.zeros(len(x), bool)
+        for k in range(len(x)):
+            if not kept[k]:
+                near = seen[:n] @ x[k] >= threshold
+                if two:
+                    near &= blk[at[:n]] != blk[k]
+                goes[k] = bool((near & stays[:n]).any())
+                if goes[k]:
+                    continue
+                waits[k] = bool(near.any())
+            seen[n], at[n], stays[n] = x[k], k, kept[k] or (whole and home[k] and not waits[k])
+            n += 1
+        m = home & ~kept
+        return pa.table({"rid": rid[m], "goes": goes[m], "waits": waits[m]})
+
+    return run
+
+
+def spread_dedup(events: DataFrame, keys: list[str], threshold: float, block: int = BLOCK) -> DataFrame:
+    """``greedy_dedup`` of groups of any size: what stays is the lexicographically first maximal set of rows none of which
+    resembles another.
+
+    Of equal vectors only the first can stay. The others are cut in cells with halos, where a row meets all that resemble it.
+    In each round a row that resembles a kept one goes, and one whose earlier neighbours have all gone stays; then
+    rows that went take no part. A cell that is a single group is decided as far as its own rows allow in one round, so
+    rounds are as many as chains of open neighbours cross cells."""
+    from .cluster import as_rows
+
+    if threshold <= 0:
+        raise ValueError("the threshold is above 0")
+    e, rows = as_rows(events, keys)
+    some = F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))  # rows without a direction resemble none
+    v = rows.filter(F.exists("v", lambda x: x != 0))
+    first = v.groupBy("grp", "v").agg(F.min(F.struct("ts", "id", "rid")).alias("r")).select("grp", "r.*", "v")
+    met = written(cells(first, math.sqrt(max(0.0, 2 - 2 * threshold)), block))
+    state = e.sparkSession.createDataFrame([], "rid long, kept boolean")
+    while True:
+        now = met.join(state, "rid", "left").filter("kept is null or kept").withColumn("kept", F.coalesce("kept", F.lit(False)))
+        said = now.groupBy(*GROUP).applyInArrow(_decided(threshold), "rid long, goes boolean, waits boolean").groupBy("rid").agg(F.max("goes").alias("goes"), F.max("waits").alias("waits"))
+        said = written(said)
+        state = written(state.unionByName(said.filter("goes or not waits").select("rid", (~F.col("goes")).alias("kept"))))
+        if not said.filter("not goes and waits").take(1):
+            break
+    stays = state.filter("kept").select(F.col("rid").alias("_stays"))
+    return e.filter(~some).drop("_rid", "_grp").unionByName(e.join(stays, F.col("_rid") == F.col("_stays"), "left_semi").drop("_rid", "_grp"))

@@ -113,17 +113,66 @@ def s19(spark, d):
     return filters.updated(e, c, "summary", "category").select(F.col("id").cast("long").alias("id"), "summary", "category")
 
 
+def _store(spark) -> sinks.Store:
+    """A store of its own in the folder that the cluster shares."""
+    import tempfile
+    import uuid
+
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return sinks.Store(spark, f"{path or tempfile.gettempdir()}/store-{uuid.uuid4().hex}").passing()
+
+
+@query("s17_pending_queue", "select id, compacted from (select id, id % 3 = 0 as compacted from (select cast(id as bigint) as id from ev where event_type = 'terminal'))", EV)
+def s17(spark, d):
+    """Rows wait, and those of a later write are done: each id's newest row counts."""
+    s = _store(spark)
+    e = events(spark, d).filter("event_type = 'terminal'").drop("compacted")
+    s.append("pending", e.withColumn("compacted", F.lit(False)), s.version("cycle", 9))
+    s.append("pending", e.filter("cast(id as bigint) % 3 = 0").withColumn("compacted", F.lit(True)), s.version("renewed", 0))
+    return s.read("pending").select(F.col("id").cast("long").alias("id"), "compacted")
+
+
+@query("s18_store_upsert", "select cast(id as bigint) as id, case when k % 2 = 0 then 'third' when k % 3 = 0 then 'second' else summary end as summary from ev", EV)
+def s18_store(spark, d):
+    """Three writers, of which the newest write of a row counts, whatever their batches' numbers."""
+    s = _store(spark)
+    e = events(spark, d)
+    k = read(spark, d, "events").select(F.expr("'' || event_id").alias("_id"), F.get_json_object("props", "$.k").cast("long").alias("_k"))
+    e = e.join(k, F.col("id") == F.col("_id")).drop("_id")
+    s.append("events", e, s.version("cycle", 41))
+    s.append("events", e.filter("_k % 3 = 0 or _k % 2 = 0").withColumn("summary", F.lit("second")), s.version())
+    s.append("events", e.filter("_k % 2 = 0").withColumn("summary", F.lit("third")), s.version("renewed", 0))
+    return s.read("events").select(F.col("id").cast("long").alias("id"), "summary")
+
+
 @query("s20_delete_day", "select event_type, count(*) as n from ev where date <> date '2024-01-05' group by event_type", EV)
 def s20(spark, d):
-    e = events(spark, d)
-    gone = e.filter("date = date '2024-01-05'").select("id")
-    return e.join(gone, "id", "left_anti").groupBy("event_type").agg(F.count("*").alias("n"))
+    s = _store(spark)
+    s.append("events", events(spark, d), s.version())
+    s.delete_day("2024-01-05")
+    return s.read("events").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("s20_replace_days", "select cast(id as bigint) as id, case when date = date '2024-01-05' then 'again' else summary end as summary from ev where date <> date '2024-01-05' or event_type = 'browser'", EV)
+def s20_replace(spark, d):
+    """A day is replaced by what is read from it, and its versions are folded."""
+    s = _store(spark)
+    s.append("events", events(spark, d), s.version())
+    s.replace_days(s.read("events", ["2024-01-05"]).filter("event_type = 'browser'").withColumn("summary", F.lit("again")))
+    s.fold("events", ["2024-01-05"])
+    return s.read("events").select(F.col("id").cast("long").alias("id"), "summary")
 
 
-@query("s23_summarized_hours", "select hour(ts) as hour, count(distinct cast(ts as date)) as days from events where event_type = 'purchase' group by 1")
+@query("s23_summarized_hours", "select hour(ts) as hour, count(distinct cast(ts as date)) as days, count(*)::bigint as events from events where event_type = 'purchase' group by 1")
 def s23(spark, d):
-    e = rollup.hours(events(spark, d).filter("event_type = 'git_commit'")).select("date", "hour").distinct()
-    return e.groupBy(F.col("hour").cast("long").alias("hour")).agg(F.count("*").alias("days"))
+    """Summaries of hours are stored, and read back as the hours that have one."""
+    s = _store(spark)
+    e = rollup.hours(events(spark, d).filter("event_type = 'git_commit'"))
+    s.append("hours", rollup.hour_aggregate(e).withColumn("title", F.array_join("apps", ", ")), s.version())
+    done = s.read("hours")
+    return done.groupBy(F.col("hour").cast("long").alias("hour")).agg(F.count("*").alias("days"), F.sum("event_count").alias("events"))
 
 
 @query("s24_exclusions", "select id from ev where event_type <> 'browser' or 'd' || (k % 13) || '.example.org' not in ('d1.example.org', 'd2.example.org')", EV)
@@ -718,6 +767,15 @@ def v6(spark, d):
     return cluster.dbscan(_timed_vectors(spark, d), ["event_type"], 1 - 1.15, 3).select("id", F.col("cluster").cast("long").alias("cluster"))
 
 
+ALL_VECS = "everything as (select id, 1 as grp, project, timestamp, embedding::double[] as e from ev where embedding is not null)"
+
+
+@query("v6_dbscan_all", "select id, cluster::bigint as cluster from everything_label", EV, ALL_VECS, *_clusters("everything", 1.05))
+def v6_all(spark, d):
+    """One group of all vectors, dealt out to many tasks."""
+    return cluster.dbscan(_timed_vectors(spark, d), [], 1 - 1.05, 3, block=256).select("id", F.col("cluster").cast("long").alias("cluster"))
+
+
 @query("v8_project_clusters", "select id, project, c::bigint as cluster, block::bigint as block from projects_block", EV, BY_PROJECT, *_clusters("projects"), *_in_blocks("projects"))
 def v8(spark, d):
     c = cluster.project_clusters(_timed_vectors(spark, d), 1 - 1.15, 3)
@@ -729,6 +787,12 @@ def v9(spark, d):
     return vector.greedy_dedup(_timed_vectors(spark, d), ["event_type"], 0.35).select("id")
 
 
+@query("v9_dedup_all", "select id from everything_kept_rows", EV, ALL_VECS, *_greedy("everything", 0.4))
+def v9_all(spark, d):
+    """One group of all vectors, decided in rounds by many tasks."""
+    return vector.greedy_dedup(_timed_vectors(spark, d), [], 0.4, block=256).select("id")
+
+
 # one search text of frequent words
 SEARCH = "the of and ing re"
 _T = ("the", "of", "and", "ing", "re")
@@ -1094,7 +1158,9 @@ def v16(spark, d):
 
 @query("s21_task_files", "select strftime(cast(start_time as date), '%Y-%m-%d') as date, count(*) as n from tasks group by 1", TASKS)
 def s21(spark, d):
-    return sinks.dated(tasks(spark, d)).groupBy(F.date_format("date", "yyyy-MM-dd").alias("date")).agg(F.count("*").alias("n"))
+    path = f"{_store(spark).path}/tasks-by-date"
+    sinks.write_tasks_by_date(tasks(spark, d), path)
+    return spark.read.schema("id string, date string").json(path).groupBy("date").agg(F.count("*").alias("n"))
 
 
 # ---- raw logs, written from events: event i is i minutes after the first of January ----

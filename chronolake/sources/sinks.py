@@ -27,6 +27,12 @@ class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def passing(self) -> Store:
+        """This store, which goes when the application ends."""
+        fs, p = self._file()
+        fs.deleteOnExit(p)
+        return self
+
     def _file(self, *parts: str):
         sc = self.spark.sparkContext
         p = sc._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *parts)))
