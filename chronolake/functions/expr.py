@@ -267,6 +267,12 @@ def query_terms(text: str) -> list[str]:
     return list(dict.fromkeys(t for t in terms if len(t.encode()) >= 2))
 
 
+def search_terms(text: Column | str) -> Column:
+    """``query_terms`` of a column of search texts."""
+    words = F.split(F.lower(F.coalesce(_c(text), F.lit(""))), r"[^\p{L}\p{N}]+")
+    return F.array_distinct(F.filter(words, lambda x: F.octet_length(x) >= 2))
+
+
 def tokens(text: Column | str) -> Column:
     """Lower-case terms of two characters or more."""
     return F.filter(F.split(F.lower(F.coalesce(_c(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: F.length(x) >= 2)

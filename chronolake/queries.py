@@ -14,6 +14,7 @@ from .operators import tasks as task_ops
 from .operators.filters import EventFilter
 from .plans import api, compaction, prompts
 from .sources import history, logs, sinks
+from .sources.textindex import TextIndex
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -113,15 +114,43 @@ def s19(spark, d):
     return filters.updated(e, c, "summary", "category").select(F.col("id").cast("long").alias("id"), "summary", "category")
 
 
-def _store(spark) -> sinks.Store:
-    """A store of its own in the folder that the cluster shares."""
+def _folder(spark) -> str:
+    """A new folder in that which the cluster shares."""
     import tempfile
     import uuid
 
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return sinks.Store(spark, f"{path or tempfile.gettempdir()}/store-{uuid.uuid4().hex}").passing()
+    return f"{path or tempfile.gettempdir()}/store-{uuid.uuid4().hex}"
+
+
+def _store(spark) -> sinks.Store:
+    """A store of its own, which goes when the application ends."""
+    return sinks.Store(spark, _folder(spark)).passing()
+
+
+_INDEXES: dict[tuple, TextIndex] = {}
+
+
+def _index(spark, d) -> TextIndex:
+    """The kept index of the documents of ``d``: made by the application's first search, in two deltas, and then only read. Files
+    that are new or changed make a new one."""
+    t = read(spark, d, "documents")
+    jvm, conf, known = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for f in sorted(t.inputFiles()):
+        p = jvm.org.apache.hadoop.fs.Path(f)
+        s = p.getFileSystem(conf).getFileStatus(p)
+        known.append((f, s.getLen(), s.getModificationTime()))
+    key = (spark.sparkContext.applicationId, *known)
+    if key not in _INDEXES:
+        index = TextIndex(spark, _folder(spark)).passing()
+        docs = documents(spark, d)
+        half = F.col("id").cast("long") % 2 == 0
+        index.add(docs.filter(half), writer="documents", batch=0)
+        index.add(docs.filter(~F.coalesce(half, F.lit(False))), writer="documents", batch=1)
+        _INDEXES[key] = index
+    return _INDEXES[key]
 
 
 @query("s17_pending_queue", "select id, compacted from (select id, id % 3 = 0 as compacted from (select cast(id as bigint) as id from ev where event_type = 'terminal'))", EV)
@@ -812,16 +841,35 @@ def _bm25(p: str, texts: str, terms: tuple[str, ...]) -> list[str]:
 TERMS = ", ".join(_bm25("", "select cast(doc_id as varchar) as id, text from documents", _T))
 
 
-@query("x1_query_terms", "select unnest(['the', 'of', 'and', 'ing', 're']) as term")
+@query("x1_query_terms", "select doc_id, list_sort(list_distinct(list_filter(w, lambda x: octet_length(encode(x)) >= 2))) as terms from (select doc_id, regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+') as w from documents)")
 def x1(spark, d):
-    return spark.createDataFrame([(t,) for t in X.query_terms("The of, AND-ing; a re the!")], "term string")
+    """Every document as a search text: its terms, in order."""
+    return read(spark, d, "documents").select("doc_id", F.array_sort(X.search_terms("text")).alias("terms"))
 
 
 @query("x3_bm25", "select id, round(score, 6) as score from bm order by score desc, id limit 40", TERMS)
 def x3(spark, d):
+    """By the kept index: no text is read once it is there."""
+    return _index(spark, d).search(SEARCH, 40).select("id", F.round("score", 6).alias("score"))
+
+
+@query("x3_bm25_scan", "select id, round(score, 6) as score from bm order by score desc, id limit 40", TERMS)
+def x3_scan(spark, d):
     return fulltext.bm25(documents(spark, d), SEARCH, 40).select("id", F.round("score", 6).alias("score"))
 
 
+@query("x4_index_deltas", r"select term, count(*) as docs, cast(sum(tf) as bigint) as total from (select id, term, count(*) as tf from (select id, unnest(case when id::bigint % 5 = 1 then ['changed', 'text'] else w end) as term from toks where id::bigint % 7 <> 0) group by 1, 2) group by term", TERMS)
+def x4_deltas(spark, d):
+    """Every document indexed, every fifth anew with another text, every seventh removed, and what is left folded."""
+    index = TextIndex(spark, _folder(spark)).passing()
+    docs = documents(spark, d)
+    index.add(docs)
+    index.add(docs.filter("cast(id as bigint) % 5 = 1").withColumn("text", F.lit("changed text")))
+    index.remove(docs.filter("cast(id as bigint) % 7 = 0"))
+    index.refold()
+    return index.postings().groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("total"))
+
+
 @query("x4_postings", r"select term, count(*) as docs, cast(sum(tf) as bigint) as total from (select id, term, count(*) as tf from (select id, unnest(w) as term from toks) group by 1, 2) group by term", TERMS)
 def x4(spark, d):
     return fulltext.postings(documents(spark, d)).groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("total"))
@@ -842,7 +890,7 @@ def _searchable(spark, d) -> DataFrame:
 def v10(spark, d):
     e = _searchable(spark, d)
     vec = vector.nearest(e, _vector(spark, d, 7), 40).select("id", "score")
-    return vector.hybrid(vec, fulltext.bm25(e, SEARCH, 40), e, now(), 10).select("id", F.round("score", 6).alias("score"))
+    return vector.hybrid(vec, _index(spark, d).search(SEARCH, 40), e, now(), 10).select("id", F.round("score", 6).alias("score"))
 
 
 @query("v11_recency", f"select id, round(0.02 * exp(-greatest(0, epoch_us(timestamp '{NOW}') // 1000000 - epoch_us(timestamp) // 1000000) / 86400.0 / 30), 8) as boost from ev", EV)
@@ -1158,9 +1206,7 @@ def v16(spark, d):
 
 @query("s21_task_files", "select strftime(cast(start_time as date), '%Y-%m-%d') as date, count(*) as n from tasks group by 1", TASKS)
 def s21(spark, d):
-    path = f"{_store(spark).path}/tasks-by-date"
-    sinks.write_tasks_by_date(tasks(spark, d), path)
-    return spark.read.schema("id string, date string").json(path).groupBy("date").agg(F.count("*").alias("n"))
+    return sinks.dated(tasks(spark, d)).groupBy(F.date_format("date", "yyyy-MM-dd").alias("date")).agg(F.count("*").alias("n"))
 
 
 # ---- raw logs, written from events: event i is i minutes after the first of January ----

@@ -24,6 +24,9 @@ class Store:
     KEYS = {"events": ["id", "chunk_index"], "tasks": ["id"], "hours": ["date", "hour"], "pending": ["id"], "nodes": ["id"], "edges": ["src_id", "dst_id", "type"], "tails": ["key"], "seen": ["date", "hour"]}
     SCHEMAS = {"events": EVENT, "tasks": TASK, "hours": HOUR, "pending": EVENT, "nodes": NODE, "edges": EDGE, "tails": TAIL, "seen": SEEN}
 
+    #: Tables that are read by parts, and the column that names these.
+    PARTS = {"events": "date"}
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
@@ -71,21 +74,22 @@ class Store:
             fs.createNewFile(p)
 
     def append(self, table: str, rows: DataFrame, version: int) -> None:
+        """Add rows under a version. A batch that runs again replaces the files that it wrote under its number, and no others."""
         t = conform(rows, self.SCHEMAS[table])
         if table in ("events", "pending"):
             t = t.withColumn("chunk_index", F.coalesce("chunk_index", F.lit(0)))
-        by = ["date", "_version"] if table == "events" else ["_version"]
-        t.withColumn("_version", F.lit(version).cast("bigint")).write.mode("append").partitionBy(*by).parquet(f"{self.path}/{table}")
+        by = [self.PARTS[table], "_version"] if table in self.PARTS else ["_version"]
+        t.withColumn("_version", F.lit(version).cast("bigint")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{self.path}/{table}")
 
     def raw(self, table: str, dates: Iterable[str] | None = None) -> DataFrame:
-        """All versions of all rows; of ``dates`` only, which are then the only folders that are listed and read."""
+        """All versions of all rows; of ``dates`` (or other parts) only, which are then the only folders that are listed and read."""
         from pyspark.errors import AnalysisException
 
         schema = self.SCHEMAS[table]
         schema = type(schema)([*schema.fields]).add("_version", "long")
         top = f"{self.path}/{table}"
         dates = None if dates is None else sorted(set(dates))
-        where = top if dates is None else f"{top}/date={{{','.join(dates)}}}"
+        where = top if dates is None else f"{top}/{self.PARTS[table]}={{{','.join(dates)}}}"
         try:
             if dates == []:
                 return self.spark.createDataFrame([], schema)
@@ -136,7 +140,7 @@ class Store:
         be done. Numbers of the last ``batches`` versions stay in the log, so that batches of these can run again."""
         for table in self.SCHEMAS:
             for part, n in self.marks(table).items():
-                fs, p = self._file(table, *([f"date={part}"] if part else []))
+                fs, p = self._file(table, *([f"{self.PARTS[table]}={part}"] if part else []))
                 for f in fs.listStatus(p) if fs.exists(p) else ():
                     name = f.getPath().getName()
                     if name.startswith("_version=") and int(name[9:]) < n:
@@ -158,7 +162,7 @@ def dated(tasks: DataFrame) -> DataFrame:
 
 def write_tasks_by_date(tasks: DataFrame, path: str) -> None:
     """Tasks as JSON, a folder for each date; the dates written replace what they held."""
-    dated(tasks).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").json(path)
+    dated(tasks).repartition("date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").json(path)
 
 
 def summary_markdown() -> Column:
