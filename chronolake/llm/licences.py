@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import U64, batch, pieces, table, words
 
-#: Bytes of other text that may lie between two sentences of one licence.
-GAP = 2000
+#: Bytes of other text that may lie between two sentences of one licence; where that text could be a condition, only a number or mark.
+GAP, MARK = 2000, 12
+#: What stands for a holder's name in a sentence, and its words at most.
+HOLDER, HOLDER_WORDS = "<holder>", 24
 
 # Licences and the names that notices give them.
 NAMES = {
@@ -104,8 +108,13 @@ SENTENCES = {
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "bsd-advertising": "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
-    "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
-    "bsd-as-is": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "bsd-endorse": "Neither the name of <holder> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-endorse-1": "Neither the name of <holder> nor the names of contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-endorse-2": "Neither the name of <holder> nor the names of other contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-endorse-3": "The name of <holder> may not be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-endorse-4": "The names of <holder> may not be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-endorse-5": "Neither the name of <holder> may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-as-is": "THIS SOFTWARE IS PROVIDED BY <holder> \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
     "mpl-subject": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "mpl-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "mpl-copy-s": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
@@ -126,6 +135,16 @@ SENTENCES = {
     "cc0-waived": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
     "wtfpl-0": "You just DO WHAT THE FUCK YOU WANT TO.",
     "ofl-licensed": "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "gpl-1-title": "GNU GENERAL PUBLIC LICENSE Version 1, February 1989",
+    "gpl-2-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "gpl-3-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "gpl-3-preamble": "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+    "lgpl-2-title": "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "lgpl-2.1-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "lgpl-3-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "agpl-3-title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "fsf-copying": "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    "apache-title": "Apache License Version 2.0, January 2004",
     "artistic-terms": "You may use, copy, modify and distribute this package under the terms of the Artistic License 2.0.",
 }
 # Which sentences, one after the other, make which licence. Longer rules are tried first.
@@ -146,13 +165,19 @@ RULES = [
     ("Apache-2.0", ("apache-asf",)),
     ("Apache-2.0", ("apache-terms", "apache-copyright", "apache-patent", "apache-redistribution", "apache-contributions", "apache-trademarks")),
     ("Apache-2.0", ("apache-named",)),
-    ("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-endorse")),
     ("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising")),
-    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is")),
-    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
-    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is")),
-    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
-    ("BSD-1-Clause", ("bsd-grant", "bsd-source")),
+    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is"), MARK),
+    ("BSD-1-Clause", ("bsd-grant", "bsd-source", "bsd-as-is"), MARK),
+    ("GPL-1.0", ("gpl-1-title",)),
+    ("GPL-2.0", ("gpl-2-title",)),
+    ("GPL-3.0", ("gpl-3-title",)),
+    ("GPL-3.0", ("gpl-3-title", "fsf-copying", "gpl-3-preamble")),
+    ("LGPL-2.0", ("lgpl-2-title",)),
+    ("LGPL-2.1", ("lgpl-2.1-title",)),
+    ("LGPL-3.0", ("lgpl-3-title",)),
+    ("AGPL-3.0", ("agpl-3-title",)),
+    ("Apache-2.0", ("apache-title",)),
+    ("Apache-2.0", ("apache-title", "apache-terms", "apache-copyright", "apache-patent", "apache-redistribution", "apache-contributions", "apache-trademarks")),
     ("MPL-2.0", ("mpl-subject", "mpl-copy")),
     ("MPL-2.0", ("mpl-subject", "mpl-copy-s")),
     ("MPL-2.0", ("mpl-subject",)),
@@ -196,6 +221,9 @@ def _names() -> dict[str, list[str]]:
 def _default() -> tuple[dict[str, str], list[tuple[str, tuple[str, ...]]], dict[str, list[str]]]:
     """All sentences, rules, and names by the identifier of the notice that says them."""
     sentences, rules = dict(SENTENCES), list(RULES)
+    for endorse in (x for x in SENTENCES if x.startswith("bsd-endorse")):
+        rules += [("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", endorse, *end)) for end in ((), ("bsd-as-is",))]
+        rules.append(("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising", endorse)))
     for work in GNU_WORKS:
         sentences[f"gnu-hope-{work}"] = f"This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;"
     sentences["gnu-implied"] = "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
@@ -219,7 +247,80 @@ def _default() -> tuple[dict[str, str], list[tuple[str, tuple[str, ...]]], dict[
 
 
 #: How a sentence begins that goes on with the name of a licence and then ends.
-NOTICES = ["SPDX-License-Identifier", "License", "Licence", *(f"{o} {link}" for link in LINKS for o in (*OPENINGS, *(f"{w} is {o.lower()}" for w in SUBJECTS for o in OPENINGS)))]
+NOTICES = ["License", "Licence", *(f"{o} {link}" for link in LINKS for o in (*OPENINGS, *(f"{w} is {o.lower()}" for w in SUBJECTS for o in OPENINGS)))]
+
+_SPDX = re.compile(rb"SPDX-License-Identifier:[ \t]*([^\r\n]{1,1000})", re.IGNORECASE)
+_TOKEN = re.compile(r"[ \t]*([A-Za-z0-9][A-Za-z0-9.\-]*\+?|[()])")
+_LINK = re.compile(rb"""<a\b[^>]{0,300}\brel=["']?license\b[^>]{0,300}>|<link\b[^>]{0,300}\brel=["']?license\b[^>]{0,300}>""", re.IGNORECASE)
+_CC_URL = re.compile(rb"creativecommons\.org/(?:licenses/(by(?:-nc)?(?:-sa|-nd)?)/(\d\.\d)|publicdomain/zero/(1\.0))", re.IGNORECASE)
+
+
+def _ids() -> dict[str, str]:
+    """SPDX identifiers by their lower-case form; the old ones without only and or-later as what they stand for."""
+    out = {k.lower(): k for k in _names()}
+    for short, versions in GNU_VERSIONS.items():
+        for v in versions:
+            out[f"{short}-{v}".lower()] = f"{short}-{v}-only"
+            out[f"{short}-{v}+".lower()] = f"{short}-{v}-or-later"
+    return out
+
+
+def spdx(text: str, ids: dict[str, str]) -> tuple[str, int] | None:
+    """The SPDX expression that ``text`` begins with, in standard spelling, and its length; none if a licence isn't known.
+
+    Licences are joined by AND and OR, have an exception after WITH, and can stand in brackets; the expression ends before what
+    doesn't go on with it, such as a comment's end."""
+    at, out, open_ = 0, [], 0
+    end, kept = 0, 0
+
+    def token():
+        m = _TOKEN.match(text, at)
+        return (m[1], m.end()) if m else ("", at)
+
+    while True:  # a licence, or a bracket before one
+        word, to = token()
+        if word == "(":
+            out.append("(")
+            open_, at = open_ + 1, to
+            continue
+        name = word.rstrip(".")
+        plus = name.endswith("+") and name.lower() not in ids
+        known = ids.get(name.rstrip("+").lower() if plus else name.lower()) or (name if name.startswith("LicenseRef-") else None)
+        if not known:
+            return None if not kept or open_ else (" ".join(out[:kept]).replace("( ", "(").replace(" )", ")"), end)
+        out.append(known + "+" * plus)
+        at = to - (len(word) - len(name))
+        word, to = token() if len(name) == len(word) else ("", at)
+        if word.upper() == "WITH":
+            at = to
+            word, to = token()
+            if not word or word in "()":
+                return None
+            out += ["WITH", word.rstrip(".")]
+            at = to - (len(word) - len(word.rstrip(".")))
+            word, to = token()
+        while word == ")" and open_:
+            out.append(")")
+            open_, at = open_ - 1, to
+            word, to = token()
+        if not open_:
+            end, kept = at, len(out)
+        if word.upper() not in ("AND", "OR"):
+            return (" ".join(out[:kept]).replace("( ", "(").replace(" )", ")"), end) if kept else None
+        out.append(word.upper())
+        at = to
+
+
+def _lines(data: bytes, ids: dict[str, str]):
+    """(licence, begin, end) of SPDX lines, and of links to Creative Commons licences marked as such."""
+    for m in _SPDX.finditer(data):
+        text = m[1].decode(errors="replace")
+        if found := spdx(text, ids):
+            yield found[0], m.start(), m.start(1) + len(text[: found[1]].encode())
+    for m in _LINK.finditer(data):
+        if u := _CC_URL.search(m[0]):
+            yield ("CC0-1.0" if u[3] else f"CC-{u[1].decode().upper()}-{u[2].decode()}"), m.start() + u.start(), m.start() + u.end()
+
 
 _C = U64(0x9E3779B97F4A7C55)
 _BACK = U64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
@@ -260,14 +361,21 @@ class Known:
 class Rules:
     def __init__(self, sentences: dict[str, str], rules: list[tuple[str, tuple[str, ...]]], names: dict[str, list[str]]):
         place = {n: i for i, n in enumerate([*sentences, *names])}
-        self.whole = Known(list(sentences.values()), [place[n] for n in sentences])
+        held = {n: x.split(HOLDER) for n, x in sentences.items() if HOLDER in x}
+        self.whole = Known([x for n, x in sentences.items() if n not in held], [place[n] for n in sentences if n not in held])
+        # sentences with a holder's name: of each beginning the possible ends
+        heads = sorted({a for a, _ in held.values()})
+        self.heads = Known(heads, list(range(len(heads))))
+        self.ends = [Known([b for a, b in held.values() if a == x], [place[n] for n, (a, _) in held.items() if a == x]) for x in heads]
+        self.joins = words(*next((data, at) for _, _, data, at in pieces(pa.array(["or and either of the"]))))[0]
         self.names = Known([x for own in names.values() for x in own], [place[n] for n, own in names.items() for _ in own])
         self.notices = Known(NOTICES if names else [], list(range(len(NOTICES) if names else 0)))
-        self.begins = np.union1d(self.whole.begins, self.notices.begins)
+        self.begins = np.union1d(np.union1d(self.whole.begins, self.notices.begins), self.heads.begins)
+        self.licence = {place[n]: own[0] for n, own in names.items()}
         # by their first identifier, the longest first
         self.rules: dict[int, list] = {}
-        for licence, seq in sorted(rules, key=lambda r: -len(r[1])):
-            self.rules.setdefault(place[seq[0]], []).append((licence, [place[x] for x in seq]))
+        for licence, seq, *gap in sorted(rules, key=lambda r: -len(r[1])):
+            self.rules.setdefault(place[seq[0]], []).append((licence, [place[x] for x in seq], *(gap or [None])))
 
     def sentences(self, data: np.ndarray, at: np.ndarray):
         """(row, identifier, first byte, end byte) of all known sentences, the longest at each place, in order. A sentence that
@@ -298,11 +406,36 @@ class Rules:
             name, n_name = self.names.at(s[m] + n[m], row_end[m], total, back, stop)
             hit = (name >= 0) & (n[m] + n_name > size[m])
             got[m[hit]], size[m[hit]] = name[hit], (n[m] + n_name)[hit]
+            self.choices = list(self._choices(h, s[m] + n[m], s[m], row[m], row_end[m], total, back, stop, start, end, at)) if len(m) else []
+            head, n = self.heads.at(s, row_end, total, back, None)
+            for which in np.unique(head[head >= 0]).tolist():
+                for k in range(1, HOLDER_WORDS + 1):
+                    m = np.flatnonzero((head == which) & (got < 0) & (s + n + k < row_end))
+                    own, n_end = self.ends[which].at(s[m] + n[m] + k, row_end[m], total, back, stop)
+                    hit = own >= 0
+                    got[m[hit]], size[m[hit]] = own[hit], (n[m] + k + n_end)[hit]
         m = got >= 0
         s, got, size, row = s[m], got[m], size[m], row[m]
         return row, got, start[s] - at[row], end[s + size - 1] - at[row]
 
 
+    def _choices(self, h, at_name, s, row, row_end, total, back, stop, start, end, at):
+        """(row, licence, first byte, end byte) of notices that name two licences, joined by or and and."""
+        either, of, the = self.joins[2], self.joins[3], self.joins[4]
+        skip = lambda i, word, last: i + ((i < last) & (h[np.minimum(i, len(h) - 1)] == word))
+        at_name = skip(skip(at_name, either, row_end), of, row_end)
+        at_name = skip(at_name, the, row_end)
+        a, n = self.names.at(at_name, row_end, total, back, None)
+        m = np.flatnonzero((a >= 0) & (at_name + n + 1 < row_end))
+        join = h[at_name[m] + n[m]] if len(m) else np.zeros(0, U64)
+        m, join = m[np.isin(join, self.joins[:2])], join[np.isin(join, self.joins[:2])]
+        second = skip(at_name[m] + n[m] + 1, the, row_end[m])
+        b, n_b = self.names.at(second, row_end[m], total, back, stop)
+        for k in np.flatnonzero(b >= 0).tolist():
+            word = "OR" if join[k] == self.joins[0] else "AND"
+            yield int(row[m[k]]), f"{self.licence[int(a[m[k]])]} {word} {self.licence[int(b[k])]}", int(start[s[m[k]]] - at[row[m[k]]]), int(end[second[k] + n_b[k] - 1] - at[row[m[k]]])
+
+
 def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list | None = None, names: dict[str, list[str]] | None = None, gap: int = GAP) -> DataFrame:
     """(doc_id, licence, sentences, begin, end) of each licence in ``docs`` (doc_id, text), bytes [begin, end) of the text.
 
@@ -310,11 +443,14 @@ def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list |
     beginning or after one of . ! ? ; : and white space, and end likewise; line breaks inside one don't matter. Known
     sentences become identifiers: those of ``sentences`` by their words, and those of NOTICES followed by one of ``names`` by
     that name. A rule matches where its identifiers follow each other, with no more than ``gap`` bytes of unknown text between
-    two. The longest rule wins at each place, and matches don't overlap. Without ``sentences`` and ``rules`` the known licences are
+    two, or than the rule itself allows. The longest rule wins at each place, and matches don't overlap. A sentence can have
+    HOLDER in it, which stands for up to HOLDER_WORDS words of any kind. A notice of two names joined by or or and gives both, as
+    "A OR B". With the known licences, SPDX lines are read as expressions, and so are links marked as a page's licence. Without ``sentences`` and ``rules`` the known licences are
     those of NAMES, GNU and CC. Whole texts are read, row by row: null and empty texts have none, equal rows give equal
     results, null doc_ids are kept, other columns and tables' emptiness are no matter."""
     sent = docs.sparkSession.sparkContext.broadcast(_default() if sentences is None else (sentences, rules or [], names or {}))
     made: list[Rules] = []
+    ids_of = _ids() if sentences is None else {}
 
     def find(batches):
         if not made:
@@ -323,14 +459,23 @@ def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list |
         for b in batches:
             rows, names, counts, begins, ends = [], [], [], [], []
             for i, _, data, at in pieces(b.column("text")):
-                if (got := r.sentences(data, at)) is None:
+                put = lambda *x: [own.append(v) for own, v in zip((rows, names, counts, begins, ends), x, strict=True)]
+                if ids_of:
+                    for k in range(len(at) - 1):
+                        for licence, lo, hi in _lines(data[at[k] : at[k + 1]].tobytes(), ids_of):
+                            put(i + k, licence, 1, lo, hi)
+                r.choices = []
+                got = r.sentences(data, at)
+                for k, licence, lo, hi in r.choices:
+                    put(i + k, licence, 1, lo, hi)
+                if got is None:
                     continue
                 row, ids, begin, end = (x.tolist() for x in got)
                 k = 0
                 while k < len(row):
-                    for name, seq in r.rules.get(ids[k], ()):
+                    for name, seq, own_gap in r.rules.get(ids[k], ()):
                         n = len(seq)
-                        if ids[k : k + n] == seq and row[k : k + n] == [row[k]] * n and all(begin[j + 1] - end[j] <= gap for j in range(k, k + n - 1)):
+                        if ids[k : k + n] == seq and row[k : k + n] == [row[k]] * n and all(begin[j + 1] - end[j] <= (gap if own_gap is None else own_gap) for j in range(k, k + n - 1)):
                             rows.append(i + row[k])
                             names.append(name)
                             counts.append(n)
