@@ -61,15 +61,15 @@ def _cleaned(spark: SparkSession):
                 spark.conf.set(CLEAN, _before)
 
 
-def store(df: DataFrame) -> DataFrame:
+def store(df: DataFrame, *by: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: the lineage ends there, and a lost executor costs
     nothing that was finished. The shuffle files behind it are given up once it is written, the table itself when the
-    application ends, or earlier by ``temporary`` and ``clear``."""
+    application ends, or earlier by ``temporary`` and ``clear``. ``by``: columns that name folders."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     schema = df.schema
     with _cleaned(spark):
-        df.write.parquet(path)
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
     fs, file = _file(spark, path)
     fs.deleteOnExit(file)
     if (own := _own.get()) is not None:

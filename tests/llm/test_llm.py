@@ -5,6 +5,8 @@ import math
 import random
 import re
 import sys
+import zlib
+from collections import Counter
 from fractions import Fraction
 from pathlib import Path
 
@@ -610,6 +612,56 @@ def test_model_beats_unigrams(docs):
     assert sum(x.score for x in out) > sum(x.base_score for x in out)
 
 
+@pytest.mark.parametrize("carried", [1 << 18, 12])
+def test_scores_like_a_plain_forward_pass(spark, docs, monkeypatch, carried):
+    """The trained model, and the score of each text by its definition: symbols by a forward pass, words in classes by counts."""
+    monkeypatch.setattr(language, "CARRIED", carried)
+    monkeypatch.setattr(language, "SYMBOLS", 9)
+    r = random.Random(4)
+    own = [(i, " ".join(r.choice(VOCAB[: r.choice((4, 12, 40))]) for _ in range(r.randint(0, 15)))) for i in range(60)] + [(70, "never seen " * 3), (71, None), (72, VOCAB[0].upper())]
+    df = docs(own)
+    model, _, _ = language.train(df, ~language.held_out())
+    got = {x.doc_id: x.score for x in language.scores(df).collect()}
+    train = [naive.solid(naive.fold(t)) for i, t in own if zlib.crc32(str(i).encode()) % 7 != 2]
+    count = Counter(w for ws in train for w in ws)
+
+    def named(w):
+        data = np.frombuffer(w.encode(), np.uint8)
+        h, cls, _ = language.tokens(data, np.array([0, len(data)]))
+        return h, int(cls[0])
+
+    def symbol(w):
+        h, cls = named(w)
+        place = int(model.lookup(h)[0])
+        k = int(model.symbol[place]) if place >= 0 and len(model.symbol) else -1
+        return (k, None) if k >= 0 else (model.end + 1 + cls, cls)
+
+    in_class = {}
+    for w, c in count.items():
+        k, cls = symbol(w)
+        if cls is not None:
+            n, v = in_class.get(cls, (0, 0))
+            in_class[cls] = n + c, v + 1
+    for i, t in own:
+        extra, a = 0.0, None
+        for w in [*naive.solid(naive.fold(t)), None]:
+            k, cls = (model.end, None) if w is None else symbol(w)
+            if cls is not None:
+                n, v = in_class.get(cls, (0, 0))
+                extra += math.log10((count[w] + 1) / (n + v + 1))
+            a = (model.pi if a is None else a @ model.trans) * model.emit[k]
+        assert got[i] == pytest.approx(math.log10(a.sum()) + extra, rel=1e-9), i
+
+
+def test_slices_cover_all_texts(spark, ugly, monkeypatch):
+    """Each text is in one slice, and every round reads one of them or all."""
+    monkeypatch.setattr(language, "SLICE_TOKENS", 3000)
+    check_scores(ugly)
+    _, _, coded = language.train(ugly, ~language.held_out())
+    slices = {r.slice: r["count"] for r in coded.groupBy("slice").count().collect()}
+    assert len(slices) > 4 and sum(n for k, n in slices.items() if k >= 0) == coded.filter("training").count() and slices.get(-1) == coded.filter("not training").count()
+
+
 def small_model():
     keys = np.arange(1, 4, dtype=np.uint64) << np.uint64(40)
     return language.Model(keys, np.array([5, 3, 2]), np.arange(3), 13, 4, np.zeros(language.CLASSES), np.zeros(language.CLASSES), 3, np.array([5.0, 3, 2]))
@@ -641,12 +693,13 @@ def test_expected_counts_like_plain_baum_welch(monkeypatch, piece, sweep):
     seqs = [[r.randrange(3) for _ in range(n)] + [m.end] for n in (3, 0, 7, 1, 20, 8)]
     sym, at = np.array([x for s in seqs for x in s], np.uint16), np.cumsum([0, *map(len, seqs)])
     for _ in range(3):
-        ll, got = np.zeros(len(seqs)), [0, 0, 0]
+        ll, got, total = np.zeros(len(seqs)), [0, 0, 0], 0.0
         for s, row, alive, came, after, opens in m.sweeps(sym, at):
             ll += np.bincount(row, np.log(m.forward(s, alive, came, opens)[1]), len(ll))
-            got = [x + y for x, y in zip(got, m.expect(s, alive, came, after, opens), strict=True)]
+            *made, bits = m.expect(s, alive, came, after, opens)
+            got, total = [x + y for x, y in zip(got, made, strict=True)], total + bits
         want, *counts = plain_counts(m, seqs)
-        assert ll == pytest.approx(np.log(want))
+        assert ll == pytest.approx(np.log(want)) and total == pytest.approx(np.log10(want).sum())
         for x, y in zip(got, counts, strict=True):
             assert x == pytest.approx(y)
         m.update(*got)
