@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .adapter import EV, NOW, TASKS, documents, events, read, tasks
 from .functions import expr as X
-from .operators import cluster, entity_graph, filters, fulltext, rollup, sequence, temporal_graph, vector
+from .operators import asof, cluster, entity_graph, filters, fulltext, rollup, sequence, temporal_graph, vector
 from .operators import tasks as task_ops
 from .operators.filters import EventFilter
 from .plans import api, compaction, prompts
@@ -988,6 +988,42 @@ def g2(spark, d):
     return latest(n, ["id"], "ts", "v").select("id", F.col("props")["title"].alias("title"))
 
 
+@query("j13_nearest_all", "select a.id, a.source, e.id as nearest_id, abs(epoch_us(e.timestamp) // 1000000 - epoch_us(a.timestamp) // 1000000) as seconds from (select * from ev where event_type = 'git_commit') a left join (select * from ev where event_type = 'browser') e on e.source = a.source qualify row_number() over (partition by a.id order by abs(epoch_us(e.timestamp) // 1000000 - epoch_us(a.timestamp) // 1000000), e.timestamp, e.id) = 1", EV)
+def j13_all(spark, d):
+    """For every purchase the nearest click of its user."""
+    e = events(spark, d)
+    return asof.nearest_in_time(e.filter("event_type = 'git_commit'"), e.filter("event_type = 'browser'"), ["source"]).select("id", "source", "nearest_id", "seconds")
+
+
+@query("j13_nearest_stream", "select a.id, e.id as nearest_id, abs(epoch_us(e.timestamp) // 1000000 - epoch_us(a.timestamp) // 1000000) as seconds from (select * from ev where event_type = 'git_commit') a left join (select * from ev where event_type = 'terminal') e on true qualify row_number() over (partition by a.id order by abs(epoch_us(e.timestamp) // 1000000 - epoch_us(a.timestamp) // 1000000), e.timestamp, e.id) = 1", EV)
+def j13_stream(spark, d):
+    """The same for a single key that has all rows, in blocks of an hour."""
+    e = events(spark, d)
+    return asof.nearest_in_time(e.filter("event_type = 'git_commit'"), e.filter("event_type = 'terminal'"), [], 3600).select("id", "nearest_id", "seconds")
+
+
+@query("w1_sessions_blocks", ORACLE_SQL["w1_sessions"])
+def w1_blocks(spark, d):
+    return asof.long_sessions(events(spark, d), ["user_id"], 21600, width=7 * 86400).select("id", "session")
+
+
+@query("w1_stream_blocks", ORACLE_SQL["w1_global_sessions"])
+def w1_stream(spark, d):
+    """All rows under one key, in blocks of an hour."""
+    return asof.long_sessions(events(spark, d), [], width=3600).select("id", "session")
+
+
+@query("w3_focus_blocks", ORACLE_SQL["w3_focus_runs"])
+def w3_blocks(spark, d):
+    r = asof.long_focus_runs(events(spark, d), ["source"], ["app"])
+    return r.select("source", "app", ts("start").alias("start"), "duration_seconds")
+
+
+@query("w4_duration_blocks", ORACLE_SQL["w4_row_durations"])
+def w4_blocks(spark, d):
+    return asof.long_row_durations(events(spark, d), ["source"], now()).select("id", "duration_seconds")
+
+
 @query("g3_anchor", f"select id, {sts()} as ts from ev order by timestamp desc, id limit 1", EV)
 def g3(spark, d):
     return temporal_graph.anchor(events(spark, d)).select("id", ts().alias("ts"))

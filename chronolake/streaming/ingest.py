@@ -101,11 +101,17 @@ class Breaker:
         try:
             out = collect()
         except Exception:  # any failure of a source counts, and must not stop the others
-            self.failures[name] = self.failures.get(name, 0) + 1
+            self.failed(name)
             return None
-        self.failures[name] = 0
+        self.went_well(name)
         return out
 
+    def failed(self, name: str) -> None:
+        self.failures[name] = self.failures.get(name, 0) + 1
+
+    def went_well(self, name: str) -> None:
+        self.failures[name] = 0
+
     def open(self, name: str) -> bool:
         return self.failures.get(name, 0) >= self.most
 
