@@ -191,10 +191,43 @@ def test_stream_sessions_and_edges(spark, tmp_path):
 
 def test_stream_drops(spark, tmp_path):
     js = [{"k": "u", "id": str(i), "app": "a", "title": "t", "timestamp": at(s), "embedding": [1.0, 0.0]} for i, s in enumerate([0, 60, 7260, 14500])]
-    got = stream(spark, tmp_path, [js[:1], js[1:]], "k string, id string, app string, title string, timestamp timestamp, embedding array<float>", lambda s: processors.visual_drops(s, "k"), "drops")
+    got = stream(spark, tmp_path, [js[:1], js[1:]], "k string, id string, app string, title string, timestamp timestamp, embedding array<float>", lambda s: processors.visual_drops(s, "k"), "drops", 4)
     assert {i: d for _, i, _, d in got} == {"0": False, "1": True, "2": False, "3": False}
 
 
+def _restarted(spark, tmp_path, batches, schema, make, pause=0.0):
+    """Rows of a query that is started anew from its checkpoint for each batch."""
+    d, out = tmp_path / "in", []
+    d.mkdir()
+    for i, rows in enumerate(batches):
+        (d / f"{i}.json").write_text("\n".join(map(json.dumps, rows)))
+        got: list = []
+        s = make(spark.readStream.schema(schema).json(str(d)))
+        q = s.writeStream.foreachBatch(lambda df, n, got=got: got.extend(map(tuple, df.collect()))).outputMode("append").option("checkpointLocation", str(tmp_path / "mark")).trigger(processingTime="1 second").start()
+        end = time.monotonic() + 60
+        while len(got) < len(rows) and time.monotonic() < end and q.exception() is None:
+            time.sleep(0.2)
+        q.stop()
+        assert q.exception() is None
+        out.append(got)
+        time.sleep(pause)
+    return out
+
+
+def test_stream_state_survives_a_restart(spark, tmp_path):
+    js = [{"k": "u", "id": str(i), "timestamp": at(s)} for i, s in enumerate([0, 600, 1201, 1300, 2000])]
+    a, b = _restarted(spark, tmp_path, [js[:3], js[3:]], "k string, id string, timestamp timestamp", lambda s: processors.session_ids(s, "k"))
+    assert {i: n for _, i, _, n in a + b} == {"0": 1, "1": 1, "2": 2, "3": 2, "4": 3}
+
+
+def test_stream_cache_expires(spark, tmp_path):
+    """The store forgets an entry by its own clock: rows that are near in their own time, but come later than the time to live."""
+    js = [{"k": "u", "id": str(i), "app": "a", "title": "t", "timestamp": at(s), "embedding": [1.0, 0.0]} for i, s in enumerate([0, 0.2, 0.4])]
+    schema = "k string, id string, app string, title string, timestamp timestamp, embedding array<float>"
+    a, b = _restarted(spark, tmp_path, [js[:2], js[2:]], schema, lambda s: processors.visual_drops(s, "k", ttl=3), pause=4)
+    assert {i: d for _, i, _, d in a} == {"0": False, "1": True} and {i: d for _, i, _, d in b} == {"2": False}
+
+
 def test_stream_debounce(spark, tmp_path):
     js = [{"k": "u", "type": t, "timestamp": at(s)} for t, s in [("app_switch", 0), ("title_change", 2), ("screen_lock", 3), ("app_switch", 4), ("screen_unlock", 5)]]
     got = stream(spark, tmp_path, [js], "k string, type string, timestamp timestamp", lambda s: processors.debounced(s, "k", 0.5), "deb", 3)
