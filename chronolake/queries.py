@@ -350,10 +350,9 @@ def f6(spark, d):
     return n.select("id", X.node_line().alias("line"))
 
 
-@query("f8_chunk_prompt", "select source, md5(string_agg(n || '. ' || raw_content, chr(10) order by n)) as prompt from (select *, row_number() over (partition by source order by timestamp, id) as n from ev where date = date '2024-01-12') group by source", EV)
+@query("f8_chunk_prompt", "select strftime(date, '%Y-%m-%d') as date, source, md5(string_agg(n || '. ' || raw_content, chr(10) order by n)) as prompt from (select *, row_number() over (partition by date, source order by timestamp, id) as n from ev) group by 1, 2", EV)
 def f8(spark, d):
-    e = events(spark, d).filter("date = date '2024-01-12'")
-    return task_ops.chunk_prompt(e, ["source"], F.col("raw_content")).select("source", F.md5("prompt").alias("prompt"))
+    return task_ops.chunk_prompt(events(spark, d), ["date", "source"], F.col("raw_content")).select(F.date_format("date", "yyyy-MM-dd").alias("date"), "source", F.md5("prompt").alias("prompt"))
 
 
 @query("f9_fts_text", "select id, raw_content || ' ' || coalesce(summary, '') || ' ' || app || ' ' || title || ' ' || coalesce(gist, '') || ' ' as text from ev", EV)
@@ -430,10 +429,11 @@ def j6(spark, d):
     return read(spark, d, "embeddings").select("vec_id").join(day, "vec_id", "left_semi")
 
 
-@query("j7_hide_members", "select id from ev where date = date '2024-01-08' and cast(id as bigint) % 5 <> 0", EV)
+@query("j7_hide_members", "select id from ev where cast(id as bigint) % 5 <> 0", EV)
 def j7(spark, d):
-    e = events(spark, d).filter("date = date '2024-01-08'")
-    t = e.filter(F.col("id").cast("long") % 5 == 0).groupBy("source").agg(F.collect_list("id").alias("activity_ids"))
+    """Every fifth event belongs to the task of its user and day."""
+    e = events(spark, d)
+    t = e.filter(F.col("id").cast("long") % 5 == 0).groupBy("source", "date").agg(F.collect_list("id").alias("activity_ids"))
     return task_ops.hide_members(e, t).select("id")
 
 
@@ -642,9 +642,9 @@ def w5(spark, d):
 NEAR = "near as (select *, lag(embedding) over (partition by date, event_type order by pos) as pe from (select *, row_number() over (partition by date order by timestamp desc, id desc) as pos from ev) where embedding is not null), isl as (select *, sum(case when list_cosine_similarity(pe::double[], embedding::double[]) >= 0.0 then 0 else 1 end) over (partition by date, event_type order by pos rows unbounded preceding) as island from near)"
 
 
-@query("w6_neardup_runs", "select arg_max(id, pos) as id, min(pos) as pos from isl group by date, event_type, island", EV, NEAR)
+@query("w6_neardup_runs", "select arg_max(id, pos) as id, min(pos) as pos from isl group by date, event_type, island union all select id, pos from (select id, embedding, row_number() over (partition by date order by timestamp desc, id desc) as pos from ev) where embedding is null", EV, NEAR)
 def w6(spark, d):
-    return sequence.near_duplicate_runs(events(spark, d, vectors=True), ["date"], 0.0).filter("embedding is not null").select("id", F.col("pos").cast("long").alias("pos"))
+    return sequence.near_duplicate_runs(events(spark, d, vectors=True), ["date"], 0.0).select("id", F.col("pos").cast("long").alias("pos"))
 
 
 @query("w7_chain_walk", "select source, id, n - a as step from (select *, min(case when date >= date '2024-01-15' then n end) over (partition by source) as a from (select *, row_number() over (partition by source order by timestamp, id) as n from ev)) where n - a between -3 and 3", EV)
@@ -704,6 +704,13 @@ def u3(spark, d):
 _COS = "list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = {}))"
 
 
+@query("j3_knn_chunks", f"select id, max(round({_COS.format(7)}, 6)) as score, arg_max(chunk, ({_COS.format(7)}, -chunk)) as chunk from (select *, vec_id // 3 as id, vec_id % 3 as chunk from embeddings) group by id order by max({_COS.format(7)}) desc, cast(id as varchar) limit 20")
+def j3_chunks(spark, d):
+    """Three vectors to a text: a text is found once, by its best chunk."""
+    v = read(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 3).cast("string").alias("id"), (F.col("vec_id") % 3).cast("int").alias("chunk_index"), "embedding")
+    return vector.nearest(v, _vector(spark, d, 7), 20).select(F.col("id").cast("long").alias("id"), F.round("score", 6).alias("score"), F.col("chunk_index").cast("long").alias("chunk"))
+
+
 @query("v1_knn", f"select vec_id as id, round({_COS.format(7)}, 6) as score from embeddings order by {_COS.format(7)} desc, cast(vec_id as varchar) limit 10")
 def v1(spark, d):
     return vector.nearest(_vectors(spark, d), _vector(spark, d, 7), 10).select(F.col("id").cast("long").alias("id"), F.round("score", 6).alias("score"))
@@ -1107,12 +1114,13 @@ def g14n(spark, d):
     return e.groupBy("name").agg(F.count("*").alias("n"))
 
 
-@query("u6_model_entities", "select id, name from (select doc_id as id, 'api' as name from documents where contains(lower(text), 'api') union all select doc_id, 'Vision' from documents)")
+@query("u6_model_entities", f"select id, name, count(*) as n from (select doc_id as id, unnest(list_concat(list_filter({_LISTS[0]}, lambda x: contains(lower(text), x)), list_filter({_LISTS[1]}, lambda x: contains(lower(text), x)))) as name from documents union all select doc_id, 'Vision' from documents) group by 1, 2")
 def u6(spark, d):
+    """All technologies and concepts by rule, and what a model adds that no rule has found in any case."""
     t = documents(spark, d)
-    rule = entity_graph.rule_entities(t).filter("name = 'api'")
+    rule = entity_graph.rule_entities(t).filter("type <> 'project'")
     model = t.select("id", F.explode(F.array(F.lit("Vision"), F.when(F.lower("text").contains("api"), F.lit("API")))).alias("name")).filter("name is not null").select("id", "name", F.lit("concept").alias("type"), F.lit(0.8).alias("confidence"))
-    return entity_graph.with_model_entities(rule, model).select(F.col("id").cast("long").alias("id"), "name")
+    return entity_graph.with_model_entities(rule, model).groupBy(F.col("id").cast("long").alias("id"), "name").agg(F.count("*").alias("n"))
 
 
 # ---- tasks ----
