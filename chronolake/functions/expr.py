@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,16 +89,25 @@ def domain_of(url: Column | str) -> Column:
     return F.split_part(F.when(u.contains("//"), F.split_part(u, F.lit("//"), F.lit(2))).otherwise(u), F.lit("/"), F.lit(1))
 
 
+# What stands in addresses of video pages, what stands before a video's id there, and how titles are worded.
+VIDEO_PAGES = ("youtube.com/watch", "youtu.be/")
+VIDEO_MARKS = ("v=", "youtu.be/", "embed/")
+VIDEO_ID, VIDEO_PREFIX = "YouTube Video (ID: {})", "YouTube: "
+VIDEO_OPENINGS = ("youtube", "yt:")
+
+
 def video_title(title: Column | str, url: Column | str) -> Column:
     """Titles of video pages say so: by the video's id where the title is missing or is the id, else with a prefix."""
     u, t = _c(url), F.coalesce(_c(title), F.lit(""))
-    vid = F.regexp_extract(u, r"(?:v=|youtu\.be/|embed/)([a-zA-Z0-9_-]+)", 1)
-    page = u.contains("youtube.com/watch") | u.contains("youtu.be/")
+    marks = "|".join(re.escape(m) for m in VIDEO_MARKS)
+    vid = F.regexp_extract(u, rf"(?:{marks})([\w-]+)", 1)
+    page = reduce(or_, (u.contains(p) for p in VIDEO_PAGES))
+    before, after = VIDEO_ID.split("{}")
     return (
         F.when(F.coalesce(~page, F.lit(True)) | (vid == ""), _c(title))
-        .when((t == "") | (t == "Untitled") | t.contains(vid), F.concat(F.lit("YouTube Video (ID: "), vid, F.lit(")")))
-        .when(F.lower(t).rlike("^(youtube|yt:)"), t)
-        .otherwise(F.concat(F.lit("YouTube: "), t))
+        .when((t == "") | (t == "Untitled") | t.contains(vid), F.concat(F.lit(before), vid, F.lit(after)))
+        .when(reduce(or_, (F.lower(t).startswith(o) for o in VIDEO_OPENINGS)), t)
+        .otherwise(F.concat(F.lit(VIDEO_PREFIX), t))
     )
 
 

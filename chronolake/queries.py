@@ -12,7 +12,7 @@ from .functions import expr as X
 from .operators import asof, cluster, entity_graph, filters, fulltext, rollup, sequence, temporal_graph, vector
 from .operators import tasks as task_ops
 from .operators.filters import EventFilter
-from .plans import api, compaction, prompts
+from .plans import api, compaction, prompts, sql
 from .sources import history, logs, sinks
 from .sources.textindex import TextIndex
 
@@ -1170,6 +1170,30 @@ def k1(spark, d):
 # ---- incremental forms, in batch ----
 
 
+@query("q_chunks_of", r"select doc_id, count(*) as chunks, sum(words)::bigint as words from (select doc_id, unnest(case when n <= 409 then [n] else list_transform(range(0, n - 100, 309), lambda s: least(409, n - s)) end) as words from (select doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')) as n from documents)) group by doc_id")
+def q_chunks_of(spark, d):
+    """A table function in SQL: all documents in chunks."""
+    sql.register(spark, events(spark, d), ["user_id"])
+    read(spark, d, "documents").createOrReplaceTempView("texts")
+    return spark.sql("select doc_id, count(*) as chunks, sum(case when chunk = '' then 0 else size(split(chunk, ' ')) end) as words from texts, lateral chunks_of(text, 409, 100) group by doc_id")
+
+
+@query("q_entities_of", f"select name, type, count(*) as n from (select unnest(list_filter({_LISTS[0]}, lambda x: contains(lower(text), x))) as name, 'technology' as type from documents union all select unnest(list_filter({_LISTS[1]}, lambda x: contains(lower(text), x))), 'concept' from documents) group by 1, 2")
+def q_entities_of(spark, d):
+    sql.register(spark, events(spark, d), ["user_id"])
+    read(spark, d, "documents").createOrReplaceTempView("texts")
+    return spark.sql("select name, type, count(*) as n from entities_of(table(select doc_id, text from texts)) group by name, type")
+
+
+@query("q_tools", "select 'recent' as tool, count(*) as n from ev where timestamp > timestamp '2024-01-05 06:00:00' and timestamp <= timestamp '2024-01-05 09:00:00' union all select 'hours', count(distinct hour(timestamp)) from ev where date = date '2024-01-06' union all select 'apps', count(distinct app) from ev where timestamp > timestamp '2024-01-05 06:00:00' and timestamp <= timestamp '2024-01-05 09:00:00' union all select 'connected', count(*) from ev where app = 'app3'", EV)
+def q_tools(spark, d):
+    """Tools called in SQL."""
+    sql.register(spark, events(spark, d), ["user_id"])
+    three = "timestamp '2024-01-05 06:00:00', timestamp '2024-01-05 09:00:00'"
+    calls = {"recent": f"recent_activity({three})", "hours": "activity_hours(date '2024-01-06')", "apps": f"activity_apps({three})", "connected": "connected_to('app:app3')"}
+    return spark.sql(" union all ".join(f"select '{k}' as tool, count(*) as n from {f}" for k, f in calls.items()))
+
+
 @query("r8_chunk_fanout", r"select doc_id, case when n <= 409 then 1 else cast(ceil((n - 409) / 309.0) as bigint) + 1 end as chunks from (select doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) as n from documents)")
 def r8(spark, d):
     w = F.filter(F.split("text", r"\s+"), lambda x: x != "")
