@@ -299,7 +299,8 @@ def similar_vectors(vectors: DataFrame, threshold: float = 0.9, recall: float =
             yield batch(rep=rep[m], links=links[m], root=rep[roots[m]])
 
     found = met.join(known, "rep").select("g", "blk", "two", "tab", "home", "rep", "n_copies", "dim", "v", "cells", "code")
-    found = store(by_key(found, "g", verify, "rep long, links long, root long"))
+    # in order of rep, so that a root is the smallest one and the same in most cells: then components need few steps
+    found = store(by_key(found, "g", verify, "rep long, links long, root long", "rep"))
     label = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     linked = label.join(found.groupBy("rep").agg(F.sum("links").alias("links")), F.col("node") == F.col("rep")).join(rep.select("rep", "first"), "rep")
     linked = store(linked.select("rep", "label", "links", "first"))
