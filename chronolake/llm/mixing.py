@@ -10,16 +10,24 @@ from .common import store, table
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 LIMIT = 2.0
-#: A source and size class of n rows is dealt out by the ids' hashes to sqrt(n) / SPREAD slices, so that neither the rows of a
+#: A source and size class of n rows is dealt out by the hashes of id and text to sqrt(n) / SPREAD slices, so that neither the rows of a
 #: slice, which one task numbers, nor the slices of a class grow in proportion to it.
 SPREAD = 8
 
+#: Equal rows are numbered in lots of at most 2^LOT rows, as they come.
+LOT = 20
+
 SIZE_SQL = r"regexp_count(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
 
+def name(doc_id: str, text: str) -> Column:
+    """A hash of id and text."""
+    return F.md5(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).cast("binary"))
+
+
 def sizes(docs: DataFrame) -> DataFrame:
-    """Size of each document: its words, 0 for a null text."""
-    return docs.select("doc_id", "source", F.expr(SIZE_SQL).cast("long").alias("size"))
+    """Size of each document: its words, 0 for a null text; and the key that its id and text have."""
+    return docs.select("doc_id", "source", F.expr(SIZE_SQL).cast("long").alias("size"), name("doc_id", "text").alias("key"))
 
 
 def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
@@ -53,14 +61,15 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     Every document of a source expects target / source_size copies, which is at most ``limit``; copies are that, rounded up or
     down. Their prefix sums run over the source's documents, those of like size side by side, so that the words taken stay
     near the target; a document is emitted once for each whole number that its step crosses, after the source's one random
-    offset. The prefix sums come from counts of small bins (source, size class, slice), so that no source has to pass through one task: only a bin's own rows are numbered together. Null texts have size
-    0; a null source is a source of its own, the last; equal rows are rows of their own; an empty table gives an empty
+    offset. The prefix sums come from counts of small bins (source, size class, slice), so that no source has to pass through one
+    task: only a bin's different rows are numbered together, and equal rows, that is rows that agree in source, id and text, in lots. Null texts have size
+    0; a null source is a source of its own, the last; equal rows are rows of their own, any of which may get the higher count; an empty table gives an empty
     table; null doc_ids are sampled as any others. Other columns are not looked at."""
-    d = sizes(docs).withColumn("k", F.monotonically_increasing_id())
-    d = d.withColumn("hash", F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long"))
+    d = sizes(docs).withColumn("lot", F.shiftright(F.monotonically_increasing_id(), LOT))
+    d = d.withColumn("hash", F.conv(F.substring("key", 1, 8), 16, 10).cast("long"))
     # size class: sizes of equal length in binary that agree in their first five digits
     d = d.withColumn("class", F.length(F.bin("size")) * 32 + F.conv(F.rpad(F.substring(F.bin("size"), 1, 5), 5, "0"), 2, 10).cast("int"))
-    d = store(d)
+    d = store(d.withColumn("nth", F.row_number().over(Window.partitionBy("source", "key", "lot").orderBy("size"))))
     by_class = store(d.groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
     in_order = Window.partitionBy("source").orderBy("class")
     slices = F.greatest(F.lit(1), F.floor(F.sqrt("n") / SPREAD)).cast("long").alias("slices")
@@ -68,13 +77,18 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     by_source = store(targets(by_class.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, limit).withColumnRenamed("source", "of"))
     starts = store(starts.join(by_source, F.col("src").eqNullSafe(F.col("of"))).drop("of"))
     d = d.join(starts, F.col("source").eqNullSafe(F.col("src")) & (F.col("class") == F.col("c"))).withColumn("slice", F.col("hash") % F.col("slices"))
-    bins = d.groupBy("src", "c", "slice").agg(F.count("*").alias("m"))
+    # equal rows of a lot are one row with a count from here on
+    lots = store(d.groupBy("src", "c", "slice", "size", "doc_id", "key", "lot").agg(F.count("*").alias("m")))
+    bins = lots.groupBy("src", "c", "slice").agg(F.sum("m").alias("m"))
     in_class = Window.partitionBy("src", "c").orderBy("slice")
     bins = store(bins.select(F.col("src").alias("s"), F.col("c").alias("cc"), F.col("slice").alias("sl"), (F.sum("m").over(in_class) - F.col("m")).alias("before_slice")))
-    own = Window.partitionBy("src", "c", "slice").orderBy("size", "doc_id", "k")
-    r = d.withColumn("at", F.row_number().over(own)).join(bins, F.col("src").eqNullSafe(F.col("s")) & (F.col("c") == F.col("cc")) & (F.col("slice") == F.col("sl")))
+    own = Window.partitionBy("src", "c", "slice").orderBy("size", "doc_id", "key", "lot").rowsBetween(Window.unboundedPreceding, -1)
+    lots = lots.withColumn("before_lot", F.coalesce(F.sum("m").over(own), F.lit(0)))
+    lots = lots.join(bins, F.col("src").eqNullSafe(F.col("s")) & (F.col("c") == F.col("cc")) & (F.col("slice") == F.col("sl")))
+    lots = lots.select(F.col("src").alias("of"), F.col("key").alias("of_key"), F.col("lot").alias("of_lot"), (F.col("before_slice") + F.col("before_lot")).alias("before_row"))
+    r = d.join(lots, F.col("src").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")) & (F.col("lot") == F.col("of_lot")))
     step = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
-    rank, u = F.col("before") + F.col("before_slice") + F.col("at"), offset(F.col("src"))
+    rank, u = F.col("before") + F.col("before_row") + F.col("nth"), offset(F.col("src"))
     copies = (F.floor(rank * step + u) - F.floor((rank - 1) * step + u)).cast("long")
     return r.select("doc_id", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
 
@@ -86,8 +100,8 @@ def op8_mixing(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 with d as (
-  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint as hash from documents),
-c as (select *, length(bin(size)) * 32 + list_reduce(list_transform(string_split(rpad(substr(bin(size), 1, 5), 5, '0'), ''), lambda x: x::int), lambda a, b: a * 2 + b) as class from d),
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, md5(coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) as key from documents),
+c as (select *, ('0x' || substr(key, 1, 8))::bigint as hash, length(bin(size)) * 32 + list_reduce(list_transform(string_split(rpad(substr(bin(size), 1, 5), 5, '0'), ''), lambda x: x::int), lambda a, b: a * 2 + b) as class from d),
 z as (select *, hash % greatest(1, floor(sqrt(count(*) over (partition by source, class)) / 8)::bigint) as slice from c),
 s as (select source, sum(size)::bigint as source_size, [3, 1, 2][(row_number() over (order by source nulls last) - 1) % 3 + 1]::double as w from c group by source),
 n as (select *, source_size * 2.0::double as cap, sum(source_size) over () * 1.5::double as budget, sum(w) over () as all_w from s),
@@ -96,7 +110,7 @@ l as (select *, (budget - coalesce(sum(cap) over (order by cap / w, source nulls
 f as (select level from l where level * w <= cap order by cap / w, source nulls last limit 1),
 t as (select source, source_size, least(cap, coalesce((select level from f) * w, cap)) as target from l),
 r as (select c.doc_id, c.source, c.size, t.source_size, t.target,
-  row_number() over (partition by c.source order by c.class, c.slice, c.size, c.doc_id) as rank,
+  row_number() over (partition by c.source order by c.class, c.slice, c.size, c.doc_id nulls first, c.key) as rank,
   case when t.source_size = 0 then 0 else t.target / t.source_size end as step,
   ('0x' || substr(md5(coalesce(c.source, '~null~')), 1, 8))::bigint / 4294967296.0::double as u
   from z c join t on c.source is not distinct from t.source)
