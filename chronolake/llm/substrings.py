@@ -12,6 +12,8 @@ from .common import BYTE, U64, batch, blobs, by_key, ints, mix, pieces, raw, sal
 LENGTH = 100
 #: Depth of the initial buckets.
 Q = 24
+#: Texts are cut in pieces of so many strings' starts; a piece holds LENGTH - 1 bytes more, so that no string is cut.
+PIECE = 1 << 18
 #: Buckets of more distinct contexts than this are refined across tasks.
 LARGE = 2048
 _M = salts(201, 16)
@@ -75,27 +77,38 @@ def _anchors(data: np.ndarray, at: np.ndarray, deep: bool):
     return row, first - at[row], count, g[anchor[begin]], whole
 
 
+def _pieces(docs: DataFrame, *columns: str) -> DataFrame:
+    """(columns, off, s): the bytes of each text from off on, in pieces that overlap; every LENGTH-byte string starts in one.
+
+    An anchor depends on its string alone, so a run of strings may end at a piece's end; what is left of it is compared byte
+    by byte with what differs, as any other run. No task holds more than a piece's identifiers, however long a text is."""
+    whole = docs.select(*columns, F.col("text").cast("binary").alias("whole"), F.octet_length("text").alias("size")).filter(f"size >= {LENGTH}")
+    parts = whole.select(*columns, "whole", F.explode(F.expr(f"sequence(0, (size - {LENGTH}) div {PIECE})")).alias("part"))
+    off = F.col("part") * PIECE
+    return parts.select(*columns, off.cast("long").alias("off"), F.substring("whole", off.cast("int") + 1, F.lit(PIECE + LENGTH - 1)).alias("s"))
+
+
 def _bucket_rows(batches):
     for b in batches:
-        for _, _, data, at in pieces(b.column("text"), 1 << 18):
+        for _, _, data, at in pieces(b.column("s"), PIECE):
             if a := _anchors(data, at, False):
                 yield batch(h=a[3].view(np.int64))
 
 
 def _run_rows(batches):
     for b in batches:
-        ids, t, own = (ints(b.column(c)) for c in ("doc_id", "t", "row"))
-        for i, _, data, at in pieces(b.column("text"), 1 << 18):
+        ids, t, own, off = (ints(b.column(c)) for c in ("doc_id", "t", "row", "off"))
+        for i, _, data, at in pieces(b.column("s"), PIECE):
             if a := _anchors(data, at, True):
                 row, p, n, h, whole = a
                 with np.errstate(over="ignore"):
                     _, first = np.unique(mix(whole + row.astype(U64) * U64(0x9E3779B97F4A7C15)), return_index=True)
                 again = np.ones(len(row), bool)
                 again[first] = False
-                # a document's own repeats are copies already; those that follow each other become one row
+                # a piece's own repeats are copies already; those that follow each other become one row
                 begin = np.concatenate([[True], ~again[1:] | ~again[:-1] | (row[1:] != row[:-1])])
                 at_ = np.flatnonzero(begin)
-                yield batch(h=h[at_].view(np.int64), whole=whole[at_].view(np.int64), doc_id=ids[i + row[at_]], t=t[i + row[at_]], row=own[i + row[at_]], p=p[at_], n=np.add.reduceat(n, at_), again=again[at_])
+                yield batch(h=h[at_].view(np.int64), whole=whole[at_].view(np.int64), doc_id=ids[i + row[at_]], t=t[i + row[at_]], row=own[i + row[at_]], p=off[i + row[at_]] + p[at_], n=np.add.reduceat(n, at_), again=again[at_])
 
 
 def _strings(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,11 +160,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     around it, enters them, and a bucket with one member is final: no string around it repeats. What is left is refined
     by the identifiers of later offsets up to depth LENGTH. First the runs of strings around an anchor are named whole:
     of equal runs all but the earliest repeat in full, and those within one document are told apart where they are found. Then, where a bucket has several distinct runs, the earliest of
-    each are refined by bucket pointers. Buckets of many distinct runs are dealt out by string, so none meets in one task."""
+    each are refined by bucket pointers. Buckets of many distinct runs are dealt out by string, so none meets in one task. Texts are
+    looked at in pieces of PIECE bytes."""
     d = docs.filter("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64("text").alias("t"))
-    several = d.select("text").mapInArrow(_bucket_rows, "h long").groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
+    several = _pieces(d).select("s").mapInArrow(_bucket_rows, "h long").groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
     several = store(several)
-    runs = d.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_run_rows, "h long, whole long, doc_id long, t long, row long, p long, n long, again boolean")
+    runs = _pieces(d.withColumn("row", F.monotonically_increasing_id()), "doc_id", "t", "row").mapInArrow(_run_rows, "h long, whole long, doc_id long, t long, row long, p long, n long, again boolean")
     runs = store(runs.join(several, "h"))
     given = runs.groupBy("doc_id", "t").agg(F.min("row").alias("row"), F.max("row").alias("last"))
     if twice := bool(given.filter("row < last").take(1)):  # documents that are given more than once count once
@@ -163,14 +177,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     later = "doc_id <> f.doc_id or t <> f.t or p <> f.p"
     copies = runs.join(first, ["h", "whole", "n"]).filter(later).select("doc_id", "t", F.col("p").alias("a"), end.alias("b"))
     mixed = store(first.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1"))
-    left = first.join(mixed, "h").select(F.col("f.doc_id").alias("d"), F.col("f.t").alias("dt"), F.struct("h", F.col("f.p").alias("p"), "n", "c").alias("r"))
-    left = left.groupBy("d", "dt").agg(F.collect_list("r").alias("r"))
-    found = d.join(left, (F.col("doc_id") == F.col("d")) & (F.col("t") == F.col("dt"))).select("doc_id", "t", "text", "r")
+    left = first.join(mixed, "h").select(F.col("f.doc_id").alias("d"), F.col("f.t").alias("dt"), F.expr(f"f.p - f.p % {PIECE}").alias("of"), F.struct("h", F.col("f.p").alias("p"), "n", "c").alias("r"))
+    left = left.groupBy("d", "dt", "of").agg(F.collect_list("r").alias("r"))  # at most those of a piece
+    found = _pieces(d, "doc_id", "t").join(left, (F.col("doc_id") == F.col("d")) & (F.col("t") == F.col("dt")) & (F.col("off") == F.col("of"))).select("doc_id", "t", "off", "s", "r")
 
     def contexts(batches):
         for b in batches:
-            data, at = raw(b.column("text"))
-            doc, t = ints(b.column("doc_id")), ints(b.column("t"))
+            data, at = raw(b.column("s"))
+            doc, t, off = (ints(b.column(c)) for c in ("doc_id", "t", "off"))
             r = b.column("r").combine_chunks() if isinstance(b.column("r"), pa.ChunkedArray) else b.column("r")
             n = np.diff(r.offsets.to_numpy())
             flat = r.flatten()
@@ -179,7 +193,7 @@ def repeats(docs: DataFrame) -> DataFrame:
             size = k + LENGTH - 1
             for i in range(0, len(row), 4096):
                 s = slice(i, i + 4096)
-                begin = at[row[s]] + p[s]
+                begin = at[row[s]] + p[s] - off[row[s]]
                 take = np.arange(int(size[s].sum())) + np.repeat(begin - (np.cumsum(size[s]) - size[s]), size[s])
                 yield batch(h=h[s], doc_id=doc[row[s]], t=t[row[s]], p=p[s], c=c[s], s=blobs(data[take], size[s]))
 

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import sys
+import tracemalloc
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -131,6 +132,31 @@ def test_substrings_of_few_letters(docs, seed):
     assert got == naive.substrings(rows(d))
 
 
+@pytest.mark.parametrize("piece", [100, 331])
+def test_substrings_in_pieces(docs, ugly, monkeypatch, piece):
+    monkeypatch.setattr(substrings, "PIECE", piece)
+    rng = random.Random(piece)
+    shared = "".join(rng.choice("abcdefgh ü") for _ in range(1500))
+    d = docs([r.text for r in ugly.collect()] + [shared + "x" * 450, "y" + shared[200:], shared[:99], shared[:100], shared[700:] + shared[:801]])
+    for _ in range(2):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.s) for r in substrings.without_repeats(d).withColumn("s", F.sha2("kept", 256)).collect()}
+        assert got == naive.substrings(rows(d))
+        monkeypatch.setattr(substrings, "LARGE", 1)
+
+
+def test_substrings_of_a_long_text_take_bounded_memory(spark, docs):
+    text = "".join(map(chr, np.random.default_rng(4).integers(97, 123, 1 << 23)))
+    pieces = substrings._pieces(docs([text, text[1000:]]).selectExpr("doc_id", "text", "0L as t", "0L as row"), "doc_id", "t", "row").toArrow()
+    assert pieces.num_rows == 2 * (1 << 23) // substrings.PIECE
+    tracemalloc.start()
+    n = sum(b.num_rows for b in substrings._run_rows(pieces.to_batches()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 1 << 18 and peak < 64 << 20  # at 112 bytes for each byte at once it was 900 MB
+    lost = {r.doc_id: r.n_removed for r in substrings.without_repeats(docs([text, text[1000:]])).collect()}
+    assert lost == {0: 0, 1: len(text) - 1000}
+
+
 def test_substrings_of_repeated_rows(docs):
     lost = lambda own: sorted((x.doc_id, x.n_bytes, x.n_removed) for x in substrings.without_repeats(docs(own)).collect())
     p = " ".join(f"w{i}" for i in range(40))  # 150 bytes
@@ -544,6 +570,22 @@ def test_mix(spark, docs):
     assert mixing.mix_sources(d.limit(0)).count() == 0
 
 
+def test_mix_of_rows_without_ids(spark, monkeypatch):
+    """A hundred thousand rows without an id, most of them the same, and many more under one id."""
+    d = spark.range(0, 100000, 1, 8).selectExpr("case when id % 3 = 0 then 7L end as doc_id", "if(id % 10 = 0, 's', null) as source", "if(id % 2 = 0, 'a b c', concat('a b ', id)) as text")
+    monkeypatch.setattr(mixing, "SPREAD", 1)
+    key = ["doc_id", "size", "target", "taken"]
+    got = [tuple(r) for r in mixing.mix_sources(d).groupBy(*key).count().orderBy(*key).collect()]
+    monkeypatch.setattr(mixing, "LOT", 8)
+    assert got == [tuple(r) for r in mixing.mix_sources(d.repartition(5)).groupBy(*key).count().orderBy(*key).collect()]
+    taken = {}
+    for doc, size, target, words, n in got:
+        assert size == 3 and 0 <= words <= 6
+        taken[target] = taken.get(target, 0) + words * n
+    assert sum(n for *_, n in got) == 100000 and len(taken) == 2
+    assert all(abs(a - b) <= 6 for a, b in taken.items())
+
+
 @pytest.mark.parametrize("share, limit", [(1.5, 1.5), (1.5, 3.0), (0.5, 2.0), (2.5, 2.0), (2.5, 3.0), (1.0, 1.0)])
 def test_mix_takes_its_targets(docs, monkeypatch, share, limit):
     monkeypatch.setattr(mixing, "SPREAD", 1)
