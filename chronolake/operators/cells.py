@@ -1,4 +1,4 @@
-"""Groups of vectors that are too large for a task, cut in cells with halos; and connected components."""
+"""Groups of vectors that are too large for a task, cut in tiles that meet in pairs; and connected components."""
 
 from __future__ import annotations
 
@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 #: Vectors of a group, or of a cell, that a task takes at once.
 BLOCK = 4096
-#: Pivots of a group at most; a group with more rows has larger cells, which are cut in blocks.
-PIVOTS = 64
+#: Pivots of a group, and about how many tiles it is cut in, at most; but in more where they would have more rows than LARGEST.
+TILES, LARGEST = 16, 1 << 16
+#: Products that are held at once.
+CELLS = 1 << 22
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -35,11 +37,6 @@ def matrix(col: pa.ChunkedArray) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(float).reshape(len(col), -1)
 
 
-def column(x: np.ndarray) -> pa.ListArray:
-    """Rows of a matrix as a column of vectors."""
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(np.ascontiguousarray(x).ravel()))
-
-
 def numbers(t: pa.Table, *names: str) -> list[np.ndarray]:
     return [t.column(c).to_numpy() for c in names]
 
@@ -51,8 +48,8 @@ def unit_vectors(v: np.ndarray) -> np.ndarray:
 
 
 def _assigned(eps: float):
-    """Each row of a block to the cell of its nearest pivot, and to any other cell that a row within ``eps`` can be in: a row of
-    that cell is beyond the plane halfway between both pivots, and so at least as far away as the plane."""
+    """Each row of a block with the cell of its nearest pivot, and as ``halo`` all other cells that a row within ``eps`` can be in: a
+    row of such a cell is beyond the plane halfway between both pivots, and so at least as far away as the plane."""
 
     def run(t: pa.Table) -> pa.Table:
         pivot = t.column("pivot").to_numpy()
@@ -67,54 +64,84 @@ def _assigned(eps: float):
         own = away.argmin(1)
         with np.errstate(divide="ignore", invalid="ignore"):
             plane = (away - away[np.arange(len(x)), own][:, None]) / (2 * between[own])
-        plane[np.arange(len(x)), own] = 0
-        i, cell = np.nonzero(plane <= eps + 1e-6)
-        ids, ts, names = (t.column(c).take(pa.array(rows[i])) for c in ("rid", "ts", "id"))
-        return pa.table({"grp": t.column("grp").take(pa.array(rows[i])), "cell": pa.array(cell, pa.int32()), "home": pa.array(own[i] == cell), "rid": ids, "ts": ts, "id": names, "v": column(x[i])})
+        plane[np.arange(len(x)), own] = np.inf
+        near = plane <= eps + 1e-6
+        halo = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(near.sum(1))]), pa.int32()), pa.array(np.nonzero(near)[1], pa.int32()))
+        out = t.select(["grp", "rid", "ts", "id", "v"]).take(pa.array(rows))
+        return out.append_column("cell", pa.array(own, pa.int32())).append_column("halo", halo)
 
     return run
 
 
-CELL = "grp long, cell int, home boolean, rid long, ts long, id string, v array<double>"
-
+def tiles(rows: DataFrame, eps: float, block: int = BLOCK) -> DataFrame:
+    """``rows`` (grp, rid, ts, id, v), each with its tile ``blk`` and the tiles that it ``meets``, so that in ``meeting`` two of a group
+    within ``eps`` of each other meet once, in a group (grp, a, b).
 
-def cells(rows: DataFrame, eps: float, block: int = BLOCK) -> DataFrame:
-    """``rows`` (grp, rid, ts, id, v) dealt out so that two of a group within ``eps`` of each other meet in the home cell of both.
-
-    A group's cells are those of pivots, chosen by hash, a row in its nearest pivot's cell being at home there; copies of it lie in
-    those cells that can hold a row within ``eps`` (their halos). Rows that differ little lie in few cells; rows without any
-    structure lie in all of them, and then each row at home is compared with all. A cell of more than ``block`` rows is cut in
-    blocks of rows at home and of others, and each block of rows at home is a group (grp, cell, a, b) with itself and with any
-    other; ``two`` says that only rows of different blocks are to be compared there, ``whole`` that the cell is a single group."""
-    n = rows.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("nb")).withColumn("np", F.least(F.lit(PIVOTS), F.col("nb")))
-    t = rows.join(n, "grp")
+    A group's cells are those of pivots, chosen by hash; a row lies in its nearest pivot's cell, and a cell of many rows is cut in
+    tiles by hash. A tile meets itself (a = b), the others of its cell, and those of cells in its rows' halos: there go only the rows
+    whose halo has the other's cell (``two``). Rows that differ little meet few tiles; rows without any structure meet all.
+    Tiles have ``block`` rows, but a group is cut in no more than about TILES of them until they would exceed LARGEST rows: so what
+    is shuffled grows with the rows, and no task takes more than two tiles. ``alone`` marks rows that meet their own tile only."""
+    size = F.count("*")
+    n = rows.groupBy("grp").agg(F.least(F.ceil(size / block), F.greatest(F.lit(TILES), F.ceil(size / LARGEST))).cast("int").alias("nb"), size.alias("n"))
+    n = written(n)
+    t = rows.join(F.broadcast(n.withColumn("np", F.least(F.lit(TILES), F.col("nb")))), "grp")  # a row for each large group
     first = Window.partitionBy("grp").orderBy(F.xxhash64("rid", F.lit(7)))
-    pivots = t.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= F.col("np")).filter(F.col("_r") <= PIVOTS).drop("_r", "np")
+    pivots = t.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= F.col("np")).filter(F.col("_r") <= TILES)
     pivots = pivots.withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("pivot", F.lit(True))
-    own = t.drop("np").withColumn("blk", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int")).withColumn("pivot", F.lit(False))
-    put = own.unionByName(pivots).select("grp", "blk", "pivot", "rid", "ts", "id", "v").groupBy("grp", "blk").applyInArrow(_assigned(eps), CELL)
-    put = written(put)
-    parts = lambda c: F.ceil(F.col(c) / block).cast("int")
-    n = put.groupBy("grp", "cell").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("o"))
-    n = written(n.select("grp", "cell", (F.col("h") + F.col("o") <= block).alias("whole"), F.greatest(F.lit(1), parts("h")).alias("nh"), parts("o").alias("no")))
-    put, hashed = put.join(n, ["grp", "cell"]), F.xxhash64("rid", F.lit(3))
-    blk = F.when(F.col("whole"), 0).when(F.col("home"), F.pmod(hashed, F.col("nh"))).otherwise(F.col("nh") + F.pmod(hashed, F.greatest(F.lit(1), F.col("no"))))
-    last = F.when(F.col("whole"), 0).when(F.col("home"), F.col("nh") + F.col("no") - 1).otherwise(F.col("nh") - 1)
-    put = put.withColumn("blk", blk.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), last.cast("int"))))
-    return put.select("grp", "cell", F.least("blk", "other").alias("a"), F.greatest("blk", "other").alias("b"), (F.col("blk") != F.col("other")).alias("two"), "whole", "blk", "home", "rid", "ts", "id", "v")
+    own = t.withColumn("blk", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int")).withColumn("pivot", F.lit(False))
+    names = ("grp", "blk", "pivot", "rid", "ts", "id", "v")
+    schema = f"grp long, rid long, ts long, id string, v {rows.schema['v'].dataType.simpleString()}, cell int, halo array<int>"
+    put = written(own.select(*names).unionByName(pivots.select(*names)).groupBy("grp", "blk").applyInArrow(_assigned(eps), schema))
+    c = put.groupBy("grp", "cell").agg(F.count("*").alias("m")).join(n, "grp").select("grp", "cell", F.ceil(F.col("m") * F.col("nb") / F.col("n")).cast("int").alias("parts"))
+    c = written(c.groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("cell", "parts"))).alias("parts")))  # TILES entries at most, or so
+    put = put.join(F.broadcast(c), "grp").withColumn("halo", F.filter("halo", lambda x: F.col("parts")[x].isNotNull()))
+    tile = lambda cell, part: cell.cast("long") * (1 << 20) + part
+    put = put.withColumn("blk", tile(F.col("cell"), F.pmod(F.xxhash64("rid", F.lit(3)), F.col("parts")[F.col("cell")])))
+    put = put.withColumn("alone", (F.size("halo") == 0) & (F.col("parts")[F.col("cell")] == 1))
+    meets = F.flatten(F.transform(F.concat(F.array("cell"), "halo"), lambda x: F.transform(F.sequence(F.lit(0), F.col("parts")[x] - 1), lambda i: tile(x, i))))
+    return put.select("grp", "blk", meets.alias("meets"), "alone", "rid", "ts", "id", "v")
+
+
+def meeting(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``tiles``, which may be fewer and have more columns, once for each pair of tiles (a, b) that they meet in."""
+    put = rows.withColumn("other", F.explode("meets")).drop("meets")
+    return put.withColumns({"a": F.least("blk", "other"), "b": F.greatest("blk", "other"), "two": F.col("blk") != F.col("other")}).drop("other")
+
+
+def cells(rows: DataFrame, eps: float, block: int = BLOCK) -> DataFrame:
+    return meeting(tiles(rows, eps, block))
+
+
+GROUP = ("grp", "a", "b")
 
 
-GROUP = ("grp", "cell", "a", "b")
+def met_rows(blk: np.ndarray, two: bool, live: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Which rows of a group of ``cells`` are compared with which: some rows, and all they meet. Those of one tile with those of the
+    other, if ``two``; else all with all. Few enough at a time for CELLS products."""
+    all_rows = np.arange(len(blk))
+    mine, theirs = (np.flatnonzero(blk == blk.min()), np.flatnonzero(blk != blk.min())) if two else (all_rows, all_rows)
+    step = max(1, CELLS // max(1, len(theirs)))
+    for i in range(0, len(mine), step):
+        yield mine[i : i + step], theirs
 
 
-def near_rows(x: np.ndarray, eps: float, blk: np.ndarray, two: bool, step: int = 512) -> Iterator[tuple[int, np.ndarray]]:
-    """For rows from i on, which others are within ``eps``; of other blocks only, if ``two``. A row is near itself."""
+def near_rows(x: np.ndarray, eps: float, mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+    """Which of the rows ``theirs`` are within ``eps`` of each of ``mine``. A row is near itself."""
     square = (x * x).sum(1)
-    for i in range(0, len(x), step):
-        m = square[i : i + step, None] + square[None] - 2 * x[i : i + step] @ x.T <= eps * eps + 1e-9
-        if two:
-            m &= blk[i : i + step, None] != blk[None]
-        yield i, m
+    return square[mine, None] + square[None, theirs] - 2 * x[mine] @ x[theirs].T <= eps * eps + 1e-9
+
+
+def join_roots(root: np.ndarray, mine: np.ndarray, theirs: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """``root`` (for each row a row of its component, the smallest in the end) after the links ``m`` of ``mine`` with ``theirs``."""
+    while True:
+        i, j = np.nonzero(m & (root[mine][:, None] != root[theirs][None]))
+        if not len(i):
+            return root
+        a, b = root[mine[i]], root[theirs[j]]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
 
 
 def components(edges: DataFrame) -> DataFrame:

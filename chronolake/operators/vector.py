@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import cosine, literal_vector, recency
-from .cells import GROUP, cells, matrix, numbers, unit_vectors, written
+from .cells import CELLS, GROUP, matrix, meeting, numbers, tiles, unit_vectors, written
 
 #: Bytes and number of query vectors that go to every task; more are dealt in blocks of so many queries and events.
 SENT, SENT_ROWS = 64 << 20, 100_000
@@ -198,29 +198,38 @@ def greedy_dedup(events: DataFrame, keys: list[str], threshold: float, least: in
 
 
 def _decided(threshold: float):
-    """For each undecided row at home: whether it resembles a kept row (it goes), and whether it resembles an earlier one that
-    is still open. Within a group rows are gone through in order of time, so that what is decided there counts at once."""
+    """For each undecided row: whether it resembles an earlier row that is kept (it goes), and whether it resembles an earlier one
+    that is still open. Within a tile rows are gone through in order of time, so that what is decided there counts at once."""
 
     def run(t: pa.Table) -> pa.Table:
-        order = pc.sort_indices(t, [("ts", "ascending"), ("id", "ascending"), ("rid", "ascending")])
-        t = t.take(order)
-        rid, home, blk, two, whole, kept = numbers(t, "rid", "home", "blk", "two", "whole", "kept")
-        x, two, whole = matrix(t.column("v")), bool(two[0]), bool(whole[0])
-        seen, at, stays = np.empty_like(x), np.empty(len(x), np.int64), np.empty(len(x), bool)
-        n, goes, waits = 0, np.zeros(len(x), bool), np.zeros(len(x), bool)
-        for k in range(len(x)):
-            if not kept[k]:
-                near = seen[:n] @ x[k] >= threshold
-                if two:
-                    near &= blk[at[:n]] != blk[k]
-                goes[k] = bool((near & stays[:n]).any())
-                if goes[k]:
-                    continue
-                waits[k] = bool(near.any())
-            seen[n], at[n], stays[n] = x[k], k, kept[k] or (whole and home[k] and not waits[k])
-            n += 1
-        m = home & ~kept
-        return pa.table({"rid": rid[m], "goes": goes[m], "waits": waits[m]})
+        t = t.take(pc.sort_indices(t, [("ts", "ascending"), ("id", "ascending"), ("rid", "ascending")]))
+        rid, blk, two, alone, kept = numbers(t, "rid", "blk", "two", "alone", "kept")
+        x = unit_vectors(matrix(t.column("v")))
+        goes, waits, stays = np.zeros(len(x), bool), np.zeros(len(x), bool), kept.copy()
+        if two[0]:
+            low = blk == blk.min()
+            for of, others in ((low, np.flatnonzero(~low)), (~low, np.flatnonzero(low))):
+                asks = np.flatnonzero(of & ~kept)
+                step = max(1, CELLS // max(1, len(others)))
+                for i in range(0, len(asks), step):
+                    k = asks[i : i + step]
+                    near = (x[k] @ x[others].T >= threshold) & (others[None] < k[:, None])
+                    goes[k], waits[k] = (near & kept[others][None]).any(1), (near & ~kept[others][None]).any(1)
+        else:
+            i = 0
+            while i < len(x):
+                j = min(len(x), i + max(1, min(512, CELLS // (i + 512))))
+                k = i + np.flatnonzero(~kept[i:j])
+                past, near = np.flatnonzero(~goes[:i]), x[k] @ x[i:j].T >= threshold
+                before = x[k] @ x[past].T >= threshold
+                gone, open_ = (before & stays[past][None]).any(1), (before & ~stays[past][None]).any(1)
+                for r, (own, g, w) in enumerate(zip(k.tolist(), gone.tolist(), open_.tolist(), strict=True)):
+                    like = near[r, : own - i] & ~goes[i:own]
+                    goes[own] = g or bool((like & stays[i:own]).any())
+                    waits[own] = not goes[own] and (w or bool(like.any()))
+                    stays[own] = alone[own] and not goes[own] and not waits[own]
+                i = j
+        return pa.table({"rid": rid[~kept], "goes": goes[~kept], "waits": waits[~kept]})
 
     return run
 
@@ -229,10 +238,10 @@ def spread_dedup(events: DataFrame, keys: list[str], threshold: float, block: in
     """``greedy_dedup`` of groups of any size: what stays is the lexicographically first maximal set of rows none of which
     resembles another.
 
-    Of equal vectors only the first can stay. The others are cut in cells with halos, where a row meets all that resemble it.
+    Of equal vectors only the first can stay. The others are cut in tiles that meet in pairs, where a row meets all that resemble it.
     In each round a row that resembles a kept one goes, and one whose earlier neighbours have all gone stays; then
-    rows that went take no part. A cell that is a single group is decided as far as its own rows allow in one round, so
-    rounds are as many as chains of open neighbours cross cells."""
+    rows that went take no part. Rows that meet their own tile alone are decided as far as it allows in one round, so
+    rounds are as many as chains of open neighbours cross tiles."""
     from .cluster import as_rows
 
     if threshold <= 0:
@@ -241,10 +250,10 @@ def spread_dedup(events: DataFrame, keys: list[str], threshold: float, block: in
     some = F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))  # rows without a direction resemble none
     v = rows.filter(F.exists("v", lambda x: x != 0))
     first = v.groupBy("grp", "v").agg(F.min(F.struct("ts", "id", "rid")).alias("r")).select("grp", "r.*", "v")
-    met = written(cells(first, math.sqrt(max(0.0, 2 - 2 * threshold)), block))
+    put = tiles(first, math.sqrt(max(0.0, 2 - 2 * threshold)), block)
     state = e.sparkSession.createDataFrame([], "rid long, kept boolean")
     while True:
-        now = met.join(state, "rid", "left").filter("kept is null or kept").withColumn("kept", F.coalesce("kept", F.lit(False)))
+        now = meeting(put.join(state, "rid", "left").filter("kept is null or kept").withColumn("kept", F.coalesce("kept", F.lit(False))))
         said = now.groupBy(*GROUP).applyInArrow(_decided(threshold), "rid long, goes boolean, waits boolean").groupBy("rid").agg(F.max("goes").alias("goes"), F.max("waits").alias("waits"))
         said = written(said)
         state = written(state.unionByName(said.filter("goes or not waits").select("rid", (~F.col("goes")).alias("kept"))))
