@@ -93,10 +93,12 @@ def nearest_in_time(anchors: DataFrame, events: DataFrame, keys: list[str], widt
     both = e.unionByName(a).withColumn("_block", F.floor(F.col("_s") / width))
     w = Window.partitionBy(*keys, "_block").orderBy("_s", "_kind")
     both = both.withColumn("_before", F.last("_event", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("_after", F.first("_event", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    # looking back in the order turned round: a frame up to the end would be gone through anew for each row
+    back = Window.partitionBy(*keys, "_block").orderBy(F.desc("_s"), F.desc("_kind"))
+    both = both.withColumn("_after", F.last("_event", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     b = both.groupBy(*keys, "_block").agg(F.min("_event").alias("_first"), F.max("_event").alias("_last"))
-    o = Window.partitionBy(*keys).orderBy("_block")
-    b = b.select(*keys, "_block", F.last("_last", ignorenulls=True).over(o.rowsBetween(Window.unboundedPreceding, -1)).alias("_came"), F.first("_first", ignorenulls=True).over(o.rowsBetween(1, Window.unboundedFollowing)).alias("_comes"))
+    o, later = Window.partitionBy(*keys).orderBy("_block"), Window.partitionBy(*keys).orderBy(F.desc("_block"))
+    b = b.select(*keys, "_block", F.last("_last", ignorenulls=True).over(o.rowsBetween(Window.unboundedPreceding, -1)).alias("_came"), F.last("_first", ignorenulls=True).over(later.rowsBetween(Window.unboundedPreceding, -1)).alias("_comes"))
     r = _carried(both.filter("_kind = 1"), b, keys, ["_came", "_comes"])
     before, after = F.coalesce("_before", "_came"), F.coalesce("_after", "_comes")
     away = lambda c: F.abs(c["s"] - F.col("_s"))

@@ -54,3 +54,10 @@ def test_nearest_like_brute_force(spark, events, width):
         assert got[a.id] == (best[2], best[0]), a
     none = asof.nearest_in_time(events.filter("app = 'x'"), events.limit(0), ["user"], width)
     assert none.filter("nearest_id is null and seconds is null").count() == len(anchors)
+
+
+def test_nearest_goes_through_a_block_once(spark):
+    """A frame that ends with its block would be read anew for each row."""
+    e = spark.range(10).selectExpr("cast(id as string) as id", "timestamp_seconds(id * 7) as timestamp")
+    plan = asof.nearest_in_time(e, e, [], 3600)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "currentrow" in plan and "unboundedfollowing" not in plan
