@@ -857,12 +857,12 @@ def x1(spark, d):
 @query("x3_bm25", "select id, round(score, 6) as score from bm order by score desc, id limit 40", TERMS)
 def x3(spark, d):
     """By the kept index: no text is read once it is there."""
-    return _index(spark, d).search(SEARCH, 40).select("id", F.round("score", 6).alias("score"))
+    return _index(spark, d).search(SEARCH, 40, digits=6)
 
 
 @query("x3_bm25_scan", "select id, round(score, 6) as score from bm order by score desc, id limit 40", TERMS)
 def x3_scan(spark, d):
-    return fulltext.bm25(documents(spark, d), SEARCH, 40).select("id", F.round("score", 6).alias("score"))
+    return fulltext.bm25(documents(spark, d), SEARCH, 40, digits=6)
 
 
 @query("x4_index_deltas", r"select term, count(*) as docs, cast(sum(tf) as bigint) as total from (select id, term, count(*) as tf from (select id, unnest(case when id::bigint % 5 = 1 then ['changed', 'text'] else w end) as term from toks where id::bigint % 7 <> 0) group by 1, 2) group by term", TERMS)

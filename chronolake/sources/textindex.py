@@ -8,7 +8,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import query_terms, tokens
+from ..functions.expr import _c, query_terms, tokens
 from ..operators.fulltext import K1, B
 from ..schema import _struct
 from .sinks import Store
@@ -24,18 +24,18 @@ class TextIndex(Store):
     hides the postings that are older; folding drops them. A search reads the folders of its terms and one row for each delta."""
 
     KEYS = {"postings": ["term", "id"], "docs": ["id"], "gone": ["id"], "totals": ["delta"]}
-    SCHEMAS = {"postings": _struct("bucket int, term string, id string, tf bigint, dl bigint"), "docs": _struct("id string, dl bigint"), "gone": _struct("id string"), "totals": _struct("delta bigint, n bigint, words bigint")}
+    SCHEMAS = {"postings": _struct("bucket int, term string, id string, tf bigint, dl bigint"), "docs": _struct("id string, dl bigint"), "gone": _struct("id string"), "totals": _struct("delta bigint, n bigint, texts bigint, words bigint")}
     PARTS = {"postings": "bucket"}
 
     def add(self, docs: DataFrame, text: str = "text", writer: str = "", batch: int | None = None) -> None:
-        """Index ``docs`` (id, text), each id once; ids that are known already are indexed anew. A null text has no terms, but
-        counts. ``writer``'s ``batch`` may run again."""
+        """Index ``docs`` (id, text), each id once; ids that are known already are indexed anew. A null text (dl -1) has no terms,
+        but counts, though not in the average length. ``writer``'s ``batch`` may run again."""
         n = self.version(writer, batch)
-        words = docs.filter("id is not null").select(F.col("id").cast("string").alias("id"), tokens(text).alias("w"))
+        words = docs.filter("id is not null").select(F.col("id").cast("string").alias("id"), _c(text).isNotNull().alias("known"), tokens(text).alias("w"))
         p = words.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
         p = p.withColumn("bucket", (F.crc32("term") % BUCKETS).cast("int")).repartition("bucket").sortWithinPartitions("bucket", "term", "id")
         self.append("postings", p, n)
-        self._change(words.select("id", F.size("w").cast("long").alias("dl")), n)
+        self._change(words.select("id", F.when(F.col("known"), F.size("w")).otherwise(-1).cast("long").alias("dl")), n)
 
     def remove(self, ids: DataFrame) -> None:
         """Drop the documents of ``ids`` (id)."""
@@ -45,8 +45,9 @@ class TextIndex(Store):
     def _change(self, docs: DataFrame, n: int) -> None:
         old = self.read("docs", before=n).filter("dl is not null").join(docs.select("id").distinct(), "id", "left_semi")
         self.append("gone", old, n)
-        count = lambda t, sign: t.filter("dl is not null").agg((F.count("*") * sign).alias("n"), (F.coalesce(F.sum("dl"), F.lit(0)) * sign).alias("words"))
-        self.append("totals", count(docs, 1).unionByName(count(old, -1)).agg(F.sum("n").alias("n"), F.sum("words").alias("words")).withColumn("delta", F.lit(n)), n)
+        parts = {"n": F.count("dl"), "texts": F.count_if(F.col("dl") >= 0), "words": F.coalesce(F.sum(F.greatest("dl", F.lit(0))), F.lit(0))}
+        count = lambda t, sign: t.filter("dl is not null").agg(*((x * sign).alias(c) for c, x in parts.items()))
+        self.append("totals", count(docs, 1).unionByName(count(old, -1)).agg(*(F.sum(c).alias(c) for c in parts)).withColumn("delta", F.lit(n)), n)
         self.append("docs", docs, n)
 
     def postings(self, buckets: list[int] | None = None, before: int | None = None) -> DataFrame:
@@ -70,8 +71,8 @@ class TextIndex(Store):
         self.mark("gone", [""], n)
         self.fold("docs", keep=F.col("dl").isNotNull())
 
-    def search(self, query: str, limit: int, least: int = 1000) -> DataFrame:
-        """(id, score): what ``bm25`` gives over the documents indexed, best first, ties by id.
+    def search(self, query: str, limit: int, least: int = 1000, digits: int | None = None) -> DataFrame:
+        """(id, score): what ``bm25`` gives over the documents indexed, best first, ties by id, ``digits`` as there.
 
         A term adds idf * (K1 + 1) at most. If the ``limit``th best score by a query's rarer terms alone is above what
         the others can add, only documents with a rarer term can be among the best, and the others' postings count for these
@@ -81,12 +82,12 @@ class TextIndex(Store):
         if not terms:
             return none
         p = self.postings(sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms})).filter(F.col("term").isin(terms))
-        total = self.read("totals").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).first()
+        total = self.read("totals").agg(*(F.sum(c).alias(c) for c in ("n", "texts", "words"))).first()
         found = dict(tuple(r) for r in p.groupBy("term").agg(F.count("*")).collect())  # a row for each term of the query
         if not found:
             return none
         idf = {t: max(math.log((total.n - n + 0.5) / (n + 0.5)), 1e-6) for t, n in found.items()}
-        average = total.words / total.n
+        average = total.words / total.texts
         part = lambda t: F.lit(idf[t]) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / average))
         own = F.lit(None).cast("double")
         for t in found:
@@ -94,14 +95,16 @@ class TextIndex(Store):
         # scores add up in the order of the query's terms, as they do without an index
         def scored(p: DataFrame, of: list[str]) -> DataFrame:
             sums = p.withColumn("s", own).groupBy("id").agg(*(F.coalesce(F.max(F.when(F.col("term") == t, F.col("s"))), F.lit(0.0)).alias(f"s{i}") for i, t in enumerate(of)))
-            return sums.select("id", sum((F.col(f"s{i}") for i in range(len(of))), F.lit(0.0)).alias("score"))
+            score = sum((F.col(f"s{i}") for i in range(len(of))), F.lit(0.0))
+            return sums.select("id", (score if digits is None else F.round(score, digits)).alias("score"))
 
         rare = sorted(found, key=lambda t: -idf[t])
+        rounded = 0.0 if digits is None else 10.0**-digits  # rounding can make scores equal that differ by less
         for j in range(1, len(rare)):
             head, rest = rare[:j], sum(idf[t] * (K1 + 1) for t in rare[j:])
             if max(found[t] for t in rare[j:]) >= least and rest < sum(idf[t] * (K1 + 1) for t in head):
                 best = scored(p.filter(F.col("term").isin(head)), head).orderBy(F.desc("score")).limit(limit).agg(F.min("score"), F.count("*")).first()
-                if best[1] == limit and rest < best[0]:
+                if best[1] == limit and rest + rounded < best[0]:
                     p = p.join(p.filter(F.col("term").isin(head)).select("id").distinct(), "id", "left_semi")
                     break
         return scored(p, [t for t in terms if t in found]).orderBy(F.desc("score"), "id").limit(limit)

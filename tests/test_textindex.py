@@ -66,3 +66,19 @@ def test_common_terms_count_only_where_a_rare_one_is(spark, index):
     assert rows(plan) == rows(fulltext.bm25(frame(spark, docs), "common rare", 20))
     assert "LeftSemi" in plan._jdf.queryExecution().optimizedPlan().toString()
     assert rows(index.search("common rare", 40)) == rows(fulltext.bm25(frame(spark, docs), "common rare", 40))
+
+
+def test_scores_are_rounded_before_they_are_ordered_and_cut(spark, duck, index):
+    """In the SQL ``order by score`` means the rounded column that it selects; a null text is not in its average length."""
+    from chronolake.queries import ORACLE_SQL, SEARCH
+
+    docs = [(i, "the" + " zz" * (90 - i)) for i in range(60)] + [(i, "re" + " zz" * i) for i in range(100, 105)] + [(i, None) for i in range(900, 920)] + [(990, "")]
+    f = spark.createDataFrame([(str(i), t) for i, t in docs], "id string, text string")
+    index.add(f)
+    cur = duck.cursor()
+    cur.execute("create temp table documents (doc_id bigint, text varchar)")
+    cur.executemany("insert into documents values (?, ?)", docs)
+    want = cur.execute(ORACLE_SQL["x3_bm25"]).fetchall()
+    assert len({s for _, s in want}) < 40  # ties
+    for df in (index.search(SEARCH, 40, digits=6), fulltext.bm25(f, SEARCH, 40, digits=6)):
+        assert [(r.id, round(r.score, 6)) for r in df.collect()] == want
