@@ -4,18 +4,52 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import _c, query_terms, tokens
+from ..functions.expr import _c, query_terms
 from ..operators.fulltext import K1, B
 from ..schema import _struct
 from .sinks import Store
 
-#: Folders that terms are dealt to.
+#: Folders that terms are dealt to. The next one has each delta's documents, as rows of the empty term.
 BUCKETS = 64
 
+#: Bytes of text that are cut into terms at once.
+SLICE = 1 << 23
+
+
+def _blocks(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (id, text in lower case): each slice's terms, those of ``tokens``, with their documents (id, tf, dl); the empty term with all
+    documents of the slice. So a document's terms are counted where it is read, and a frequent term travels once for many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, texts = b.column(0).cast(pa.string()), b.column(1).cast(pa.large_string())
+            end, at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)), 0
+            while at < len(ids):
+                to = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + size, "right")))
+                i, t, n = ids.slice(at, to - at), texts.slice(at, to - at), to - at
+                words = pc.split_pattern(pc.replace_substring_regex(pc.fill_null(t, ""), r"[^\p{L}\p{N}]+", " "), " ")
+                row, word = pc.list_parent_indices(words).to_numpy(), words.flatten()
+                keep = pc.greater_equal(pc.utf8_length(word), 2)
+                row, word = row[keep.to_numpy(zero_copy_only=False)], word.filter(keep).dictionary_encode()
+                dl = np.where(t.is_null().to_numpy(zero_copy_only=False), -1, np.bincount(row, minlength=n))
+                key, tf = np.unique(word.indices.to_numpy().astype(np.int64) * n + row, return_counts=True)
+                of, row = np.append(key // n, np.full(n, len(word.dictionary))), np.append(key % n, np.arange(n))
+                offsets = np.searchsorted(of, np.arange(len(word.dictionary) + 2)).astype(np.int32)
+                docs = pa.StructArray.from_arrays([i.take(pa.array(row)), pa.array(np.append(tf, np.zeros(n, np.int64)).astype(np.int64)), pa.array(dl[row].astype(np.int64))], ["id", "tf", "dl"])
+                terms = pa.concat_arrays([word.dictionary.cast(pa.string()), pa.array([""])])
+                yield pa.RecordBatch.from_arrays([terms, pa.ListArray.from_arrays(pa.array(offsets), docs)], ["term", "docs"])
+                at = to
+
+    return run
+
 
 class TextIndex(Store):
     """Postings (term, id, tf, dl) in folders by term, the documents' lengths, and totals, all by version as in ``Store``.
@@ -31,11 +65,15 @@ class TextIndex(Store):
         """Index ``docs`` (id, text), each id once; ids that are known already are indexed anew. A null text (dl -1) has no terms,
         but counts, though not in the average length. ``writer``'s ``batch`` may run again."""
         n = self.version(writer, batch)
-        words = docs.filter("id is not null").select(F.col("id").cast("string").alias("id"), _c(text).isNotNull().alias("known"), tokens(text).alias("w"))
-        p = words.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
-        p = p.withColumn("bucket", (F.crc32("term") % BUCKETS).cast("int")).repartition("bucket").sortWithinPartitions("bucket", "term", "id")
+        t = docs.filter("id is not null").select(F.col("id").cast("string").alias("id"), F.lower(_c(text)).alias("text"))
+        p = t.mapInArrow(_blocks(SLICE), "term string, docs array<struct<id: string, tf: bigint, dl: bigint>>")
+        p = p.withColumn("bucket", F.when(F.col("term") == "", BUCKETS).otherwise(F.crc32("term") % BUCKETS).cast("int")).repartition("bucket")
+        if t.groupBy("id").count().filter("count > 1").isEmpty():
+            p = p.sortWithinPartitions("bucket", "term").select("bucket", "term", F.inline("docs"))
+        else:  # an id that comes more than once after all: its texts' terms are its own
+            p = p.select("bucket", "term", F.inline("docs")).groupBy("bucket", "term", "id").agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl")).sortWithinPartitions("bucket", "term", "id")
         self.append("postings", p, n)
-        self._change(words.select("id", F.when(F.col("known"), F.size("w")).otherwise(-1).cast("long").alias("dl")), n)
+        self._change(self.raw("postings", [str(BUCKETS)]).filter(F.col("_version") == n).select("id", "dl"), n)
 
     def remove(self, ids: DataFrame) -> None:
         """Drop the documents of ``ids`` (id)."""
@@ -52,7 +90,7 @@ class TextIndex(Store):
 
     def postings(self, buckets: list[int] | None = None, before: int | None = None) -> DataFrame:
         """The postings that count, of some folders."""
-        t = self.raw("postings", None if buckets is None else map(str, buckets))
+        t = self.raw("postings", map(str, range(BUCKETS) if buckets is None else buckets))
         older = F.lit(False)
         for part, n in self.marks("postings").items():  # one for each folder at most
             older |= (F.col("bucket") == int(part)) & (F.col("_version") < n)
@@ -66,7 +104,7 @@ class TextIndex(Store):
         n = self.version()
         p = self.postings(before=n).withColumn("bucket", (F.crc32("term") % BUCKETS).cast("int"))
         self.append("postings", p.repartition("bucket").sortWithinPartitions("bucket", "term", "id"), n)
-        self.mark("postings", map(str, range(BUCKETS)), n)
+        self.mark("postings", map(str, range(BUCKETS + 1)), n)
         self.append("gone", self.raw("gone").limit(0), n)
         self.mark("gone", [""], n)
         self.fold("docs", keep=F.col("dl").isNotNull())

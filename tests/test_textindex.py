@@ -82,3 +82,29 @@ def test_scores_are_rounded_before_they_are_ordered_and_cut(spark, duck, index):
     assert len({s for _, s in want}) < 40  # ties
     for df in (index.search(SEARCH, 40, digits=6), fulltext.bm25(f, SEARCH, 40, digits=6)):
         assert [(r.id, round(r.score, 6)) for r in df.collect()] == want
+
+
+def test_a_text_is_cut_once_and_its_terms_travel_once(spark, index, monkeypatch):
+    """One shuffle, by folder; the lengths come from what is written. Terms are those of ``tokens``, in slices of any size."""
+    from chronolake.sources import textindex
+
+    odd = {"a": "Ünder_score X1 ÄÖ x1, a b cc", "b": None, "c": "", "d": "  ...  ", "e": "é à Ωmega ωMEGA 42 4", "f": "cc " * 5000}
+    monkeypatch.setattr(textindex, "SLICE", 8)
+    plans, own = {}, TextIndex.append
+
+    def append(self, table, rows, version):
+        plans.setdefault(table, rows._jdf.queryExecution().executedPlan().toString())
+        own(self, table, rows, version)
+
+    monkeypatch.setattr(TextIndex, "append", append)
+    index.add(frame(spark, odd | texts))
+    assert plans["postings"].count("Exchange hashpartitioning") == 1 and plans["postings"].count("MapInArrow") == 1
+    assert all("MapInArrow" not in plans[t] and "split" not in plans[t] for t in ("docs", "totals"))
+    want = {tuple(r) for r in fulltext.postings(frame(spark, odd | texts)).select("term", "id", "tf", "dl").collect()}
+    assert {tuple(r) for r in index.postings().collect()} == want
+    assert {r.id: r.dl for r in index.read("docs").collect() if r.id in odd} == {"a": 6, "b": -1, "c": 0, "d": 0, "e": 3, "f": 5000}
+
+
+def test_an_id_given_twice_has_the_terms_of_both_texts(spark, index):
+    index.add(spark.createDataFrame([("a", "one two two"), ("a", "two three"), ("b", "two")], "id string, text string"))
+    assert {(r.term, r.id, r.tf) for r in index.postings().collect()} == {("one", "a", 1), ("two", "a", 3), ("three", "a", 1), ("two", "b", 1)}
