@@ -887,17 +887,19 @@ _AGE = f"((epoch_us(timestamp '{NOW}') // 1000000 - epoch_us(timestamp) // 10000
 HYB = "docs as (select cast(doc_id as varchar) as id, timestamp '2024-01-01 00:00:00' + to_hours(cast(doc_id % 700 as int)) as timestamp from documents), va as (select cast(vec_id as varchar) as id, row_number() over (order by " + _COS.format(7) + " desc, cast(vec_id as varchar)) as r from embeddings where vec_id in (select doc_id from documents)), ta as (select id, row_number() over (order by score desc, id) as r from bm), fused as (select id, sum(1.0::double / (60 + r)) as s from (select * from va where r <= 40 union all select * from ta where r <= 40) group by id order by s desc, id limit 40)"
 
 
+def _timed_documents(spark, d) -> DataFrame:
+    return documents(spark, d).withColumn("timestamp", F.timestamp_seconds(F.lit(1704067200) + F.col("id").cast("long") % 700 * 3600))
+
+
 def _searchable(spark, d) -> DataFrame:
     v = read(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding")
-    t = documents(spark, d).withColumn("timestamp", F.timestamp_seconds(F.lit(1704067200) + F.col("id").cast("long") % 700 * 3600))
-    return t.join(v, "id", "left")
+    return _timed_documents(spark, d).join(v, "id", "left")
 
 
 @query("v10_hybrid_rrf", f"select id, round(s + 0.02 * exp(-{_AGE} / 30), 6) as score from fused join docs using (id) order by s + 0.02 * exp(-{_AGE} / 30) desc, id limit 10", TERMS, HYB)
 def v10(spark, d):
-    e = _searchable(spark, d)
-    vec = vector.nearest(e, _vector(spark, d, 7), 40).select("id", "score")
-    return vector.hybrid(vec, _index(spark, d).search(SEARCH, 40), e, now(), 10).select("id", F.round("score", 6).alias("score"))
+    vec = vector.nearest(_searchable(spark, d), _vector(spark, d, 7), 40).select("id", "score")
+    return vector.hybrid(vec, _index(spark, d).search(SEARCH, 40), _timed_documents(spark, d), now(), 10).select("id", F.round("score", 6).alias("score"))
 
 
 @query("v11_recency", f"select id, round(0.02 * exp(-greatest(0, epoch_us(timestamp '{NOW}') // 1000000 - epoch_us(timestamp) // 1000000) / 86400.0 / 30), 8) as boost from ev", EV)

@@ -17,7 +17,7 @@ PRIORITIES = ("low", "medium", "high", "urgent")
 _TYPES = {
     "string": T.StringType(), "timestamp": T.TimestampType(), "date": T.DateType(), "double": T.DoubleType(), "int": T.IntegerType(),
     "bigint": T.LongType(), "boolean": T.BooleanType(), "map<string,string>": T.MapType(T.StringType(), T.StringType()),
-    "array<string>": T.ArrayType(T.StringType()), "array<float>": T.ArrayType(T.FloatType()),
+    "array<string>": T.ArrayType(T.StringType()), "array<int>": T.ArrayType(T.IntegerType()), "array<float>": T.ArrayType(T.FloatType()),
 }
 
 

@@ -27,6 +27,9 @@ class Store:
     #: Tables that are read by parts, and the column that names these.
     PARTS = {"events": "date"}
 
+    #: Options of the Parquet writer, by table.
+    OPTIONS: dict[str, dict[str, str]] = {}
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
@@ -79,7 +82,7 @@ class Store:
         if table in ("events", "pending"):
             t = t.withColumn("chunk_index", F.coalesce("chunk_index", F.lit(0)))
         by = [self.PARTS[table], "_version"] if table in self.PARTS else ["_version"]
-        t.withColumn("_version", F.lit(version).cast("bigint")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{self.path}/{table}")
+        t.withColumn("_version", F.lit(version).cast("bigint")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").options(**self.OPTIONS.get(table, {})).partitionBy(*by).parquet(f"{self.path}/{table}")
 
     def raw(self, table: str, dates: Iterable[str] | None = None) -> DataFrame:
         """All versions of all rows; of ``dates`` (or other parts) only, which are then the only folders that are listed and read."""
@@ -92,12 +95,16 @@ class Store:
         where = top if dates is None else f"{top}/{self.PARTS[table]}={{{','.join(dates)}}}"
         try:
             if dates == []:
-                return self.spark.createDataFrame([], schema)
+                return self._none(schema)
             return self.spark.read.schema(schema).option("basePath", top).parquet(where).select(*schema.names)
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return self.spark.createDataFrame([], schema)
+            return self._none(schema)
+
+    def _none(self, schema) -> DataFrame:
+        """No rows, known to the optimizer, so that what reads them starts no tasks."""
+        return self.spark.range(0).filter(F.lit(False)).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields))
 
     def read(self, table: str, dates: Iterable[str] | None = None, before: int | None = None) -> DataFrame:
         """Each key's newest row. ``dates``: of events, those days. ``before``: as things stood before that version."""

@@ -108,3 +108,44 @@ def test_a_text_is_cut_once_and_its_terms_travel_once(spark, index, monkeypatch)
 def test_an_id_given_twice_has_the_terms_of_both_texts(spark, index):
     index.add(spark.createDataFrame([("a", "one two two"), ("a", "two three"), ("b", "two")], "id string, text string"))
     assert {(r.term, r.id, r.tf) for r in index.postings().collect()} == {("one", "a", 1), ("two", "a", 3), ("three", "a", 1), ("two", "b", 1)}
+
+
+def test_postings_are_written_as_blocks_sorted_once(spark, index, monkeypatch):
+    """A delta's postings are not sorted themselves: one sort, of blocks, whose order the writer takes as it is."""
+    jobs = spark._jsparkSession.sharedState().statusStore()
+    n = jobs.executionsCount()
+    index.add(frame(spark, texts))
+    index.refold()
+    plans = [jobs.executionsList(n, 1000).apply(i).physicalPlanDescription().split("== Initial Plan ==")[0] for i in range(jobs.executionsList(n, 1000).size())]
+    writes = [p for p in plans if "InsertIntoHadoopFsRelationCommand" in p and "MapInArrow" in p]
+    assert len(writes) == 2
+    tree = writes[0].split("\n\n\n")[0]
+    assert tree.count(" Sort (") == 1 and "Generate" not in tree
+    assert sorted(rows(index.search("w1 w2", 200))) == sorted(rows(fulltext.bm25(frame(spark, texts), "w1 w2", 200)))
+    stored = spark.read.parquet(f"{index.path}/postings")
+    assert 0 < stored.filter(F.col("_version") == 2).count() < index.postings().count()
+
+
+def test_words_are_those_of_tokens(spark):
+    """Cut at bytes first, and at other characters' classes only where words differ."""
+    import pyarrow as pa
+
+    from chronolake.functions.expr import tokens
+    from chronolake.sources.textindex import _words
+
+    some = ["a", "bc", "Z9", " ", "_", "\n", "\0", "-", "é", "Ωm", "“", "”", "\u00a0", "…", "中文", "٣٤", "½x", "🙂", "e\u0301", "\u200b"]
+    odd = ["", " ", "a", "ab", "“ab”cd", "…", "ab\u00a0cd ef", "x"] + ["".join(rnd.choice(some) for _ in range(rnd.randint(0, 30))) for _ in range(300)]
+    lower = [r[0] for r in spark.createDataFrame(list(enumerate(odd)), "i int, t string").orderBy("i").select(F.lower("t")).collect()]
+    want = [r[0] for r in spark.createDataFrame(list(enumerate(odd)), "i int, t string").orderBy("i").select(tokens("t")).collect()]
+    for a, b in ((0, len(odd)), (5, 40), (1, 2), (0, 1)):
+        terms, term, row = _words(pa.array(lower, pa.large_string()).slice(a, b - a))
+        got = [[] for _ in range(b - a)]
+        for t, r in zip(terms.take(pa.array(term)).to_pylist(), row.tolist(), strict=True):
+            got[r].append(t)
+        assert got == want[a:b]
+
+
+def test_what_is_not_there_is_read_without_tasks(spark, index):
+    assert "LocalRelation <empty>" in index.raw("docs")._jdf.queryExecution().optimizedPlan().toString()
+    assert [(f.name, f.dataType) for f in index.raw("docs").schema] == [(f.name, f.dataType) for f in index.SCHEMAS["docs"]] + [("_version", index.raw("gone").schema["_version"].dataType)]
+    assert index.raw("docs").count() == index.postings().count() == 0
